@@ -43,16 +43,10 @@ def week_code(year: Column, week: Column) -> Column:
     return F.concat(F.lpad(week.cast("string"), 2, "0"), F.lpad(year.cast("string"), 4, "0"))
 
 
-def _raw_monday(year: Column, week: Column) -> Column:
-    jan4 = F.make_date(year, F.lit(1), F.lit(4))
-    return F.date_add(F.date_sub(jan4, F.weekday(jan4)), (week - 1) * 7)
-
-
 def iso_monday(year: Column, week: Column) -> Column:
     """Monday of an ISO week; NULL for a week the year does not have (53 of a 52-week year)."""
-    year_ok = F.when(year.between(1, 9999), year)
-    monday = _raw_monday(year_ok, week)
-    return F.when(week.between(1, 53) & (F.weekofyear(monday) == week), monday)
+    monday = F.trunc(F.date_add(F.make_date(year, F.lit(1), F.lit(4)), (week - 1) * 7), "week")
+    return F.when(F.weekofyear(monday) == week, monday)
 
 
 def iso_date(year: Column, week: Column, weekday: Column) -> Column:

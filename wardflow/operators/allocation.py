@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from wardflow.functions import calendar as cal
 from wardflow.functions.derive import official_amount_rows
-from wardflow.operators.presence import STAY, profile_days, week_profile, with_day_totals
+from wardflow.operators.presence import STAY, profile_days, week_profile
 
 
 def billed_amounts(valuation: DataFrame) -> DataFrame:
@@ -59,11 +59,11 @@ def daily_value(weeks: DataFrame, valuation: DataFrame, admin: DataFrame) -> Dat
     """Prorated value per stay, campaign and calendar day.
 
     Result: (finess_epmsi, stay, campagne, billing_case, day, entries, unit, hosp, value), where
-    ``value`` covers all entries of the day. Weekly records are aggregated to one row per stay and
-    week, brought together by stay once, and joined to one amounts row per stay: no fan-out, and
-    the denominators come from the same shuffle.
+    ``value`` covers all entries of the day. Weekly records are aggregated per stay, week and unit,
+    brought together by stay once, and joined to one amounts row per stay: no fan-out, and the
+    denominators come from the same shuffle.
     """
-    profile = with_day_totals(week_profile(weeks))
+    profile = week_profile(weeks)
     amounts = amounts_per_stay(tag_cases(billed_amounts(valuation)))
     joined = amounts.join(profile, STAY, "left")
 
@@ -74,17 +74,18 @@ def daily_value(weeks: DataFrame, valuation: DataFrame, admin: DataFrame) -> Dat
     ))
     spread = (
         joined.where("n_week > 0")
-        .select(*STAY, "monday", "days", "n_week", "n_stay", "n_campaign", F.explode(applies).alias("a"))
+        .select(*STAY, "monday", "unit", "hosp", "days", "n_week", "n_stay", "n_campaign", F.explode(applies).alias("a"))
         .withColumn("rate", F.col("a.amount") / F.when(F.col("a.billing_case") == 4, F.col("n_week"))
                     .when(F.col("a.billing_case") == 2, F.col("n_stay")).otherwise(F.col("n_campaign")))
     )
-    on_days = profile_days(spread, F.col("a.campagne").alias("campagne"), F.col("a.billing_case").alias("billing_case"), "rate")
+    spread = spread.select(*STAY, "monday", "unit", "hosp", "days", "rate", "a.campagne", "a.billing_case")
+    on_days = profile_days(spread, "campagne", "billing_case", "rate")
     by_day = on_days.select(
         *STAY, "campagne", "billing_case", "day", "entries", "unit", "hosp",
         (F.col("rate") * F.col("entries")).alias("value"),
     )
 
-    no_day = joined.where("week is null or (n_stay = 0 and first_week)").select(
+    no_day = joined.where("week is null or (n_stay = 0 and first)").select(
         *STAY, F.explode(F.filter("amounts", lambda a: a["billing_case"] == 2)).alias("a")
     )
     entry = admin.where("date_entree is not null").groupBy(*STAY).agg(

@@ -38,47 +38,54 @@ def expand_days(weeks: DataFrame, *keep: str) -> DataFrame:
     )
 
 
-def week_profile(weeks: DataFrame, order: tuple[str, ...] = ("source_file", "line_no")) -> DataFrame:
-    """One row per stay and ISO week: entries per weekday and the last record's unit and type per day.
+def week_profile(weeks: DataFrame, order: str = "line_no") -> DataFrame:
+    """Day entries per stay, ISO week, unit and hospitalisation type, with the stay's totals.
 
-    Two records of a stay may flag the same day: both count as entries, the later one gives the
-    day's unit. Everything is one aggregate with map-side combine, and a stay has at most 53 rows a
-    year afterwards whatever the number of records.
+    Two records of a stay may flag the same day: both count as entries, and the day belongs to the
+    unit of the later record by ``order`` (a number giving the processing order). ``days`` holds
+    the entries of the seven days the row owns; ``n_week``, ``n_campaign`` and ``n_stay`` are the
+    entries of the week, of the campaign year and of the whole stay; ``first`` marks one row per
+    stay.
+
+    Records are first aggregated with map-side combine to at most one row per stay, week and unit,
+    so the windows by stay that follow are bounded by the calendar however many records there are.
     """
-    at = F.struct(*[F.col(c) for c in order])
     def flag(i: int) -> Column:
         return F.substring("flags", i + 1, 1) == "1"
-    def last(name: Column, i: int) -> Column:
-        return F.max_by(name, F.when(flag(i), at))
-    days = F.array(*[
-        F.struct(
-            F.count_if(flag(i)).cast("int").alias("entries"),
-            last(F.col("numero_unite_medicale"), i).alias("unit"),
-            last(hospitalisation_group(F.col("type_hospitalisation")), i).alias("hosp"),
-        ) for i in range(7)
-    ])
-    valid = weeks.where(F.col("monday").isNotNull() & F.col("stay").isNotNull())
-    return valid.groupBy(*STAY, "iso_year", "week", "monday", "sunday_year").agg(
-        days.alias("days"), F.sum("n_days").alias("n_week"),
-    )
 
-
-def with_day_totals(profile: DataFrame) -> DataFrame:
-    """Add the day entries of the whole stay and of the stay's campaign year, and a first-week mark."""
-    stay = Window.partitionBy(*STAY)
-    return profile.withColumns({
-        "n_stay": F.sum("n_week").over(stay),
-        "n_campaign": F.sum("n_week").over(Window.partitionBy(*STAY, "sunday_year")),
-        "first_week": F.row_number().over(stay.orderBy("iso_year", "week")) == 1,
+    units = ["unit", "hosp"]
+    week = [*STAY, "iso_year", "week"]
+    valid = weeks.where(F.col("monday").isNotNull() & F.col("stay").isNotNull()).withColumns({
+        "unit": F.col("numero_unite_medicale"), "hosp": hospitalisation_group(F.col("type_hospitalisation")),
     })
+    grouped = valid.groupBy(*week, *units).agg(
+        F.sum("n_days").alias("n"),
+        *[F.count_if(flag(i)).alias(f"c{i}") for i in range(7)],
+        *[F.max(F.when(flag(i), F.col(order))).alias(f"m{i}") for i in range(7)],
+    ).repartition(*STAY)
+    in_week = Window.partitionBy(*week)
+    owned = F.array(*[
+        F.when(F.col(f"m{i}") == F.max(f"m{i}").over(in_week), F.sum(f"c{i}").over(in_week)).otherwise(F.lit(0)).cast("int")
+        for i in range(7)
+    ])
+    stay = Window.partitionBy(*STAY)
+    y, w = F.col("iso_year"), F.col("week")
+    return grouped.select(
+        *week, *units, "n", owned.alias("days"), F.sum("n").over(in_week).alias("n_week"),
+        cal.iso_monday(y, w).alias("monday"), cal.sunday_year(y, w).alias("sunday_year"),
+    ).withColumns({
+        "n_stay": F.sum("n").over(stay),
+        "n_campaign": F.sum("n").over(Window.partitionBy(*STAY, "sunday_year")),
+        "first": F.row_number().over(stay.orderBy("iso_year", "week", *units)) == 1,
+    }).drop("n")
 
 
 def profile_days(profile: DataFrame, *keep: str) -> DataFrame:
     """Calendar days of a week profile: (stay, keep…, day, entries, unit, hosp)."""
     return (
-        profile.select(*STAY, *keep, "monday", F.posexplode("days").alias("_pos", "_d"))
-        .where("_d.entries > 0")
-        .select(*STAY, *keep, F.expr("date_add(monday, _pos)").alias("day"), "_d.*")
+        profile.select(*STAY, *keep, "monday", "unit", "hosp", F.posexplode("days").alias("_pos", "entries"))
+        .where("entries > 0")
+        .select(*STAY, *keep, F.expr("date_add(monday, _pos)").alias("day"), "entries", "unit", "hosp")
     )
 
 
