@@ -85,10 +85,10 @@ def _(t: Tables) -> DataFrame:
 
 _ACTIVITY = """
 with whole as (select finess_epmsi, numero_admin_sejour, sum(n_days) all_days from v_weeks group by 1, 2),
-s as (select {k}, numero_admin_sejour, count(*) rhs, sum(n_days) days, count(*) filter (coalesce(trim(indicateur_erreur), '') = '') ok from {src} group by all),
+s as (select {k}, numero_admin_sejour, count(*) rhs, sum(n_days) AS nd, count(*) filter (coalesce(trim(indicateur_erreur), '') = '') ok from {src} group by all),
 w as (select {k}, count(distinct numero_semaine) nb_semaines from {src} group by all)
-select {k}, count(*) nb_ssr, cast(sum(rhs) as bigint) nb_rhs, cast(sum(days) as bigint) nb_journees, cast(sum(all_days) as bigint) nb_journees_pleines, any_value(nb_semaines) nb_semaines,
-  round(sum(days) / count(*), 6) dmh, round(sum(all_days) / count(*), 6) dms_vraie, round(sum(days) / (any_value(nb_semaines) * 7), 6) nb_lits_moy, round(100.0 * sum(ok) / sum(rhs), 6) exh
+select {k}, count(*) nb_ssr, cast(sum(rhs) as bigint) nb_rhs, cast(sum(nd) as bigint) nb_journees, cast(sum(all_days) as bigint) nb_journees_pleines, any_value(nb_semaines) nb_semaines,
+  round(sum(nd) / count(*), 6) dmh, round(sum(all_days) / count(*), 6) dms_vraie, round(sum(nd) / (any_value(nb_semaines) * 7), 6) nb_lits_moy, round(100.0 * sum(ok) / sum(rhs), 6) exh
 from s join whole using (finess_epmsi, numero_admin_sejour) join w using ({k}) group by {k}"""
 
 

@@ -112,9 +112,9 @@ def _(t: Tables) -> DataFrame:
 @query("e55_staff_table", f"""
 with {_ALL}, a as (select finess_epmsi, iso_year, code_intervenant code, coalesce(any_value(libelle), code_intervenant) libelle, cast(sum(nombre_realisations) as bigint) n
   from v_csarr join v_in_period using (rhs_id) left join v_staff_labels l on l.code = code_intervenant where code_intervenant is not null group by 1, 2, 3)
-select a.finess_epmsi, a.iso_year, a.code, a.libelle, a.n, round_even(coalesce(globale, 0), 0) globale, round_even(coalesce(specialisee, 0), 0) specialisee from a left join sc using (finess_epmsi, iso_year, code)
+select a.finess_epmsi, a.iso_year, a.code, a.libelle, a.n, round_even(round(coalesce(globale, 0), 6), 0) globale, round_even(round(coalesce(specialisee, 0), 6), 0) specialisee from a left join sc using (finess_epmsi, iso_year, code)
 union all select finess_epmsi, iso_year, 'Total', 'Total', coalesce(n, 0), g, p from (select finess_epmsi, iso_year, cast(sum(n) as bigint) n from a group by 1, 2) full join
-  (select finess_epmsi, iso_year, round_even(sum(globale), 0) g, round_even(sum(specialisee), 0) p from sc group by 1, 2) using (finess_epmsi, iso_year)""")
+  (select finess_epmsi, iso_year, round_even(round(sum(globale), 6), 0) g, round_even(round(sum(specialisee), 6), 0) p from sc group by 1, 2) using (finess_epmsi, iso_year)""")
 def _(t: Tables) -> DataFrame:
     return dash.staff_table(dash.staff_activity(t.in_period, t.csarr, t.staff_labels), _scores(t))
 

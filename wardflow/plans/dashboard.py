@@ -156,15 +156,17 @@ def staff_table(activity: DataFrame, scores: DataFrame, by: list[str] | None = N
     """Staff types with count and rounded scores, and a total row over all scores.
 
     The total includes scores without a staff type of their own (medical acts). Rounding is
-    half-even.
+    half-even, after the noise of summing in another order is dropped.
     """
     by = by or PERIOD
+    def whole(value: Column) -> Column:
+        return F.bround(F.round(F.coalesce(value, F.lit(0.0)), 6), 0)
     lines = activity.join(scores.drop("n"), [*by, "code"], "left").select(
         *by, "code", "libelle", "n",
-        *[F.bround(F.coalesce(c, F.lit(0.0)), 0).alias(c) for c in ("globale", "specialisee")],
+        *[whole(F.col(c)).alias(c) for c in ("globale", "specialisee")],
     )
     counts = activity.groupBy(*by).agg(F.sum("n").alias("n"))
-    sums = scores.groupBy(*by).agg(*[F.bround(F.sum(c), 0).alias(c) for c in ("globale", "specialisee")])
+    sums = scores.groupBy(*by).agg(*[whole(F.sum(c)).alias(c) for c in ("globale", "specialisee")])
     total = counts.join(sums, by, "full_outer").select(
         *by, F.lit("Total").alias("code"), F.lit("Total").alias("libelle"), F.coalesce("n", F.lit(0)).alias("n"),
         *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("globale", "specialisee")],
