@@ -149,14 +149,13 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("d17_stay_sheet", """
-with s as (select distinct finess_epmsi, stay from v_weeks where stay like '%77')
-select s.finess_epmsi, s.stay, (select count(*) from v_weeks w where w.stay = s.stay) n_weeks, (select cast(sum(n_days) as bigint) from v_weeks w where w.stay = s.stay) n_days,
-  (select count(*) from v_das join v_weeks w using (rhs_id) where w.stay = s.stay) n_das, (select count(*) from v_csarr join v_weeks w using (rhs_id) where w.stay = s.stay) n_csarr,
-  (select min(numero_semaine) from v_weeks w where w.stay = s.stay and line_no = (select min(line_no) from v_weeks x where x.stay = s.stay)) first_week,
-  (select any_value(date_entree) from v_admin a where a.stay = s.stay) entree, (select cast(sum(montant_br_sej) as double) from v_valuation v where v.stay = s.stay) montant from s""")
+with w as (select finess_epmsi, stay, count(*) n_weeks, cast(sum(n_days) as bigint) n_days, arg_min(numero_semaine, line_no) first_week from v_weeks group by 1, 2),
+d as (select stay, count(*) n from v_das join v_weeks using (rhs_id) group by 1), c as (select stay, count(*) n from v_csarr join v_weeks using (rhs_id) group by 1),
+v as (select stay, cast(sum(montant_br_sej) as double) m from v_valuation group by 1)
+select w.finess_epmsi, w.stay, n_weeks, n_days, coalesce(d.n, 0) n_das, coalesce(c.n, 0) n_csarr, first_week, date_entree entree, m montant
+from w left join d using (stay) left join c using (stay) left join v using (stay) left join v_admin a on a.stay = w.stay""")
 def _(t: Tables) -> DataFrame:
-    chosen = t.stays.where("stay like '%77'")
-    sheet = ex.stay_sheet(chosen, t.weeks, t.admin, t.valuation, {"das": t.das, "csarr": t.csarr})
+    sheet = ex.stay_sheet(t.stays, t.weeks, t.admin, t.valuation, {"das": t.das, "csarr": t.csarr})
     size = lambda c: F.greatest(F.size(F.coalesce(F.col(c), F.array())), F.lit(0)).cast("bigint")
     return sheet.select(
         "finess_epmsi", "stay", size("weeks").alias("n_weeks"), "n_days", size("das").alias("n_das"), size("csarr").alias("n_csarr"),

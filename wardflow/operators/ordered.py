@@ -101,6 +101,17 @@ def fold_smallest(df: DataFrame, label: str, value: str, n: int, within: list[st
     )
 
 
+def fold_series(df: DataFrame, series: str, keys: list[str], value: str, n: int) -> DataFrame:
+    """Keep the ``n - 1`` largest series by their sum and add the rest up per key as "Autres (k)"."""
+    totals = df.groupBy(series).agg(F.sum(value).alias("_total"))
+    size = totals.agg(F.count(F.lit(1)).alias("k")).scalar()
+    head = ranked_head(totals, [F.col("_total").desc(), F.col(series)], n, "_rn")
+    kept = head.where((size <= n) | (F.col("_rn") < n)).select(series, F.lit(True).alias("_kept"))
+    others = F.concat(F.lit(f"{OTHERS} ("), (size - (n - 1)).cast("string"), F.lit(")"))
+    label = F.when(F.col("_kept"), F.col(series)).otherwise(others)
+    return df.join(kept, series, "left").groupBy(label.alias(series), *keys).agg(F.sum(value).alias(value))
+
+
 def first_groups(df: DataFrame, facet: str, limit: int = 12) -> DataFrame:
     """Rows of the first ``limit`` facet values in sort order."""
     shown = df.select(facet).distinct().orderBy(facet).limit(limit)
