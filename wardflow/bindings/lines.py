@@ -1,4 +1,7 @@
-"""Transmission lines rendered from the supplied tables, with the faults real files have."""
+"""Transmission files rendered from the supplied tables, with the faults real files have.
+
+The lines are written to the shared folder and scanned back, as a drop folder would be.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardflow.bindings.tables import Tables
-from wardflow.sources.fixed_width import render
+from wardflow.session import run_folder
+from wardflow.sources.fixed_width import read_lines, render
 from wardflow.sources.layouts import ADMIN, WEEKLY, Family
 
 # Faults by record number: see ``oracle`` texts of the ingest queries.
@@ -30,7 +34,7 @@ def _block_text(children: DataFrame, family: Family, name: str) -> DataFrame:
 
 
 def weekly_lines(t: Tables) -> DataFrame:
-    """(source_file, line_no, line, n) of all weekly records; ``n`` numbers the fault pattern."""
+    """Scanned lines of all weekly records; ``n`` numbers the fault pattern."""
     rows = t.records.withColumn("n", F.expr("cast(substring(numero_admin_sejour, 1, 9) as bigint) + cast(substring(numero_semaine, 1, 2) as int)"))
     for name, children in (("das", t.das), ("csarr", t.csarr), ("csar", t.csar), ("ccam", t.ccam)):
         rows = rows.join(_block_text(children, WEEKLY, name), "rhs_id", "left")
@@ -40,9 +44,17 @@ def weekly_lines(t: Tables) -> DataFrame:
     out = None
     for version in WEEKLY.versions:
         part = render(rows.where(F.col("version_format_rhs_groupe") == version), WEEKLY, version, blocks)
-        part = part.select(F.concat(F.lit("rhs_"), "finess_epmsi", F.lit(".txt")).alias("source_file"), "line_no", "line", "n", "rhs_id", F.lit(version).alias("v"))
+        part = part.select("finess_epmsi", "line", "n", F.lit(version).alias("v"))
         out = part if out is None else out.unionByName(part)
-    return out.withColumn("line_no", F.xxhash64("rhs_id")).withColumn("line", _faults(F.col("line")))
+    return _dropped(t, out.select("finess_epmsi", _faults(F.col("line")).alias("value")), "rhs_")
+
+
+def _dropped(t: Tables, rows: DataFrame, prefix: str) -> DataFrame:
+    """Write (finess_epmsi, value) as text and scan it; a transmission may be several part files."""
+    folder = run_folder(t.spark, prefix.strip("_"))
+    rows.write.partitionBy("finess_epmsi").text(folder)
+    name = F.concat(F.lit(prefix), F.regexp_extract("source_file", "finess_epmsi=([0-9]+)", 1), F.lit(".txt"))
+    return read_lines(t.spark, folder).withColumn("source_file", name)
 
 
 def _faults(line: Column) -> Column:
@@ -53,11 +65,11 @@ def _faults(line: Column) -> Column:
 
 
 def admin_lines(t: Tables) -> DataFrame:
-    """(source_file, line_no, line) of all administrative rows, in the current version."""
+    """Scanned lines of all administrative rows, in the current version."""
     rows = t.admin.withColumns({
         "nombre_disciplines_prestations": F.lit(1), "nom_medecin_traitant": F.lit("MARTIN"), "prenom_medecin_traitant": F.lit("CLAUDE"),
         "numero_immatriculation_individuel": F.col("numero_immatriculation_assure"),
-        "source_file": F.concat(F.lit("vid_"), "finess_epmsi", F.lit(".txt")),
     })
     block = F.concat(F.rpad(F.lit("519"), 5, " "), F.rpad(F.lit(""), 16, "0"), F.lit("003"), F.rpad(F.lit(""), 26, "0"))
-    return render(rows, ADMIN, "V016", {"dmt": block}).select("source_file", "line_no", "line")
+    lines = render(rows, ADMIN, "V016", {"dmt": block})
+    return _dropped(t, lines.select("finess_epmsi", F.col("line").alias("value")), "vid_")

@@ -57,7 +57,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("a4_repeated_blocks", f"""
 with k as (select rhs_id, version_format_rhs_groupe v from v_weeks where {_KNOWN} and not ({_SHORT}))
-select 'das' block, code_das code, null staff, null day, count(*) n, 0 done from v_das join k using (rhs_id) group by all
+select 'das' block, code_das code, null staff, null jour, count(*) n, 0 done from v_das join k using (rhs_id) group by all
 union all select 'csarr', code_principal, code_intervenant, date_realisation, count(*), cast(sum(nombre_realisations) as int) from v_csarr join k using (rhs_id) group by all
 union all select 'csar', code_principal, code_intervenant, date_realisation, count(*), cast(sum(nombre_realisations) as int) from v_csar join k using (rhs_id) where v = 'M1D' group by all
 union all select 'ccam', code_ccam, null, date_realisation, count(*), cast(sum(nombre_realisations) as int) from v_ccam join k using (rhs_id) group by all""")
@@ -70,7 +70,7 @@ def _(t: Tables) -> DataFrame:
         items = fw.explode_block(records, name, "line_no")
         day = none if name == "das" else F.col("date_realisation")
         done = F.lit(0) if name == "das" else F.sum("nombre_realisations").cast("int")
-        rows = items.groupBy(F.col(code).alias("code"), staff.alias("staff"), day.alias("day")).agg(F.count("*").alias("n"), done.alias("done")).withColumn("block", F.lit(name))
+        rows = items.groupBy(F.col(code).alias("code"), staff.alias("staff"), day.alias("jour")).agg(F.count("*").alias("n"), done.alias("done")).withColumn("block", F.lit(name))
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -157,7 +157,7 @@ def _(t: Tables) -> DataFrame:
     log = store.ErrorLog(run_folder(t.spark, "errors"))
     for load in (1, 2):
         log.append(errors, lines, load)
-    return log.current(t.spark).groupBy("source_file").agg(F.count_distinct("line_no").alias("n"))
+    return log.current(t.spark).groupBy("source_file").agg(F.count("*").alias("n"))
 
 
 @query("a24_load_summary", f"""
