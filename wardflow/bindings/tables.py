@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from wardflow.operators.presence import STAY, last_presence, with_week
 from wardflow.plans.periods import reporting_periods, weeks_in_period
 from wardflow.plans.scores import ScoreTables
+from wardflow.session import run_folder
 from wardflow.sources import nomenclatures as nom
 
 
@@ -41,6 +42,9 @@ RECORD_ID = "concat(lpad(cast(l_orderkey as string), 9, '0'), '|', lpad(cast(iw
 DEPENDENCE = ["habillage_toilette", "deplacement", "alimentation", "continence", "comportement", "relation"]
 
 
+_STORED: dict[tuple[str, str, str], str] = {}  # written tables of this process by (application, folder, name)
+
+
 class Tables:
     """Lazy views over one data folder."""
 
@@ -96,13 +100,27 @@ class Tables:
         }
         return joined.select(
             "rhs_id", "finess_epmsi", "numero_admin_sejour", *[F.expr(v).alias(k) for k, v in text.items()],
+            F.expr("cast(o_orderkey as string)").alias("stay"), F.col("iy").alias("iso_year"), F.col("iw").alias("week"),
             "n1_nb_das", *kinds, F.lit("lineitem").alias("source_file"),
             F.expr("cast(iy as bigint) * 1000 + iw * 10 + case l_returnflag when 'A' then 0 when 'N' then 1 else 2 end").alias("line_no"),
         )
 
+    def stored(self, name: str, rows: DataFrame) -> DataFrame:
+        """``rows`` written once per application to the shared folder and read back.
+
+        The weekly table and the valuation table are what a load would have left behind; every
+        section scans a few columns of them instead of deriving them again for each of its uses.
+        """
+        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        if key not in _STORED:
+            path = run_folder(self.spark, name)
+            rows.write.parquet(path)
+            _STORED[key] = path
+        return self.spark.read.parquet(_STORED[key])
+
     @cached_property
     def weeks(self) -> DataFrame:
-        return with_week(self.records)
+        return self.stored("weeks", with_week(self.records))
 
     @cached_property
     def periods(self) -> DataFrame:
@@ -173,6 +191,9 @@ class Tables:
 
     @cached_property
     def valuation(self) -> DataFrame:
+        return self.stored("valuation", self._valuation())
+
+    def _valuation(self) -> DataFrame:
         """Valuation rows in the shapes of the four billing cases."""
         sunday = F.expr("year(date_add(d, 6 - dow))")
         weekly = self.lines.groupBy(F.col("l_orderkey").alias("k"), "iy", "iw", sunday.alias("sy")).agg(

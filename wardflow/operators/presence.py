@@ -15,13 +15,16 @@ def with_week(records: DataFrame) -> DataFrame:
     """Add stay key, ISO week parts, Monday, campaign year, flags and day count to weekly records.
 
     A week its year does not have leaves ``monday`` NULL; such a record yields no calendar day.
+    A stored table that already has ``stay``, ``iso_year`` and ``week`` as real columns keeps them, so
+    filters and join keys reach the scan as plain columns.
     """
     code = F.col("numero_semaine")
+    parsed = {
+        "stay": stay_key(F.col("numero_admin_sejour")), "week": cal.week_of_code(code), "iso_year": cal.year_of_code(code),
+    }
+    missing = {name: value for name, value in parsed.items() if name not in records.columns}
     return records.withColumns({
-        "stay": stay_key(F.col("numero_admin_sejour")),
-        "week": cal.week_of_code(code),
-        "iso_year": cal.year_of_code(code),
-        "flags": day_flags(F.col("jours_hors_weekend"), F.col("jours_weekend")),
+        **missing, "flags": day_flags(F.col("jours_hors_weekend"), F.col("jours_weekend")),
     }).withColumns({
         "monday": cal.iso_monday(F.col("iso_year"), F.col("week")),
         "n_days": present_days(F.col("flags")),
