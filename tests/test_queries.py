@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 import oracle_check
+from wardflow.bindings.registry import ORACLE, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 SAMPLE = [
@@ -30,7 +31,8 @@ def test_query(spark, con, name):
 
 
 def test_every_query_has_checking_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
 
 
 def test_entry(spark):
