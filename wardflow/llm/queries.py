@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardflow.llm import merge_replay, planes, sketch, url_lists  # noqa: F401
+from wardflow.llm import merge_replay, planes, simhash, sketch, url_lists  # noqa: F401
 from wardflow.llm.registry import ORACLES, QUERIES
 
 
