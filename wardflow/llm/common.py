@@ -27,8 +27,17 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def map_batches(df: DataFrame, schema: str, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+def filter_rows(docs: DataFrame, text_col: str, make_keep: Callable[[], Callable[[list[str]], list[bool]]]) -> DataFrame:
+    """The rows, with all their columns, whose text a function keeps; ``make_keep`` makes it once per task."""
+    at = docs.columns.index(text_col)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = make_keep()
+        for batch in batches:
+            for some in slices(batch, at):
+                yield some.filter(pa.array(keep([t or "" for t in some.column(at).to_pylist()]), pa.bool_()))
+
+    return docs.mapInArrow(kept, docs.schema)
 
 
 def slices(batch: pa.RecordBatch, text_at: int = 1, chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:

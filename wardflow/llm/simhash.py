@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wardflow.llm.common import id_and_text, slices, table, written
@@ -192,13 +192,20 @@ def near_duplicates(docs: DataFrame, width: int = 3, bits: int = 2, id_col: str
 
 
 def keep_one(docs: DataFrame, width: int = 3, bits: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each near-duplicate component: that of the smallest id, its first text among equal ids.
+    """``docs``, all columns, with one row of each near-duplicate component: that of the smallest id.
 
-    A row with a null id stays only if it is alone in a component of null ids.
+    Of rows that share an id the first text in order stands for them. Only the ids that go, or that are repeated, are
+    joined to the texts.
     """
-    found = near_duplicates(docs, width, bits, id_col, text_col)
-    kept = found.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("kept_id")), "left_semi")
+    found = written(near_duplicates(docs, width, bits, id_col, text_col), "components")
+    gone = found.where("id <> component_id or (id is null and component_id is not null)").select(F.col("id").alias("gone_id")).distinct()
+    docs = docs.join(gone, F.col(id_col).eqNullSafe(F.col("gone_id")), "left_anti")
+    repeated = found.groupBy("id").count().where("count > 1").select(F.col("id").alias("again_id"))
+    on = F.col(id_col).eqNullSafe(F.col("again_id"))
+    if repeated.isEmpty():
+        return docs
+    first = docs.join(repeated, on, "left_semi").withColumn("nth_of_id", F.row_number().over(Window.partitionBy(id_col).orderBy(text_col)))
+    return docs.join(repeated, on, "left_anti").unionByName(first.where("nth_of_id = 1").drop("nth_of_id"))
 
 
 @query("op2_vantage_point_simhash")
