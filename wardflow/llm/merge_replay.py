@@ -155,7 +155,7 @@ class MergeReplay:
         return out
 
     def pieces(self, pieces: list[str]) -> list[bytes]:
-        split = [[p] if p[1:].isalpha() and (p[0] == " " or p[0].isalpha()) else self.pattern.findall(p) for p in pieces]
+        split = [[p] if p.isalpha() or p[:1] == " " and p[1:].isalpha() else self.pattern.findall(p) for p in pieces]
         distinct = list({w for parts in split for w in parts})
         known = dict(zip(distinct, self.words(distinct), strict=True))
         return [b"".join(map(known.__getitem__, parts)) for parts in split]
@@ -184,7 +184,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(vocabulary)
         for batch in batches:
-            for some in slices(batch):
+            for some in slices(batch, chars=8_000_000):
                 ids = own.encode(some.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([
                     some.column(0).cast(pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(map(own.decode, ids), pa.binary()),
@@ -199,7 +199,7 @@ def digest_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(vocabulary)
         for batch in batches:
-            for some in slices(batch):
+            for some in slices(batch, chars=8_000_000):
                 ids = own.encode(some.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([
                     some.column(0).cast(pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()),

@@ -2,7 +2,8 @@
 
 A byte-level word pattern always starts a new match at a space that follows something other than white space. So a text
 falls into pieces there, each piece encodes on its own, and a worker encodes each distinct piece once. Texts with white
-space before a space take the encoder's whole-text way.
+space before a space take the encoder's whole-text way. A piece falls further, where the pattern must also part it: at
+a line end between other characters, and at full stops and commas after a letter.
 """
 
 from __future__ import annotations
@@ -13,28 +14,45 @@ from collections.abc import Callable, Iterable
 _UNEVEN = re.compile(r"\s ")
 
 
+def segments(piece: str) -> list[str]:
+    """The parts of a piece, in order."""
+    if "\n" in piece:
+        lines = piece.split("\n")
+        if len(lines) > 2 or not all(lines) or lines[0][-1].isspace() or lines[1][0].isspace():
+            return [piece]
+        return [*segments(lines[0]), "\n", *segments(lines[1])]
+    core = piece.rstrip(".,")
+    if len(core) == len(piece) or not core or not core[-1].isalpha():
+        return [piece]
+    return [core, piece[len(core) :]]
+
+
 class PieceCache:
     """ids of texts as little-endian unsigned 32-bit bytes.
 
     ``encode_pieces`` takes distinct strings and gives the bytes of each; ``encode_text`` does the same for one whole
-    text. ``limit`` bounds the kept pieces; beyond it the cache starts anew.
+    text. ``limit`` bounds the kept parts; beyond it the cache starts anew.
     """
 
     def __init__(self, encode_pieces: Callable[[list[str]], Iterable[bytes]], encode_text: Callable[[str], bytes], limit: int = 1_200_000):
         self.encode_pieces, self.encode_text, self.limit = encode_pieces, encode_text, limit
-        self.spaced: dict[str, bytes] = {}  # piece without its leading space: bytes of the piece with it
+        self.known: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [None if _UNEVEN.search(t) else t.split(" ") for t in texts]
         wanted: set[str] = set()
+        heads = {parts[0] for parts in split if parts}
         for parts in split:
             if parts:
                 wanted.update(parts[1:])
-        if len(self.spaced) > self.limit:
-            self.spaced.clear()
-        new = list(wanted.difference(self.spaced))
-        self.spaced.update(zip(new, self.encode_pieces([" " + p for p in new]), strict=True))
-        heads = list({parts[0] for parts in split if parts} - {""})
-        first = dict(zip(heads, self.encode_pieces(heads), strict=True)) | {"": b""}
-        get = self.spaced.__getitem__
-        return [self.encode_text(t) if parts is None else b"".join([first[parts[0]], *map(get, parts[1:])]) for t, parts in zip(texts, split, strict=True)]
+        if len(self.known) > self.limit:
+            self.known.clear()
+        cut = [(p, segments(" " + p)) for p in wanted]
+        first = [(p, segments(p)) for p in heads]
+        new = list({part for group in (cut, first) for _, parts in group for part in parts}.difference(self.known))
+        self.known.update(zip(new, self.encode_pieces(new), strict=True))
+        known = self.known
+        spaced = {p: known[parts[0]] if len(parts) == 1 else b"".join([known[part] for part in parts]) for p, parts in cut}
+        bare = {p: b"".join([known[part] for part in parts]) for p, parts in first}
+        get = spaced.__getitem__
+        return [self.encode_text(t) if parts is None else b"".join([bare[parts[0]], *map(get, parts[1:])]) for t, parts in zip(texts, split, strict=True)]

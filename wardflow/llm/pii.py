@@ -122,7 +122,7 @@ def patterns(scanned: DataFrame, min_seeds: int = MIN_SEEDS, min_score: float =
     """
     each = scanned.select(F.explode("cues").alias("c")).select("c.pattern", "c.instance", "c.kind")
     edges = each.groupBy("pattern", "instance", "kind").agg(F.count("*").alias("n"))
-    totals = edges.groupBy("pattern").agg(F.sum("n").alias("total"), F.count_if("kind is not null").alias("seeds")).where(F.col("seeds") >= min_seeds)
+    totals = edges.groupBy("pattern").agg(F.sum("n").alias("total"), F.count_if(F.col("kind").isNotNull()).alias("seeds")).where(F.col("seeds") >= min_seeds)
     graph = written(edges.join(totals, "pattern"), "pattern-graph")
     scores = graph.where("kind is not null").select("instance").distinct().withColumn("score", F.lit(1.0))
     for _ in range(rounds):
