@@ -142,7 +142,7 @@ def added_spans(scanned: DataFrame, learnt: DataFrame) -> DataFrame:
     """(id, mark, added) of the documents in which learnt patterns discover identifiers."""
     places = scanned.select("id", "mark", F.explode("cues").alias("c")).where("c.instance is not null and c.kind is null").select("id", "mark", "c.pattern", "c.a", "c.b").distinct()
     return places.join(learnt.select("pattern", "kind"), "pattern").groupBy("id", "mark").agg(
-        F.array_sort(F.collect_set(F.struct(F.col("kind"), F.col("a").cast("int"), F.col("b").cast("int")))).alias("added")  # of one document
+        F.array_sort(F.collect_set(F.struct("kind", "a", "b"))).alias("added")  # of one document
     )
 
 
@@ -167,7 +167,8 @@ def mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     added = added_spans(scanned, patterns(scanned)).select(F.col("id").alias("pii_id"), F.col("mark").alias("pii_mark"), F.col("added").alias("pii_added"))
     on = F.col(id_col).eqNullSafe(F.col("pii_id")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("pii_mark"))
     joined = docs.join(added, on, "left").select(*docs.columns, "pii_added")
-    at, n = docs.columns.index(text_col), len(docs.columns)
+    names = docs.columns
+    at, n = names.index(text_col), len(names)
 
     def cover(text: str | None, more: list[dict] | None) -> str | None:
         if not text:
@@ -186,7 +187,7 @@ def mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             for some in slices(batch, at):
                 columns = [some.column(i) for i in range(n)]
                 columns[at] = pa.array(map(cover, columns[at].to_pylist(), some.column(n).to_pylist()), columns[at].type)
-                yield pa.RecordBatch.from_arrays(columns, names=docs.columns)
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return joined.mapInArrow(masked, docs.schema)
 
