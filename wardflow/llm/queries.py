@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardflow.llm import decontaminate, merge_replay, pii, planes, simhash, sketch, suffix_tree, toxicity, url_lists  # noqa: F401
+from wardflow.llm import decontaminate, dom_boost, merge_replay, pii, planes, simhash, sketch, suffix_tree, toxicity, url_lists  # noqa: F401
 from wardflow.llm.registry import ORACLES, QUERIES
 
 
