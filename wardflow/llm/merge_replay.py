@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from wardflow.llm.common import id_and_text, slices, table
 from wardflow.llm.pieces import PieceCache
@@ -178,19 +179,22 @@ def encoder(vocabulary: str) -> MergeReplay:
     return _ENCODERS[vocabulary]
 
 
-def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids binary, decoded binary) per row, in place: no shuffle."""
+def encode_rows(docs: DataFrame, vocabulary: str, text_col: str = "text") -> DataFrame:
+    """``docs``, all columns, with n_tokens, ids (binary) and decoded (string); columns of these names are replaced."""
+    docs = docs.drop("n_tokens", "ids", "decoded")
+    at = docs.columns.index(text_col)
+    names = [*docs.columns, "n_tokens", "ids", "decoded"]
+    schema = StructType([*docs.schema.fields]).add("n_tokens", "long").add("ids", "binary").add("decoded", "string")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(vocabulary)
         for batch in batches:
-            for some in slices(batch, chars=8_000_000):
-                ids = own.encode(some.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([
-                    some.column(0).cast(pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(map(own.decode, ids), pa.binary()),
-                ], names=["doc_id", "n_tokens", "ids", "decoded"])
+            for some in slices(batch, at, chars=8_000_000):
+                ids = own.encode([t or "" for t in some.column(at).to_pylist()])
+                more = pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([own.decode(x).decode() for x in ids], pa.string())
+                yield pa.RecordBatch.from_arrays([*some.columns, *more], names=names)
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(encode, "doc_id long, n_tokens long, ids binary, decoded binary")
+    return docs.mapInArrow(encode, schema)
 
 
 def digest_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from wardflow.llm import decontaminate, dom_boost, merge_replay, pii, planes, simhash, sketch, suffix_tree, toxicity, url_lists  # noqa: F401
 from wardflow.llm.registry import ORACLES, QUERIES
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    return {**QUERIES, "pipeline": corpus_pipeline.run}
 
 
 def all_oracles() -> dict[str, str]:
