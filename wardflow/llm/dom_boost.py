@@ -12,7 +12,7 @@ pieces whose nature is known put around and into the article: sidebars, notices,
 for them come from other pages of the sample. An element's label is that of its nearest marked ancestor.
 
 Defined results: null, empty or textless html gives an empty text; unclosed, crossed and cut tags are read as far as
-they go; without any page that marks an article a fixed skeleton is used for training; repeated rows give equal texts;
+they go; without any page that marks an article plain made-up pages are used for training; repeated rows give equal texts;
 other columns are ignored.
 """
 
@@ -264,7 +264,19 @@ def main_texts(sources: list[str], model: BoostedTrees) -> list[str]:
 
 
 _ARTICLE = re.compile(r"<(article|main)\b[^>]*>(.*?)(?:</\1\s*>|(?=<footer\b)|\Z)", re.S | re.I)
-SKELETON = "<html><body><nav><ul><li><a href=/a>One</a></li><li><a href=/b>Two</a></li></ul></nav><article><h1>Title of it</h1>" + "<p>A sentence that goes on, as texts do. Another follows it.</p>" * 6 + "</article><footer>&copy; some site</footer></body></html>"
+
+
+def skeletons(n: int = 60, seed: int = 1) -> list[str]:
+    """Plain pages of made-up words, for a table without pages to learn from."""
+    rng = np.random.default_rng(seed)
+    word = lambda: "".join(chr(97 + int(c)) for c in rng.integers(0, 26, int(rng.integers(1, 10))))
+    text = lambda k: " ".join(word() for _ in range(k)).capitalize() + "."
+    out = []
+    for _ in range(n):
+        menu = "".join(f"<li><a href=/x>{text(1)}</a></li>" for _ in range(int(rng.integers(2, 8))))
+        body = "".join(f"<p>{text(int(k))} {text(int(k) // 2 + 1)}</p>" for k in rng.integers(1, 70, int(rng.integers(1, 15))))
+        out.append(f"<html><body><nav><ul>{menu}</ul></nav><div class=ad>{text(6)}</div><article><h1>{text(4)}</h1>{body}</article><footer>&copy; {text(3)}</footer></body></html>")
+    return out
 
 
 def variants(sources: list[str], seed: int = 3, each: int = VARIANTS) -> list[str]:
@@ -319,7 +331,7 @@ def variants(sources: list[str], seed: int = 3, each: int = VARIANTS) -> list[st
 
 
 def train(sources: list[str]) -> BoostedTrees:
-    pages = [Page(s) for s in variants(sources) or variants([SKELETON, SKELETON])]
+    pages = [Page(s) for s in variants(sources) or variants(skeletons())]
     y = np.array([t for p in pages for t in p.truth], dtype=float)
     x = features(pages)
     own = np.concatenate([np.bincount([b[0] for b in p.blocks], weights=[len(b[1]) for b in p.blocks], minlength=len(p.group)) if p.blocks else np.zeros(len(p.group)) for p in pages])

@@ -19,6 +19,7 @@ repeated rows score alike; other columns are never read.
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from collections import Counter
@@ -202,76 +203,77 @@ def text_features(each: list[np.ndarray]) -> np.ndarray:
     return np.column_stack([top, np.log1p(above), np.log1p(50 * above / n)])
 
 
-def first_weights(texts: list[list[str]], toxic: np.ndarray) -> dict[str, float]:
-    """Segments of toxic texts by the log-odds of their best plain run of four symbols."""
-    toxic_of: dict[str, int] = {}
-    other_of: dict[str, int] = {}
-    for words, bad in zip(texts, toxic, strict=True):
-        runs = {w[i : i + 4] for s in words for w in (f"\2{s}\3",) for i in range(max(1, len(w) - 3))}
-        counts = toxic_of if bad else other_of
-        for r in runs:
-            counts[r] = counts.get(r, 0) + 1
-    n, m = toxic.sum(), (~toxic).sum()
-    least = max(2, 0.003 * n)
-    odds = {r: np.log((k + 0.5) / (n + 1)) - np.log((other_of.get(r, 0) + 0.5) / (m + 1)) for r, k in toxic_of.items() if k >= least}
-    out = {}
-    for words, bad in zip(texts, toxic, strict=True):
-        for s in words if bad else ():
-            if s not in out:
-                w = f"\2{s}\3"
-                out[s] = max((odds.get(w[i : i + 4], -9.0) for i in range(max(1, len(w) - 3))), default=-9.0)
+def first_values(listed: list[str], texts: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
+    """Of every segment the log-odds of its best plain run of four symbols, -9 if it has none that toxic texts share."""
+    code, word = symbols(listed)
+    n = len(code) - 3
+    real = np.flatnonzero((code[:n] > 0) & (code[3:] > 0))
+    runs, run = np.unique(code[real] << 18 | code[real + 1] << 12 | code[real + 2] << 6 | code[real + 3], return_inverse=True)
+    of = word[real]
+    begin = np.searchsorted(of, np.arange(len(listed) + 1))
+    df = np.zeros((2, len(runs)))
+    for places, bad in zip(texts, toxic, strict=True):
+        inside = np.concatenate([np.arange(begin[w], begin[w + 1]) for w in places.tolist()] or [np.empty(0, np.int64)])
+        df[int(bad), np.unique(run[inside])] += 1
+    n_bad, n_good = toxic.sum(), (~toxic).sum()
+    odds = np.log((df[1] + 0.5) / (n_bad + 1)) - np.log((df[0] + 0.5) / (n_good + 1))
+    odds[df[1] < max(2, 0.003 * n_bad)] = -9.0
+    out = np.full(len(listed), -9.0)
+    np.maximum.at(out, of, odds[run])
     return out
 
 
 def train(texts: list[list[str]], toxic: np.ndarray, seed: int = 5) -> Model:
     """Model from the segments of labelled texts."""
     rng = np.random.default_rng(seed)
+    nothing = Model(np.empty(0, np.int64), np.empty(0), -1.0, np.array([0.0, 0.0, 0.0, -1e-6]))
     if not toxic.any() or toxic.all():
-        return Model(np.empty(0, np.int64), np.empty(0), -1.0, np.array([0.0, 0.0, 0.0, -1e-6]))
-    start = first_weights(texts, toxic)
-    order = sorted(start, key=lambda w: (-start[w], w))
-    good = sorted({w for words, bad in zip(texts, toxic, strict=True) if not bad for w in words})
-    seen_in: dict[str, int] = {}
-    for words, bad in zip(texts, toxic, strict=True):
-        for w in words if bad else ():
-            seen_in[w] = seen_in.get(w, 0) + 1
-    likely = sorted(order[: 20 * LANDMARKS], key=lambda w: (-start[w] * np.log1p(seen_in[w]), w))
-    lands, used = [], {}
-    for w in likely:  # landmarks that begin alike are kept few
-        if used.get(w[:3], 0) < 6 and len(lands) < LANDMARKS * 3 // 4 and len(w) > 2:
-            used[w[:3]] = used.get(w[:3], 0) + 1
+        return nothing
+    index: dict[str, int] = {}
+    texts = [np.array([index.setdefault(w, len(index)) for w in words], dtype=np.int32) for words in texts]
+    names = np.array(sorted(index), dtype=object)
+    rank = np.empty(len(index), dtype=np.int32)
+    rank[[index[w] for w in names]] = np.arange(len(names))
+    listed, texts = names.tolist(), [np.sort(rank[t]) for t in texts]
+    del index, rank, names
+    bad_texts = [t for t, bad in zip(texts, toxic, strict=True) if bad and len(t)]
+    good = np.zeros(len(listed), dtype=bool)
+    for t, bad in zip(texts, toxic, strict=True):
+        good[t] |= not bad
+    good_places = np.flatnonzero(good)
+    seen_in = np.bincount(np.concatenate([*bad_texts, np.empty(0, np.int32)]), minlength=len(listed))
+    value, cut = first_values(listed, texts, toxic), 1.0
+    in_bad = np.flatnonzero(seen_in)
+    likely = in_bad[np.argsort(-value[in_bad], kind="stable")[: 20 * LANDMARKS]]
+    likely = likely[np.argsort(-value[likely] * np.log1p(seen_in[likely]), kind="stable")]
+    lands, used = [], Counter()
+    for w in (listed[i] for i in likely):  # landmarks that begin alike are kept few
+        if len(w) > 2 and used[w[:3]] < 6 and len(lands) < LANDMARKS * 3 // 4:
+            used[w[:3]] += 1
             lands.append(w)
-    spare = [w for w in good if len(w) > 2]
-    lands += [str(w) for w in rng.choice(spare, min(LANDMARKS - len(lands), len(spare)), replace=False)] if spare else []
+    spare = [i for i in good_places if len(listed[i]) > 2]
+    lands += [listed[i] for i in rng.choice(spare, min(LANDMARKS - len(lands), len(spare)), replace=False)] if spare else []
     if not lands:
-        return Model(np.empty(0, np.int64), np.empty(0), -1.0, np.array([0.0, 0.0, 0.0, -1e-6]))
+        return nothing
     marks = Landmarks(lands)
-    listed = sorted({w for words in texts for w in words})
-    place = dict(zip(listed, range(len(listed)), strict=True))
-    value = np.array([start.get(w, -9.0) for w in listed])
-    cut = 1.0
-    bad_texts, good_places = [words for words, bad in zip(texts, toxic, strict=True) if bad], np.array([place[w] for w in good], dtype=np.int64)
     for _ in range(ROUNDS):
-        chosen: Counter[str] = Counter()
-        for words in bad_texts:
-            best = sorted(words, key=lambda w: -value[place[w]])[:3]
-            chosen.update(w for i, w in enumerate(best) if value[place[w]] > cut and (i == 0 or seen_in[w] > 2))
-        positive = sorted(chosen.keys() - set(good))
-        hard = good_places[np.argsort(-value[good_places], kind="stable")[:2500]] if len(good_places) else good_places
-        negative = sorted({listed[i] for i in hard} | {listed[i] for i in rng.choice(good_places, min(4000, len(good_places)), replace=False)}) if len(good_places) else []
-        more = [inserted(w, rng) for w in positive] + [inserted(w, rng) for w in negative]
-        words = positive + negative + more
-        y = np.array([1.0] * len(positive) + [-1.0] * len(negative) + [1.0] * len(positive) + [-1.0] * len(negative))
-        texts_of = np.array([chosen[w] for w in positive] + [1.0] * len(negative)) if words else np.empty(0)
-        share = np.tile(np.sqrt(texts_of), 2)  # a segment counts more the more texts it was chosen in
+        chosen: Counter[int] = Counter()
+        for t in bad_texts:
+            best = t[np.argsort(-value[t], kind="stable")[:3]].tolist()
+            chosen.update(w for i, w in enumerate(best) if value[w] > cut and (i == 0 or seen_in[w] > 2))
+        positive = sorted(w for w in chosen if not good[w])
+        hard = good_places[np.argsort(-value[good_places], kind="stable")[:2500]]
+        negative = sorted({*hard.tolist(), *rng.choice(good_places, min(4000, len(good_places)), replace=False).tolist()}) if len(good_places) else []
+        plain = [listed[i] for i in positive + negative]
+        y = np.tile([1.0] * len(positive) + [-1.0] * len(negative), 2)
+        share = np.tile(np.sqrt([*(float(chosen[w]) for w in positive), *(1.0 for _ in negative)]), 2)  # a segment counts more the more texts it was chosen in
         for sign in (1, -1):
             share[y == sign] *= len(y) / max(1.0, 2 * share[y == sign].sum())
-        w = fit_machine(marks.features(words), y, share)
-        weights = marks.phi @ (marks.whiten @ w[:-1])
-        model = Model(marks.codes, weights, float(w[-1]), np.zeros(4))
+        w = fit_machine(marks.features(plain + [inserted(x, rng) for x in plain]), y, share)
+        model = Model(marks.codes, marks.phi @ (marks.whiten @ w[:-1]), float(w[-1]), np.zeros(4))
         value, cut = model.margins(listed), 0.0
-    x = text_features([value[[place[w] for w in words]] for words in texts])
-    return Model(marks.codes, weights, float(w[-1]), fit_logistic(x, toxic.astype(float)))
+    model.logistic = fit_logistic(text_features([value[t] for t in texts]), toxic.astype(float))
+    return model
 
 
 def is_held_out(doc_id: int | None) -> bool:
@@ -287,11 +289,17 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([segments(t) for t in batch.column(2).to_pylist()], pa.list_(pa.string()))], names=["id", "label", "words"])
+            for some in slices(batch, 2):
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array([segments(t) for t in some.column(2).to_pylist()], pa.list_(pa.string()))], names=["id", "label", "words"])
 
-    found = rows.select("id", F.col("label").cast("int").alias("label"), "text").mapInArrow(split, "id long, label int, words array<string>").toPandas()
-    found = found.sort_values("id", kind="stable").drop_duplicates("id")
-    return train([list(w) for w in found["words"]], found["label"].to_numpy() == 1)
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        each = {i: (label, words) for batch in batches for i, label, words in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)}
+        ordered = [each[i] for i in sorted(each)]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train([w for _, w in ordered], np.array([label == 1 for label, _ in ordered], dtype=bool)))])], names=["model"])
+
+    words = rows.select("id", F.col("label").cast("int").alias("label"), "text").mapInArrow(split, "id long, label int, words array<string>")
+    fitted = words.repartition(1).sortWithinPartitions("id", "words").mapInArrow(fit, "model binary").first()  # the sample is bounded, so one task has it
+    return pickle.loads(fitted[0]) if fitted else train([], np.empty(0, dtype=bool))
 
 
 def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
