@@ -96,3 +96,19 @@ def test_iso_weeks(spark, year, week, monday):
 
     got = spark.range(1).select(iso_monday(F.lit(year), F.lit(week)).cast("string").alias("d")).first().d
     assert got == monday
+
+
+def test_equal_line_numbers_of_two_files_count_once(spark):
+    """Two records of one stay and week, on the same line of two files, share a day: it has one owner."""
+    base = records(spark, [("0001", "102025", "1000000", "A"), ("0001", "102025", "1000000", "B")])
+    weeks = base.withColumns({"line_no": F.lit(5).cast("bigint"), "source_file": F.when(F.col("numero_unite_medicale") == "A", "f1").otherwise("f2")})
+    got = daily_value(weeks, amounts(spark, [("1", 2025, "202501", "000", 100.0)]), admin(spark, [])).collect()
+    assert [(r.entries, float(r.value), r.unit) for r in got] == [(2, 100.0, "B")]
+    same_file = daily_value(base.withColumn("line_no", F.lit(5).cast("bigint")), amounts(spark, [("1", 2025, "202501", "000", 100.0)]), admin(spark, [])).collect()
+    assert [(r.entries, float(r.value), r.unit) for r in same_file] == [(2, 100.0, "B")]
+
+
+def test_parts_add_up(spark):
+    weeks = records(spark, [("0001", f"{w:02d}2025", "1110100", "AB"[w % 2]) for w in range(2, 30)])
+    got = daily_value(weeks, amounts(spark, [("1", 2025, "202501", "000", 1000.01)]), admin(spark, [])).agg(F.sum("value")).first()[0]
+    assert round(got, 8) == 1000.01

@@ -165,9 +165,15 @@ view("v_billed", """
 select *, count(*) over (partition by finess_epmsi, stay, campagne) n_rows,
   (select count(distinct campagne) from v_official b where b.stay = a.stay and b.finess_epmsi = a.finess_epmsi and b.montant_br_sej <> 0) n_camp
 from v_official a where montant_br_sej <> 0""")
-view("v_daily", """
+def part_of(amount: str, n: str, k: str = "1") -> str:
+    """SQL text of k nth parts of an amount in cents, rounded half up to 12 places in whole numbers."""
+    u = f"((cast(round(({amount}) * 100) as hugeint) * {k} * 20000000000 + {n}) // (2 * {n}))"
+    return f"cast(cast({u} // 1000000000000 as varchar) || '.' || lpad(cast({u} % 1000000000000 as varchar), 12, '0') as decimal(38,12))"
+
+
+view("v_daily", f"""
 select b.finess_epmsi, b.stay, b.campagne, case when n_rows > 1 then 4 when n_camp = 1 then 2 else 1 end billing_case, d."day",
-  cast(b.montant_br_sej as double) / case when n_rows > 1 then w.n when n_camp = 1 then s.n else c.n end amount
+  {part_of("b.montant_br_sej", "(case when n_rows > 1 then w.n when n_camp = 1 then s.n else c.n end)")} amount
 from v_billed b join v_days d using (finess_epmsi, stay)
 join (select finess_epmsi, stay, count(*) n from v_days group by 1, 2) s using (finess_epmsi, stay)
 join (select finess_epmsi, stay, sunday_year, count(*) n from v_days group by 1, 2, 3) c on c.finess_epmsi = d.finess_epmsi and c.stay = d.stay and c.sunday_year = d.sunday_year
@@ -175,7 +181,7 @@ join (select finess_epmsi, stay, iso_year, week, count(*) n from v_days group by
 where case when n_rows > 1 then cast(substr(b.numero_semaine, 1, 4) as int) = d.iso_year and cast(substr(b.numero_semaine, 5, 2) as int) = d.week
            when n_camp = 1 then true else b.campagne = d.sunday_year end
 union all
-select b.finess_epmsi, b.stay, b.campagne, 3, cast(a.date_entree as date), cast(b.montant_br_sej as double)
+select b.finess_epmsi, b.stay, b.campagne, 3, cast(a.date_entree as date), cast(b.montant_br_sej as decimal(38,12))
 from v_billed b join v_admin a using (finess_epmsi, stay)
 where n_rows = 1 and n_camp = 1 and date_entree is not null and not exists (select 1 from v_days d where d.stay = b.stay and d.finess_epmsi = b.finess_epmsi)""")
 view("v_last_week", "select finess_epmsi, stay, iso_year, max(week) last_week from v_weeks group by 1, 2, 3")
@@ -214,7 +220,7 @@ union all select distinct c, 'category', substr(c, 1, 3) from v_part_codes where
 view("v_stay_code", """
 select finess_epmsi, iso_year, stay, arg_max(code_gme, week * 10000000 + line_no) code from v_in_period where code_gme is not null group by 1, 2, 3""")
 view("v_unit_share", """
-select finess_epmsi, stay, unit unite, sum(entries) / sum(sum(entries)) over (partition by finess_epmsi, stay) share from v_day_axis group by 1, 2, 3
+select finess_epmsi, stay, unit unite, sum(entries) n, sum(sum(entries)) over (partition by finess_epmsi, stay) n_stay, sum(entries) / sum(sum(entries)) over (partition by finess_epmsi, stay) share from v_day_axis group by 1, 2, 3
 union all
-select finess_epmsi, stay, arg_max(numero_unite_medicale, line_no), 1.0 from v_weeks w
+select finess_epmsi, stay, arg_max(numero_unite_medicale, line_no), 1, 1, 1.0 from v_weeks w
 where not exists (select 1 from v_days d where d.stay = w.stay and d.finess_epmsi = w.finess_epmsi) group by 1, 2""")

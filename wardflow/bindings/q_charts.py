@@ -36,6 +36,13 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("e47_value_tree", """
+select cast(3 - (grouping(p_brand) + grouping(p_type) + grouping(p_size)) as int) depth, p_brand b, p_type y, cast(p_size as varchar) z, round(sum(p_retailprice), 2) "value" from part group by rollup (p_brand, p_type, p_size)""")
+def _(t: Tables) -> DataFrame:
+    rows = t.raw("part").select(F.col("p_brand").alias("b"), F.col("p_type").alias("y"), F.col("p_size").cast("string").alias("z"), "p_retailprice")
+    return ch.value_tree(rows, ["b", "y", "z"], r(F.sum("p_retailprice")))
+
+
+@query("e47_value_tree_folded", """
 with l1 as (select b, v, row_number() over (order by v desc, b) rn, count(*) over () n from (select p_brand b, round(sum(p_retailprice), 2) v from part group by 1)),
 l2 as (select b, y, v, row_number() over (partition by b order by v desc, y) rn, count(*) over (partition by b) n from (select p_brand b, p_type y, round(sum(p_retailprice), 2) v from part group by 1, 2) where b in (select b from l1 where n <= 8 or rn < 8)),
 l3 as (select b, y, z, v, row_number() over (partition by b, y order by v desc, z) rn, count(*) over (partition by b, y) n from (select p_brand b, p_type y, cast(p_size as varchar) z, round(sum(p_retailprice), 2) v from part group by 1, 2, 3) where (b, y) in (select (b, y) from l2 where n <= 8 or rn < 8))
@@ -45,7 +52,7 @@ union all select 2, b, case when n <= 8 or rn < 8 then y else 'Autres (' || cast
 union all select 3, b, y, case when n <= 8 or rn < 8 then z else 'Autres (' || cast(n - 7 as varchar) || ')' end, round(sum(v), 2) from l3 group by 2, 3, 4""")
 def _(t: Tables) -> DataFrame:
     rows = t.raw("part").select(F.col("p_brand").alias("b"), F.col("p_type").alias("y"), F.col("p_size").cast("string").alias("z"), "p_retailprice")
-    return ch.value_tree(rows, ["b", "y", "z"], r(F.sum("p_retailprice"))).withColumn("value", r("value"))
+    return ch.value_tree(rows, ["b", "y", "z"], r(F.sum("p_retailprice")), cap=8).withColumn("value", r("value"))
 
 
 @query("e48_flows", """
@@ -56,21 +63,21 @@ def _(t: Tables) -> DataFrame:
     rows = t.raw("lineitem").join(t.raw("supplier"), F.col("s_suppkey") == F.col("l_suppkey")).join(t.raw("nation"), F.col("n_nationkey") == F.col("s_nationkey")).join(
         t.raw("part"), F.col("p_partkey") == F.col("l_partkey")
     ).select(F.col("n_name").alias("src"), F.col("p_brand").alias("dst"), "l_quantity")
-    return ch.flows(rows, "src", "dst", F.sum("l_quantity"))
+    return ch.flows(rows, "src", "dst", F.sum("l_quantity"), cap=8)
 
 
 @query("e49_facets", """
-select p_brand, l_returnflag, count(*) n, cast(sum(l_quantity) as double) q from lineitem join part on p_partkey = l_partkey where p_brand in (select distinct p_brand from part order by 1 limit 12) group by 1, 2""")
+select p_brand, l_returnflag, count(*) n, cast(sum(l_quantity) as double) q from lineitem join part on p_partkey = l_partkey group by 1, 2""")
 def _(t: Tables) -> DataFrame:
     rows = t.raw("lineitem").join(t.raw("part"), F.col("p_partkey") == F.col("l_partkey"))
     return ch.facets(rows, "p_brand", ["l_returnflag"], F.count("*").alias("n"), F.sum("l_quantity").alias("q"))
 
 
 @query("e50_fold_smallest", """
-with c as (select finess_epmsi, substr(code_gme, 1, 2) cm, count(*) v from v_in_period where code_gme is not null group by 1, 2), k as (select *, row_number() over (partition by finess_epmsi order by v desc, cm) rn, count(*) over (partition by finess_epmsi) n from c)
+with c as (select finess_epmsi, substr(code_gme, 1, 2) cm, count(*) v from v_in_period group by 1, 2), k as (select *, row_number() over (partition by finess_epmsi order by v desc, cm nulls first) rn, count(*) over (partition by finess_epmsi) n from c)
 select finess_epmsi, case when n <= 8 or rn < 8 then cm else 'Autres (' || cast(n - 7 as varchar) || ')' end cm, not (n <= 8 or rn < 8) folded, cast(sum(v) as bigint) v from k group by 1, 2, 3""")
 def _(t: Tables) -> DataFrame:
-    cells = t.in_period.where("code_gme is not null").groupBy("finess_epmsi", F.substring("code_gme", 1, 2).alias("cm")).agg(F.count("*").alias("v"))
+    cells = t.in_period.groupBy("finess_epmsi", F.substring("code_gme", 1, 2).alias("cm")).agg(F.count("*").alias("v"))
     return od.fold_smallest(cells, "cm", "v", 8, ["finess_epmsi"])
 
 

@@ -67,10 +67,9 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("c19_yes_no", """
-select case nv_chain when 1 then 'Oui' when 0 then 'Non' end chain, case numero_rha when '000' then 'Non' else numero_rha end rha, count(*) n from v_valuation where type_hospitalisation = 'C' or campagne = 1999 group by 1, 2""")
+select case nv_chain when 1 then 'Oui' when 0 then 'Non' end chain, case numero_rha when '000' then 'Non' else numero_rha end rha, count(*) n from v_valuation group by 1, 2""")
 def _(t: Tables) -> DataFrame:
-    rows = t.valuation.where("type_hospitalisation = 'C' or campagne = 1999")
-    return rows.groupBy(d.yes_no(F.col("nv_chain")).alias("chain"), d.yes_no(F.col("numero_rha")).alias("rha")).agg(F.count(ALL).alias("n"))
+    return t.valuation.groupBy(d.yes_no(F.col("nv_chain")).alias("chain"), d.yes_no(F.col("numero_rha")).alias("rha")).agg(F.count(ALL).alias("n"))
 
 
 @query("c20_code_labels", """

@@ -52,13 +52,14 @@ def _(t: Tables) -> DataFrame:
 _PCT = """
 with {base}, p as (select case when grouping(u) = 0 then u end u, case when grouping(s) = 0 then s end s, case when grouping(y) = 0 then y end y,
     case when grouping(s) = 0 then 'full' when grouping(u) = 0 then 'first' else 'none' end row_level, case when grouping(y) = 0 then 'full' else 'none' end col_level, cast(sum(n2_nb_csarr) as bigint) v
-  from b group by grouping sets ((u, s, y), (u, s), (u, y), (u), (y), ()))
-select p.u, p.s, p.y, p.row_level, p.col_level, p.v, round(case when p.row_level = 'none' and p.col_level = 'none' then 100 when t.v <> 0 then 100.0 * p.v / t.v when p.row_level <> 'none' and p.col_level <> 'none' and p.v = 0 then 0 end, 6) pct
-from p join p t on {den}"""
+  from b group by grouping sets ((u, s, y), (u, s), (u, y), (u), (y), ())),
+t as (select *, {den} tot from p)
+select u, s, y, row_level, col_level, v, round(case when row_level = 'none' and col_level = 'none' then 100 when tot <> 0 then 100.0 * v / tot when row_level <> 'none' and col_level <> 'none' and v = 0 then 0 end, 6) pct
+from t"""
 _DEN = {
-    "total": "t.row_level = 'none' and t.col_level = 'none'",
-    "row": "t.col_level = 'none' and t.row_level = p.row_level and t.u is not distinct from p.u and t.s is not distinct from p.s",
-    "col": "t.row_level = 'none' and t.col_level = p.col_level and t.y is not distinct from p.y",
+    "total": "max(case when row_level = 'none' and col_level = 'none' then v end) over ()",
+    "row": "max(case when col_level = 'none' then v end) over (partition by row_level, u, s)",
+    "col": "max(case when row_level = 'none' then v end) over (partition by col_level, y)",
 }
 
 
@@ -91,12 +92,16 @@ def _(t: Tables) -> DataFrame:
     return out.select(F.col("d_sexe_b").alias("sexe"), F.col("nb_patients_distinct").alias("patients"), r("mnt_tm_sum").alias("tm"))
 
 
-@query("e39_guarded_wide_pivot", """
-select u, s, cast(sum(n_days) filter (y = '1999') as bigint) "1999", cast(sum(n_days) filter (y = '2000') as bigint) "2000" from (select numero_unite_medicale u, sexe s, cast(iso_year as varchar) y, n_days from v_in_period where iso_year in (1999, 2000)) group by 1, 2""")
+_YEARS = range(1992, 2000 + 1)  # fixed value: calendar of the supplied order dates
+
+
+@query("e39_guarded_wide_pivot", f"""
+select u, s, {", ".join(f'cast(sum(n_days) filter (y = {y}) as bigint) "{y}"' for y in _YEARS)} from (select numero_unite_medicale u, sexe s, iso_year y, n_days from v_in_period) group by 1, 2""")
 def _(t: Tables) -> DataFrame:
-    rows = t.in_period.where("iso_year in (1999, 2000)").select(F.col("numero_unite_medicale").alias("u"), F.col("sexe").alias("s"), F.col("iso_year").cast("string").alias("y"), "n_days")
+    rows = t.in_period.select(F.col("numero_unite_medicale").alias("u"), F.col("sexe").alias("s"), F.col("iso_year").cast("string").alias("y"), "n_days")
     out = pv.pivot(rows, ["u", "s"], ["y"], [pv.PivotMeasure("d", "sum", F.col("n_days"))])
-    return pv.pivot_wide(out, ["u", "s"], "y", "d")
+    wide = pv.pivot_wide(out, ["u", "s"], "y", "d", limit=200_000)
+    return wide.select("u", "s", *[F.col(str(y)) if str(y) in wide.columns else F.lit(None).cast("bigint").alias(str(y)) for y in _YEARS])
 
 
 @query("e40_e43_calculated_measure", """
@@ -133,7 +138,7 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("e30_g5_value_list", """
-select coalesce(code_gme, '(vide)') valeur, libelle_long libelle from (select distinct code_gme from v_weeks) left join v_groups on code = code_gme and kind = 'GME' order by 1, 2 nulls first limit 500""")
+select coalesce(code_gme, '(vide)') valeur, libelle_long libelle from (select distinct code_gme from v_weeks) left join v_groups on code = code_gme and kind = 'GME'""")
 def _(t: Tables) -> DataFrame:
     labels = t.groups.where("kind = 'GME'").select(F.col("code").alias("_c"), "libelle_long")
     rows = t.records.select("code_gme").distinct().join(labels, F.col("code_gme") == F.col("_c"), "left")
@@ -143,25 +148,23 @@ def _(t: Tables) -> DataFrame:
 @query("g1_sort_keys", """
 select cast(row_number() over (order by u, tri) as int) place, u, semaine, n from (select numero_unite_medicale u, 'S' || substr(numero_semaine, 1, 2) || '-' || substr(numero_semaine, 3, 4) semaine, iso_year * 100 + week tri, count(*) n from v_weeks group by 1, 2, 3)""")
 def _(t: Tables) -> DataFrame:
-    from pyspark.sql import Window
-
     from wardflow.functions.calendar import week_dimension
 
     label, sort = week_dimension(F.col("numero_semaine"))
     cells = t.records.groupBy(F.col("numero_unite_medicale").alias("u"), label.alias("semaine"), sort.alias("tri")).agg(F.count("*").alias("n"))
-    # the report is a few hundred cells a year; numbering shows the order the comparison would hide
-    return cells.orderBy("u", "tri").withColumn("place", F.row_number().over(Window.orderBy("u", "tri"))).drop("tri")
+    # the places show the order that the comparison would hide
+    return od.numbered(cells, [F.col("u").asc_nulls_last(), F.col("tri").asc_nulls_last()], "place").drop("tri")
 
 
 @query("g2_rows_by_total", """
-select cm, n, cast(row_number() over (order by n desc nulls last, cm) as int) "rank" from (select substr(code_gme, 1, 2) cm, cast(sum(n_days) as bigint) n from v_in_period group by 1) order by n desc nulls last, cm limit 100""")
+select cm, n, cast(row_number() over (order by n desc nulls last, cm nulls last) as int) "rank" from (select substr(code_gme, 1, 2) cm, cast(sum(n_days) as bigint) n from v_in_period group by 1)""")
 def _(t: Tables) -> DataFrame:
     totals = t.in_period.groupBy(F.substring("code_gme", 1, 2).alias("cm")).agg(F.sum("n_days").alias("n"))
-    return od.ranked_head(totals, [F.col("n").desc_nulls_last(), F.col("cm")], 100)
+    return od.numbered(totals, [F.col("n").desc_nulls_last(), F.col("cm").asc_nulls_last()], "rank")
 
 
 @query("g3_filtered_list", """
-select rhs_id, n_days, n1_nb_das, (select count(*) from v_in_period where n_days >= 1 and n1_nb_das >= 1) total from v_in_period where n_days >= 1 and n1_nb_das >= 1 order by rhs_id limit 3000""")
+select rhs_id, n_days, n1_nb_das, (select count(*) from v_in_period where n_days >= 1 and n1_nb_das >= 1) total from v_in_period where n_days >= 1 and n1_nb_das >= 1""")
 def _(t: Tables) -> DataFrame:
     head, total = ex.filtered_list(t.in_period.where("n_days >= 1 and n1_nb_das >= 1"), ["rhs_id", "n_days", "n1_nb_das"], [F.col("rhs_id")])
     return head.withColumn("total", total.scalar())

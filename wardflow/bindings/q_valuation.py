@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wardflow.bindings.oracle import part_of
 from wardflow.bindings.registry import query
 from wardflow.bindings.tables import Tables
 from wardflow.operators import presence as pr
-from wardflow.operators.allocation import presence_weighted, tag_cases, unit_shares, billed_amounts
+from wardflow.operators.allocation import billed_amounts, daily_value, presence_weighted, tag_cases, unit_shares
 from wardflow.operators.crossgrain import match_other_source
 from wardflow.plans import dashboard as dash
 from wardflow.plans import valuation as val
@@ -21,10 +22,10 @@ def r(value: Column | str, digits: int = 2) -> Column:
     return F.round(value.cast("double"), digits)
 
 
-def cents(value: Column | str) -> Column:
-    """Prorated sums to cents; the offset keeps exact half cents from falling either way."""
+def cents(value: Column | str, digits: int = 2) -> Column:
+    """Exact decimal sums, rounded once."""
     value = F.col(value) if isinstance(value, str) else value
-    return r(value.cast("double") + F.lit(0.00037))
+    return F.round(value, digits).cast("double")
 
 
 def text(value: Column | str) -> Column:
@@ -93,17 +94,27 @@ def _(t: Tables) -> DataFrame:
 select finess_epmsi, stay, campagne, numero_semaine, case when n_rows > 1 then 4 when n_camp = 1 then 2 else 1 end billing_case,
   cast(montant_br_sej as double) amount from v_billed""")
 def _(t: Tables) -> DataFrame:
-    return tag_cases(billed_amounts(t.valuation)).drop("n_rows")
+    return tag_cases(billed_amounts(t.valuation)).drop("n_rows").withColumn("amount", F.col("amount").cast("double"))
 
 
 @query("e15_daily_value", """
-select finess_epmsi, stay, campagne, billing_case, cast("day" as varchar) "day", count(*) entries, round(sum(amount), 6) "value" from v_daily group by 1, 2, 3, 4, 5""")
+select finess_epmsi, stay, campagne, billing_case, cast("day" as varchar) "day", count(*) entries, cast(round(sum(amount), 6) as double) "value" from v_daily group by 1, 2, 3, 4, 5""")
 def _(t: Tables) -> DataFrame:
-    return t.daily.select("finess_epmsi", "stay", "campagne", "billing_case", text("day").alias("day"), F.col("entries").cast("bigint").alias("entries"), r("value", 6).alias("value"))
+    return t.daily.select("finess_epmsi", "stay", "campagne", "billing_case", text("day").alias("day"), F.col("entries").cast("bigint").alias("entries"), cents("value", 6).alias("value"))
+
+
+@query("e15_daily_value_of_two_files", """
+select d.finess_epmsi, d.stay, campagne, billing_case, cast(d."day" as varchar) "day", coalesce(unit, '-') unit, cast(round(sum(amount), 6) as double) "value"
+from v_daily d left join v_day_axis a on a.finess_epmsi = d.finess_epmsi and a.stay = d.stay and a."day" = d."day" and billing_case <> 3 group by all""")
+def _(t: Tables) -> DataFrame:
+    """The weekly records as three files whose lines are numbered anew in each; ties of the line are told apart by the file."""
+    weeks = t.weeks.withColumns({"source_file": F.concat(F.lit("f"), "numero_unite_medicale"), "line_no": F.col("iso_year") * 100 + F.col("week")})
+    daily = daily_value(weeks, t.valuation, t.admin)
+    return daily.select("finess_epmsi", "stay", "campagne", "billing_case", text("day").alias("day"), F.coalesce("unit", F.lit("-")).alias("unit"), cents("value", 6).alias("value"))
 
 
 @query("e15_daily_value_by_axis", """
-select d.finess_epmsi, coalesce(unit, '-') unit, coalesce(hosp, '-') hosp, round(sum(amount) + 0.00037, 2) "value", count(*) entries
+select d.finess_epmsi, coalesce(unit, '-') unit, coalesce(hosp, '-') hosp, cast(round(sum(amount), 2) as double) "value", count(*) entries
 from v_daily d left join v_day_axis a on a.finess_epmsi = d.finess_epmsi and a.stay = d.stay and a."day" = d."day" and billing_case <> 3 group by 1, 2, 3""")
 def _(t: Tables) -> DataFrame:
     none = F.lit("-")
@@ -113,20 +124,20 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("e16_value_per_year", """
-select finess_epmsi, cast(year("day") as int) annee, round(sum(amount) + 0.00037, 2) montant_br_pt from v_daily group by 1, 2""")
+select finess_epmsi, cast(year("day") as int) annee, cast(round(sum(amount), 2) as double) montant_br_pt from v_daily group by 1, 2""")
 def _(t: Tables) -> DataFrame:
     return val.value_per_year(t.daily).withColumn("montant_br_pt", cents("montant_br_pt"))
 
 
 @query("e16_value_per_year_and_unit", """
-select d.finess_epmsi, cast(year(d."day") as int) annee, coalesce(unit, '(vide)') unite, round(sum(amount) + 0.00037, 2) montant_br_pt
+select d.finess_epmsi, cast(year(d."day") as int) annee, coalesce(unit, '(vide)') unite, cast(round(sum(amount), 2) as double) montant_br_pt
 from v_daily d left join v_day_axis a on a.finess_epmsi = d.finess_epmsi and a.stay = d.stay and a."day" = d."day" and billing_case <> 3 group by 1, 2, 3""")
 def _(t: Tables) -> DataFrame:
     return t.daily.groupBy("finess_epmsi", F.year("day").alias("annee"), F.coalesce("unit", F.lit("(vide)")).alias("unite")).agg(cents(F.sum("value")).alias("montant_br_pt"))
 
 
 @query("e17_value_in_period", """
-select p.finess_epmsi, p.iso_year, round(sum(amount) + 0.00037, 2) montant_br_pt from v_daily d join v_periods p on p.finess_epmsi = d.finess_epmsi and d."day" between p."start" and p."end" group by 1, 2""")
+select p.finess_epmsi, p.iso_year, cast(round(sum(amount), 2) as double) montant_br_pt from v_daily d join v_periods p on p.finess_epmsi = d.finess_epmsi and d."day" between p."start" and p."end" group by 1, 2""")
 def _(t: Tables) -> DataFrame:
     return val.value_in_period(t.daily, t.periods).withColumn("montant_br_pt", cents("montant_br_pt"))
 
@@ -158,11 +169,11 @@ def _(t: Tables) -> DataFrame:
 
 @query("e21_unit_shares", "select finess_epmsi, stay, unite, round(share, 8) share from v_unit_share")
 def _(t: Tables) -> DataFrame:
-    return unit_shares(t.weeks, pr.last_unit(t.weeks)).withColumn("share", r("share", 8))
+    return unit_shares(t.weeks, pr.last_unit(t.weeks)).drop("n", "n_stay").withColumn("share", r("share", 8))
 
 
-@query("e21_amount_by_unit", """
-select c.finess_epmsi, c.iso_year, unite, round(sum(cast(montant_br_sej as double) * share) + 0.00037, 2) montant from v_comparable c join v_unit_share s on s.finess_epmsi = c.finess_epmsi and s.stay = c.stay group by 1, 2, 3""")
+@query("e21_amount_by_unit", f"""
+select c.finess_epmsi, c.iso_year, unite, cast(round(sum({part_of("montant", "n_stay", "n")}), 2) as double) montant from (select finess_epmsi, iso_year, stay, sum(montant_br_sej) montant from v_comparable group by 1, 2, 3) c join v_unit_share s using (finess_epmsi, stay) group by 1, 2, 3""")
 def _(t: Tables) -> DataFrame:
     return val.amount_by_unit(t.valuation, t.weeks, t.periods).withColumn("montant", cents("montant"))
 
@@ -219,18 +230,18 @@ def _activity(t: Tables) -> DataFrame:
 @query("e24_open_stay_estimate", f"""
 with {_OPEN}, {_PRICE}, days_ as (select o.finess_epmsi, o.iso_year, count(distinct o.stay) s, count(*) j from open_ o join v_periods p on p.finess_epmsi = o.finess_epmsi and p.iso_year = o.iso_year
   join v_days d on d.finess_epmsi = o.finess_epmsi and d.stay = o.stay and d."day" between p."start" and p."end" group by 1, 2)
-select a.finess_epmsi, a.iso_year, coalesce(s, 0) nb_sejours, coalesce(j, 0) nb_journees, round(coalesce(j, 0) * coalesce(v / nullif(nb_journees, 0), 0) + 0.00037, 2) montant
+select a.finess_epmsi, a.iso_year, coalesce(s, 0) nb_sejours, coalesce(j, 0) nb_journees, round(coalesce(j, 0) * coalesce(cast(v as double) / nullif(nb_journees, 0), 0), 2) montant
 from act_ a left join value_ using (finess_epmsi, iso_year) left join days_ using (finess_epmsi, iso_year)""")
 def _(t: Tables) -> DataFrame:
     value = val.value_in_period(t.daily, t.periods)
-    price = _activity(t).join(value, P, "left").select(*P, F.try_divide("montant_br_pt", "nb_journees").alias("pmjt"))
-    return val.open_stay_estimate(t.valuation, t.weeks, t.periods, price).withColumn("montant", cents("montant"))
+    price = _activity(t).join(value, P, "left").select(*P, F.try_divide(F.col("montant_br_pt").cast("double"), F.col("nb_journees")).alias("pmjt"))
+    return val.open_stay_estimate(t.valuation, t.weeks, t.periods, price).withColumn("montant", r("montant"))
 
 
 @query("e25_mean_prices", f"""
 with {_PRICE}, amounts_ as ({_COMPARABLE})
-select a.finess_epmsi, a.iso_year, round(coalesce(v, 0) + 0.00037, 2) montant_br_pt, round(coalesce(v, 0) / nb_ssr, 4) pmct, round(coalesce(v, 0) / nb_rhs, 4) pmst,
-  round(coalesce(v, 0) / nullif(nb_journees, 0), 4) pmjt, coalesce(montant_br_tot, 0.0) montant_br_tot, coalesce(montant_br_tot_sans_filtre, 0.0) montant_br_tot_sans_filtre, coalesce(montant_br_non_fact, 0.0) montant_br_non_fact
+select a.finess_epmsi, a.iso_year, cast(round(coalesce(v, 0), 2) as double) montant_br_pt, round(cast(coalesce(v, 0) as double) / nb_ssr, 4) pmct, round(cast(coalesce(v, 0) as double) / nb_rhs, 4) pmst,
+  round(cast(coalesce(v, 0) as double) / nullif(nb_journees, 0), 4) pmjt, coalesce(montant_br_tot, 0.0) montant_br_tot, coalesce(montant_br_tot_sans_filtre, 0.0) montant_br_tot_sans_filtre, coalesce(montant_br_non_fact, 0.0) montant_br_non_fact
 from act_ a left join value_ using (finess_epmsi, iso_year) left join amounts_ using (finess_epmsi, iso_year)""")
 def _(t: Tables) -> DataFrame:
     out = val.mean_prices(val.value_in_period(t.daily, t.periods), _activity(t), val.comparable_amount(t.valuation, t.weeks, t.periods))

@@ -73,12 +73,8 @@ class ExclusionRule:
         return F.coalesce(hit, F.lit(False))
 
 
-# Fixed value: the one known faulty transmission.
-DEFAULT_EXCLUSIONS = (ExclusionRule("680000973", 2026, ("M1C", "M1B")),)
-
-
-def keep_rows(rules: Iterable[ExclusionRule] = DEFAULT_EXCLUSIONS) -> Column:
-    """True for rows no exclusion rule matches."""
+def keep_rows(rules: Iterable[ExclusionRule] = ()) -> Column:
+    """True for rows no exclusion rule matches; without rules every row stays."""
     out = F.lit(True)
     for rule in rules:
         out = out & ~rule.matches()

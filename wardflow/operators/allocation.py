@@ -8,11 +8,14 @@ The amount of a stay is spread over day entries in one of four ways:
 * 3 - case 2 without any day: the whole amount on the administrative entry date.
 
 Amounts that find no day in cases 1 and 4 are dropped.
+
+Amounts stay decimal: one entry's part is rounded to 12 places, sums of parts are exact, and money is rounded once,
+where it is shown.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardflow.functions import calendar as cal
@@ -20,6 +23,11 @@ from wardflow.functions.derive import official_amount_rows
 from wardflow.operators.presence import STAY, profile_days, week_profile
 
 
+def part_of(amount: Column, n: Column) -> Column:
+    """``amount / n`` to 12 places; the quotient is taken to 20 first, which no rounding tie can fall between."""
+    return F.round(amount.cast("decimal(30,12)") / n.cast("decimal(7,0)"), 12)
+
+
 def billed_amounts(valuation: DataFrame) -> DataFrame:
     """Official non-zero amounts by (stay, campaign, week code); rows of one week are added up.
 
@@ -28,7 +36,7 @@ def billed_amounts(valuation: DataFrame) -> DataFrame:
     """
     rows = valuation.where((F.col("montant_br_sej") != 0) & official_amount_rows())
     return rows.groupBy(*STAY, "campagne", "numero_semaine").agg(
-        F.sum("montant_br_sej").cast("double").alias("amount"), F.count(F.lit(1)).alias("n_rows")
+        F.sum("montant_br_sej").cast("decimal(18,2)").alias("amount"), F.count(F.lit(1)).alias("n_rows")
     )
 
 
@@ -75,14 +83,14 @@ def daily_value(weeks: DataFrame, valuation: DataFrame, admin: DataFrame) -> Dat
     spread = (
         joined.where("n_week > 0")
         .select(*STAY, "monday", "unit", "hosp", "days", "n_week", "n_stay", "n_campaign", F.explode(applies).alias("a"))
-        .withColumn("rate", F.col("a.amount") / F.when(F.col("a.billing_case") == 4, F.col("n_week"))
-                    .when(F.col("a.billing_case") == 2, F.col("n_stay")).otherwise(F.col("n_campaign")))
+        .withColumn("rate", part_of(F.col("a.amount"), F.when(F.col("a.billing_case") == 4, F.col("n_week"))
+                                    .when(F.col("a.billing_case") == 2, F.col("n_stay")).otherwise(F.col("n_campaign"))))
     )
     spread = spread.select(*STAY, "monday", "unit", "hosp", "days", "rate", "a.campagne", "a.billing_case")
     on_days = profile_days(spread, "campagne", "billing_case", "rate")
     by_day = on_days.select(
         *STAY, "campagne", "billing_case", "day", "entries", "unit", "hosp",
-        (F.col("rate") * F.col("entries")).alias("value"),
+        (F.col("rate") * F.col("entries").cast("decimal(5,0)")).cast("decimal(38,12)").alias("value"),
     )
 
     no_day = joined.where("week is null or (n_stay = 0 and first)").select(
@@ -94,7 +102,7 @@ def daily_value(weeks: DataFrame, valuation: DataFrame, admin: DataFrame) -> Dat
     on_entry = no_day.join(entry, STAY).select(
         *STAY, F.col("a.campagne").alias("campagne"), F.lit(3).alias("billing_case"), "day",
         F.lit(1).alias("entries"), F.lit(None).cast("string").alias("unit"),
-        F.lit(None).cast("string").alias("hosp"), F.col("a.amount").alias("value"),
+        F.lit(None).cast("string").alias("hosp"), F.col("a.amount").cast("decimal(38,12)").alias("value"),
     )
     return by_day.unionByName(on_entry)
 
@@ -102,16 +110,17 @@ def daily_value(weeks: DataFrame, valuation: DataFrame, admin: DataFrame) -> Dat
 def unit_shares(weeks: DataFrame, last_units: DataFrame) -> DataFrame:
     """Share of each unit in a stay's day entries; a stay without a day belongs to its last unit.
 
-    Shares of a stay add up to 1, so any split by unit adds up to the total. The whole stay counts,
-    whatever the period shown.
+    Shares of a stay add up to 1, so any split by unit adds up to the total; ``n`` of ``n_stay`` is
+    the share exactly. The whole stay counts, whatever the period shown.
     """
     profile = week_profile(weeks)
-    days = profile_days(profile)
-    per_unit = days.groupBy(*STAY, F.col("unit").alias("unite")).agg(F.sum("entries").alias("n"))
+    entries = F.aggregate("days", F.lit(0).cast("bigint"), lambda total, d: total + d)
+    per_unit = profile.groupBy(*STAY, F.col("unit").alias("unite")).agg(F.sum(entries).alias("n")).where("n > 0")
     total = Window.partitionBy(*STAY)
-    with_days = per_unit.withColumn("share", F.col("n") / F.sum("n").over(total)).drop("n")
+    with_days = per_unit.withColumn("n_stay", F.sum("n").over(total)).withColumn("share", F.col("n") / F.col("n_stay"))
+    one = F.lit(1).cast("bigint")
     without = last_units.join(with_days.select(*STAY).distinct(), STAY, "left_anti").select(
-        *STAY, F.col("last_unit").alias("unite"), F.lit(1.0).alias("share")
+        *STAY, F.col("last_unit").alias("unite"), one.alias("n"), one.alias("n_stay"), F.lit(1.0).alias("share")
     )
     return with_days.unionByName(without)
 

@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardflow.operators.ordered import OTHERS, first_groups, fold_smallest, ranked_head, share_of
-
-CATEGORY_CAP = 8  # fixed value: categories a chart keeps apart
-FACET_CAP = 12  # fixed value: panels of a faceted chart
+from wardflow.operators.ordered import OTHERS, first_groups, fold_smallest, join_groups, ranked_head, share_of
 
 _QUARTILES = (0.25, 0.5, 0.75)
 _BRACKET = 0.001  # half-width, in rank share, of the slice searched for an exact quantile
@@ -84,11 +81,11 @@ def histogram(df: DataFrame, value: str, series: list[str] | None = None) -> Dat
     )
 
 
-def value_tree(df: DataFrame, levels: list[str], value: Column, cap: int = CATEGORY_CAP) -> DataFrame:
-    """Totals of every node of a label tree, each node's children folded beyond ``cap``.
+def value_tree(df: DataFrame, levels: list[str], value: Column, cap: int | None = None) -> DataFrame:
+    """Totals of every node of a label tree; with ``cap``, each node's children are folded beyond it.
 
-    Result: (depth, levels…, value) where a folded node is a leaf "Autres (k)"; deeper nodes below
-    a folded one are not shown. The rollup gives all levels in one aggregate.
+    Result: (depth, levels…, value). A folded node is a leaf "Autres (k)" that stands for its whole
+    subtree. The rollup gives all levels in one aggregate.
     """
     rolled = df.rollup(*levels).agg(value.alias("value"), F.grouping_id().alias("_g"))
     n = len(levels)
@@ -99,8 +96,12 @@ def value_tree(df: DataFrame, levels: list[str], value: Column, cap: int = CATEG
     for depth in range(1, n + 1):
         path, label = levels[: depth - 1], levels[depth - 1]
         nodes = rolled.where(F.col("_g") == (1 << (n - depth)) - 1).select(*levels[:depth], "value")
+        if cap is None:
+            missing = [F.lit(None).cast("string").alias(x) for x in levels[depth:]]
+            out = out.unionByName(nodes.select(F.lit(depth).alias("depth"), *path, label, *missing, "value"))
+            continue
         if parents is not None:
-            nodes = nodes.join(parents, path, "left_semi")
+            nodes = join_groups(nodes, parents.select(*path), path, "left_semi") if path else nodes
         folded = fold_smallest(nodes, label, "value", cap, path)
         parents = folded.where(~F.col("folded")).select(*path, label)
         missing = [F.lit(None).cast("string").alias(x) for x in levels[depth:]]
@@ -108,9 +109,11 @@ def value_tree(df: DataFrame, levels: list[str], value: Column, cap: int = CATEG
     return out
 
 
-def flows(df: DataFrame, source: str, target: str, value: Column, cap: int = CATEGORY_CAP) -> DataFrame:
-    """Source-to-target sums with both sides folded to ``cap`` nodes."""
+def flows(df: DataFrame, source: str, target: str, value: Column, cap: int | None = None) -> DataFrame:
+    """Source-to-target sums; with ``cap``, both sides are folded to as many nodes."""
     cells = df.groupBy(source, target).agg(value.alias("value")).where("value <> 0")
+    if cap is None:
+        return cells
 
     def kept(side: str) -> DataFrame:
         totals = cells.groupBy(side).agg(F.sum("value").alias("value"))
@@ -123,9 +126,9 @@ def flows(df: DataFrame, source: str, target: str, value: Column, cap: int = CAT
 
     out = cells
     for side in (source, target):
-        n_side = cells.agg(F.count_distinct(side).alias("k")).scalar()
+        n_side = cells.select(side).distinct().agg(F.count(F.lit(1)).alias("k")).scalar()
         others = F.concat(F.lit(f"{OTHERS} ("), (n_side - (cap - 1)).cast("string"), F.lit(")"))
-        out = out.join(kept(side), side, "left").withColumn(
+        out = join_groups(out, kept(side), [side], "left").withColumn(
             f"_{side}", F.when(F.col(f"_{side}_kept").isNotNull(), F.col(side)).otherwise(others)
         )
     return out.groupBy(F.col(f"_{source}").alias(source), F.col(f"_{target}").alias(target)).agg(
@@ -133,10 +136,10 @@ def flows(df: DataFrame, source: str, target: str, value: Column, cap: int = CAT
     )
 
 
-def facets(df: DataFrame, facet: str, keys: list[str], *aggregates: Column, cap: int = FACET_CAP) -> DataFrame:
-    """One aggregate per facet value and key, for the first ``cap`` facet values in sort order."""
+def facets(df: DataFrame, facet: str, keys: list[str], *aggregates: Column, cap: int | None = None) -> DataFrame:
+    """One aggregate per facet value and key; with ``cap``, for the first facet values in sort order."""
     totals = df.groupBy(facet, *keys).agg(*aggregates)
-    return first_groups(totals, facet, cap)
+    return totals if cap is None else first_groups(totals, facet, cap)
 
 
 def points(df: DataFrame, keys: list[str], x: Column, y: Column, size: Column | None = None) -> DataFrame:

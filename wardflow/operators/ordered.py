@@ -2,13 +2,44 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wardflow.session import run_folder
+
 TREND_CAP = 100.0  # fixed value: change shown when something appears from or falls from zero
 OTHERS = "Autres"
 
 
+def join_groups(df: DataFrame, other: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on keys where NULL is a group like any other; ``df`` keeps its key columns."""
+    if not keys:
+        return df.crossJoin(F.broadcast(other))  # other is one row
+    named = other.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+    return df.join(named, on, how).drop(*[f"_k_{k}" for k in keys])
+
+
+def numbered(df: DataFrame, by: list[Column], name: str) -> DataFrame:
+    """All rows with their place (from 1) in the order of ``by``, without bringing them to one task.
+
+    The rows are range-partitioned, sorted and written once; the rows of earlier partitions (one count each) are added
+    to the place in the partition.
+    """
+    spark = df.sparkSession
+    path = run_folder(spark, "numbered")
+    df.orderBy(*by).withColumn("_id", F.monotonically_increasing_id()).write.parquet(path)
+    rows = spark.read.parquet(path).withColumns({"_part": F.shiftright("_id", 33), "_place": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))})
+    before, shifts = 0, []
+    for part, n in sorted(map(tuple, rows.groupBy("_part").count().collect())):
+        shifts.append((part, before))
+        before += n
+    parts = spark.createDataFrame(shifts, "_part bigint, _shift bigint")
+    return rows.join(F.broadcast(parts), "_part").withColumn(name, (F.col("_place") + F.col("_shift") + 1).cast("int")).drop("_id", "_part", "_place", "_shift")
+
+
 def trend(df: DataFrame, prefix: list[str], along: str, value: str, is_percent: bool = False, name: str = "trend") -> DataFrame:
     """Change against the previous key of the same prefix.
 
@@ -38,7 +69,7 @@ def share_of(df: DataFrame, within: list[str], value: str, name: str) -> DataFra
     Group sums are aggregated and joined back, so one big group is not one task.
     """
     sums = df.groupBy(*within).agg(F.sum(value).alias("_sum"))
-    return df.join(sums, within).withColumn(
+    return join_groups(df, sums, within).withColumn(
         name, F.when(F.col("_sum") != 0, 100.0 * F.col(value) / F.col("_sum")).otherwise(F.lit(0.0))
     ).drop("_sum")
 
@@ -88,9 +119,9 @@ def fold_smallest(df: DataFrame, label: str, value: str, n: int, within: list[st
     head = top_per_group(df, within, by, n, "_rn") if within else ranked_head(df, by, n, "_rn")
     kept = head.select(*within, label, "_rn")
     sizes = df.groupBy(*within).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = df.join(kept, [*within, label], "left")
+    ranked = join_groups(df, kept, [*within, label], "left")
     if within:
-        ranked = ranked.join(sizes, within)
+        ranked = join_groups(ranked, sizes, within)
     else:
         ranked = ranked.withColumn("_n", sizes.scalar())
     keep = (F.col("_n") <= n) | (F.coalesce(F.col("_rn"), F.lit(n)) < n)
@@ -109,10 +140,10 @@ def fold_series(df: DataFrame, series: str, keys: list[str], value: str, n: int)
     kept = head.where((size <= n) | (F.col("_rn") < n)).select(series, F.lit(True).alias("_kept"))
     others = F.concat(F.lit(f"{OTHERS} ("), (size - (n - 1)).cast("string"), F.lit(")"))
     label = F.when(F.col("_kept"), F.col(series)).otherwise(others)
-    return df.join(kept, series, "left").groupBy(label.alias(series), *keys).agg(F.sum(value).alias(value))
+    return join_groups(df, kept, [series], "left").groupBy(label.alias(series), *keys).agg(F.sum(value).alias(value))
 
 
-def first_groups(df: DataFrame, facet: str, limit: int = 12) -> DataFrame:
+def first_groups(df: DataFrame, facet: str, limit: int) -> DataFrame:
     """Rows of the first ``limit`` facet values in sort order."""
     shown = df.select(facet).distinct().orderBy(facet).limit(limit)
-    return df.join(shown, facet, "left_semi")
+    return df.join(shown.withColumnRenamed(facet, "_shown"), F.col(facet).eqNullSafe(F.col("_shown")), "left_semi")

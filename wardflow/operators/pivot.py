@@ -10,12 +10,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardflow.functions.derive import EMPTY
-
-MAX_PIVOT_CELLS = 200_000  # fixed value: largest grid shown as a wide table
+from wardflow.operators.ordered import join_groups
 
 
 @dataclass(frozen=True)
@@ -112,21 +111,22 @@ def percentages(pivoted: DataFrame, rows: list[str], cols: list[str], base: str,
 
     ``base`` is an additive or distinct measure of ``pivot``. A cell of a zero total is 0 when it
     is 0 itself, else NULL; a total of a zero total is NULL; the grand total is always 100. The
-    denominators are read from the totals of the pivot's own result.
+    denominators are the totals of the pivot's own result, joined back on their keys.
     """
     value = F.col(base)
-    row_side = Window.partitionBy("row_level", *rows)
-    col_side = Window.partitionBy("col_level", *cols)
-    grand = pivoted.where("row_level = 'none' and col_level = 'none'").select(base).scalar()
-    total = {
-        "row": F.max(F.when(F.col("col_level") == "none", value)).over(row_side),
-        "col": F.max(F.when(F.col("row_level") == "none", value)).over(col_side),
-        "total": grand,
-    }[of]
+    if of == "total":
+        grand = pivoted.where("row_level = 'none' and col_level = 'none'").select(base).scalar()
+        pivoted = pivoted.withColumn("_total", grand)
+    else:
+        keys = ["row_level", *rows] if of == "row" else ["col_level", *cols]
+        other = "col_level" if of == "row" else "row_level"
+        totals = pivoted.where(F.col(other) == "none").select(*keys, value.alias("_total"))
+        pivoted = join_groups(pivoted, totals, keys, "left")
+    total = F.col("_total")
     inner = (F.col("row_level") != "none") & (F.col("col_level") != "none")
     share = F.when(total != 0, F.lit(100.0) * value / total).when(inner & (F.coalesce(value, F.lit(0)) == 0), F.lit(0.0))
     is_grand = (F.col("row_level") == "none") & (F.col("col_level") == "none")
-    return pivoted.withColumn(name, F.when(is_grand, F.lit(100.0)).otherwise(share))
+    return pivoted.withColumn(name, F.when(is_grand, F.lit(100.0)).otherwise(share)).drop("_total")
 
 
 def hide_empty(df: DataFrame, dims: list[str]) -> DataFrame:
@@ -142,10 +142,9 @@ def grid_size(df: DataFrame, rows: list[str], cols: list[str]) -> int:
     return int(n_rows) * int(n_cols)
 
 
-def pivot_wide(pivoted: DataFrame, rows: list[str], col: str, value: str, limit: int = MAX_PIVOT_CELLS) -> DataFrame:
-    """Wide presentation of a long pivot's cells; refuses a grid nobody can read."""
+def pivot_wide(pivoted: DataFrame, rows: list[str], col: str, value: str, limit: int | None = None) -> DataFrame:
+    """Wide presentation of a long pivot's cells; with ``limit``, refuses a grid of more cells."""
     cells = pivoted.where("row_level = 'full' and col_level = 'full'")
-    size = grid_size(cells, rows, [col])
-    if size > limit:
+    if limit is not None and (size := grid_size(cells, rows, [col])) > limit:
         raise ValueError(f"grid of about {size} cells exceeds {limit}: use fewer or coarser dimensions")
     return cells.groupBy(*rows).pivot(col).agg(F.first(value))

@@ -41,7 +41,7 @@ def expand_days(weeks: DataFrame, *keep: str) -> DataFrame:
     )
 
 
-def week_profile(weeks: DataFrame, order: str = "line_no") -> DataFrame:
+def week_profile(weeks: DataFrame, order: tuple[str, ...] = ("source_file", "line_no")) -> DataFrame:
     """Day entries per stay, ISO week, unit and hospitalisation type, with the stay's totals.
 
     Two records of a stay may flag the same day: both count as entries, and the day belongs to the
@@ -61,10 +61,12 @@ def week_profile(weeks: DataFrame, order: str = "line_no") -> DataFrame:
     valid = weeks.where(F.col("monday").isNotNull() & F.col("stay").isNotNull()).withColumns({
         "unit": F.col("numero_unite_medicale"), "hosp": hospitalisation_group(F.col("type_hospitalisation")),
     })
+    # the unit breaks a last tie, so exactly one row owns a day
+    last = F.struct(*order, *[F.coalesce(u, F.lit("")).alias(f"_{u}") for u in units])
     grouped = valid.groupBy(*week, *units).agg(
         F.sum("n_days").alias("n"),
         *[F.count_if(flag(i)).alias(f"c{i}") for i in range(7)],
-        *[F.max(F.when(flag(i), F.col(order))).alias(f"m{i}") for i in range(7)],
+        *[F.max(F.when(flag(i), last)).alias(f"m{i}") for i in range(7)],
     ).repartition(*STAY)
     in_week = Window.partitionBy(*week)
     owned = F.array(*[

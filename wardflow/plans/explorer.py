@@ -15,9 +15,6 @@ from wardflow.operators.hierarchy import with_prefix_label
 from wardflow.operators.pivot import PivotMeasure, hide_empty, pivot
 from wardflow.plans import periods as per
 
-LIST_CAP = 3000  # fixed value: rows a filtered list shows (its total is still counted)
-VALUE_CAP = 500  # fixed value: values offered in a filter
-
 
 @dataclass
 class Source:
@@ -163,15 +160,17 @@ def valuation_source(valuation: DataFrame) -> Source:
     return Source("valo", valuation.where(d.official_amount_rows()), "campaign", dims, measures)
 
 
-def value_list(rows: DataFrame, code: Column, label: Column | None = None, cap: int = VALUE_CAP) -> DataFrame:
-    """Distinct values with their label, sorted, at most ``cap``."""
+def value_list(rows: DataFrame, code: Column, label: Column | None = None, cap: int | None = None) -> DataFrame:
+    """Distinct values with their label, sorted; at most ``cap`` if one is given."""
     shown = rows.select(d.shown(code, mode="code").alias("valeur"), *([label.alias("libelle")] if label is not None else []))
-    return shown.distinct().orderBy("valeur").limit(cap)
+    ordered = shown.distinct().orderBy("valeur")
+    return ordered if cap is None else ordered.limit(cap)
 
 
-def filtered_list(rows: DataFrame, columns: Iterable[str], order: list[Column], cap: int = LIST_CAP) -> tuple[DataFrame, DataFrame]:
-    """(shown head in order, one-row total)."""
-    return rows.select(*columns).orderBy(*order).limit(cap), rows.agg(F.count(F.lit(1)).alias("total"))
+def filtered_list(rows: DataFrame, columns: Iterable[str], order: list[Column], cap: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows in order, one-row total); at most ``cap`` rows if one is given, the total counts all."""
+    ordered = rows.select(*columns).orderBy(*order)
+    return ordered if cap is None else ordered.limit(cap), rows.agg(F.count(F.lit(1)).alias("total"))
 
 
 def stay_sheet(

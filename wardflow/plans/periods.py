@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardflow.functions import calendar as cal
-from wardflow.functions.filters import DEFAULT_EXCLUSIONS, ExclusionRule, keep_rows, period_overlap
+from wardflow.functions.filters import ExclusionRule, keep_rows, period_overlap
 
 
 def _rows(years: DataFrame, min_week: Column, max_week: Column) -> DataFrame:
@@ -60,7 +60,7 @@ def custom_periods(years: DataFrame, first: tuple[int, int], last: tuple[int, in
 
 
 def weeks_in_period(
-    weeks: DataFrame, periods: DataFrame, rules: Iterable[ExclusionRule] = DEFAULT_EXCLUSIONS
+    weeks: DataFrame, periods: DataFrame, rules: Iterable[ExclusionRule] = ()
 ) -> DataFrame:
     """Weekly records inside a period of their establishment and year, minus the excluded ones."""
     bounds = periods.select("finess_epmsi", "iso_year", "min_week", "max_week")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardflow.functions.derive import HOSPITALISATION_TO_VALUATION, lookup, official_amount_rows
-from wardflow.operators.allocation import unit_shares
+from wardflow.operators.allocation import part_of, unit_shares
 from wardflow.operators.presence import STAY, last_unit, last_week_of_year, profile_days, week_profile
 
 PERIOD = ["finess_epmsi", "iso_year"]
@@ -64,9 +64,10 @@ def amount_by_unit(valuation: DataFrame, weeks: DataFrame, periods: DataFrame, y
     """Comparable amount by unit, in proportion to the stay's days there; the units add up to the total."""
     shares = unit_shares(weeks, last_unit(weeks, year_aware))
     rows = comparable_rows(valuation, weeks, periods).groupBy(*STAY, "iso_year").agg(
-        F.sum("montant_br_sej").cast("double").alias("montant")
+        F.sum("montant_br_sej").alias("montant")
     )
-    return rows.join(shares, STAY).groupBy(*PERIOD, "unite").agg(F.sum(F.col("montant") * F.col("share")).alias("montant"))
+    part = part_of(F.col("montant").cast("decimal(18,2)") * F.col("n").cast("decimal(7,0)"), F.col("n_stay"))
+    return rows.join(shares, STAY).groupBy(*PERIOD, "unite").agg(F.sum(part).alias("montant"))
 
 
 def supplements(valuation: DataFrame, weeks: DataFrame, periods: DataFrame) -> DataFrame:
@@ -146,11 +147,12 @@ def value_in_period(daily: DataFrame, periods: DataFrame, by: list[str] | None =
 
 def mean_prices(value: DataFrame, activity: DataFrame, amounts: DataFrame) -> DataFrame:
     """Mean price per stay, week and day next to the official amounts of each period."""
-    v = F.coalesce("montant_br_pt", F.lit(0.0))
+    v = F.coalesce("montant_br_pt", F.lit(0).cast("decimal(38,12)"))
+    mean = v.cast("double")
     return activity.join(value, PERIOD, "left").join(amounts, PERIOD, "left").select(
         *PERIOD, v.alias("montant_br_pt"),
-        F.try_divide(v, F.col("nb_ssr")).alias("pmct"), F.try_divide(v, F.col("nb_rhs")).alias("pmst"),
-        F.try_divide(v, F.col("nb_journees")).alias("pmjt"),
+        F.try_divide(mean, F.col("nb_ssr")).alias("pmct"), F.try_divide(mean, F.col("nb_rhs")).alias("pmst"),
+        F.try_divide(mean, F.col("nb_journees")).alias("pmjt"),
         *[F.coalesce(c, F.lit(0).cast("decimal(18,2)")).alias(c) for c in
           ("montant_br_tot", "montant_br_tot_sans_filtre", "montant_br_non_fact")],
     )

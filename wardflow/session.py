@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -31,9 +32,12 @@ def get_session(app: str = "wardflow", cores: str | int = "*", **conf: str) -> S
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach: the cluster's ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (a local test session) a temporary folder takes its place.
+    Only where the setting is absent on one machine (a local test session) a temporary folder takes its place; on a
+    cluster every executor would write to its own disk, so the setting must be there.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not folder:
         folder = tempfile.mkdtemp(prefix="wardflow-")
         spark.conf.set("spark.checkpoint.dir", folder)
