@@ -111,4 +111,4 @@ def test_equal_line_numbers_of_two_files_count_once(spark):
 def test_parts_add_up(spark):
     weeks = records(spark, [("0001", f"{w:02d}2025", "1110100", "AB"[w % 2]) for w in range(2, 30)])
     got = daily_value(weeks, amounts(spark, [("1", 2025, "202501", "000", 1000.01)]), admin(spark, [])).agg(F.sum("value")).first()[0]
-    assert round(got, 8) == 1000.01
+    assert float(round(got, 8)) == 1000.01
