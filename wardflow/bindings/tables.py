@@ -124,7 +124,7 @@ class Tables:
 
     @cached_property
     def periods(self) -> DataFrame:
-        return reporting_periods(self.weeks)
+        return self.stored("periods", reporting_periods(self.weeks))
 
     @cached_property
     def in_period(self) -> DataFrame:

@@ -20,6 +20,7 @@ from wardflow.functions.derive import (
     structure_label,
     sum_of_known,
 )
+from wardflow.operators.size import small
 from wardflow.operators.latest import cap_identical
 from wardflow.operators.ordered import top_per_group
 from wardflow.operators.presence import STAY
@@ -83,7 +84,7 @@ def patients(admin: DataFrame, periods: DataFrame, last_sunday: DataFrame, order
     rows = admin.withColumn("debut", start).where("debut is not null")
     if stays is not None:
         rows = rows.join(stays, STAY, "left_semi")
-    rows = rows.join(last_sunday, STAY, "left").join(periods.select(*PERIOD, "start", "end"), "finess_epmsi")
+    rows = rows.join(last_sunday, STAY, "left").join(small(periods.select(*PERIOD, "start", "end")), "finess_epmsi")
     leave = F.greatest(F.coalesce(F.to_date("date_sortie"), F.col("end")), "last_sunday", "debut")
     seen = rows.where((leave >= F.col("start")) & (F.col("debut") <= F.col("end")))
     age = age_years(F.to_date("date_naissance_beneficiaire"), F.to_date("date_entree"))

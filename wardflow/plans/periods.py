@@ -1,8 +1,8 @@
 """Reporting periods: comparable year-to-date weeks per establishment, and filters on them.
 
 A period is a row (finess_epmsi, iso_year, min_week, max_week, start, end, month, label). There are
-as many as establishments times years, so joins against them are plain equi-joins on the
-establishment (and year) that Spark broadcasts when they are small.
+as many as establishments times years. Stored periods have a known size; if it is small they are
+broadcast, so that the fact tables are not shuffled on a handful of establishments.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from wardflow.functions import calendar as cal
 from wardflow.functions.filters import ExclusionRule, keep_rows, period_overlap
+from wardflow.operators.size import small
 
 
 def _rows(years: DataFrame, min_week: Column, max_week: Column) -> DataFrame:
@@ -64,7 +65,7 @@ def weeks_in_period(
 ) -> DataFrame:
     """Weekly records inside a period of their establishment and year, minus the excluded ones."""
     bounds = periods.select("finess_epmsi", "iso_year", "min_week", "max_week")
-    hit = weeks.join(bounds, ["finess_epmsi", "iso_year"]).where("week between min_week and max_week")
+    hit = weeks.join(small(bounds), ["finess_epmsi", "iso_year"]).where("week between min_week and max_week")
     return hit.where(keep_rows(rules)).drop("min_week", "max_week")
 
 
@@ -74,7 +75,7 @@ def stays_in_period(admin: DataFrame, periods: DataFrame, entry: str = "date_ent
     A stay counts once, under the earliest year it overlaps.
     """
     bounds = periods.select("finess_epmsi", "iso_year", "start", "end")
-    hit = admin.join(bounds, "finess_epmsi").where(
+    hit = admin.join(small(bounds), "finess_epmsi").where(
         period_overlap(F.to_date(entry), F.to_date(leave), F.col("start"), F.col("end"))
     )
     first = hit.groupBy("finess_epmsi", "stay").agg(F.min("iso_year").alias("periode_annee"))
@@ -84,7 +85,7 @@ def stays_in_period(admin: DataFrame, periods: DataFrame, entry: str = "date_ent
 def campaigns_in_period(valuation: DataFrame, periods: DataFrame) -> DataFrame:
     """Valuation rows whose campaign is a period year."""
     years = periods.select("finess_epmsi", F.col("iso_year").alias("campagne"))
-    return valuation.join(years, ["finess_epmsi", "campagne"], "left_semi")
+    return valuation.join(small(years), ["finess_epmsi", "campagne"], "left_semi")
 
 
 def establishments(*tables: DataFrame) -> DataFrame:

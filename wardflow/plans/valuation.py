@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wardflow.functions.derive import HOSPITALISATION_TO_VALUATION, lookup, official_amount_rows
 from wardflow.operators.allocation import part_of, unit_shares
 from wardflow.operators.presence import STAY, last_unit, last_week_of_year, profile_days, week_profile
+from wardflow.operators.size import small
 
 PERIOD = ["finess_epmsi", "iso_year"]
 
@@ -34,7 +35,7 @@ def comparable_rows(valuation: DataFrame, weeks: DataFrame, periods: DataFrame,
     rows = valuation.where(F.col("montant_br_tot").isNotNull())
     if official:
         rows = rows.where(official_amount_rows())
-    closed = last_week_of_year(weeks).join(periods.select(*PERIOD, "max_week"), PERIOD).where("last_week <= max_week")
+    closed = last_week_of_year(weeks).join(small(periods.select(*PERIOD, "max_week")), PERIOD).where("last_week <= max_week")
     return rows.withColumn("iso_year", F.col("campagne")).join(closed.select(*STAY, "iso_year"), [*STAY, "iso_year"])
 
 
@@ -92,7 +93,7 @@ def row_cause() -> Column:
 
 def unvalued_stays(valuation: DataFrame, weeks: DataFrame, periods: DataFrame, order: tuple[str, ...] = ("numero_rha",)) -> DataFrame:
     """Stays closed by the period's end and without any paid row, counted by the first row's cause."""
-    closed = last_week_of_year(weeks).join(periods.select(*PERIOD, "max_week"), PERIOD).where("last_week <= max_week")
+    closed = last_week_of_year(weeks).join(small(periods.select(*PERIOD, "max_week")), PERIOD).where("last_week <= max_week")
     rows = valuation.withColumn("iso_year", F.col("campagne")).join(closed.select(*STAY, "iso_year"), [*STAY, "iso_year"])
     per_stay = rows.groupBy(*STAY, "iso_year").agg(
         F.bool_or(F.coalesce(F.col("montant_br_sej") != 0, F.lit(False))).alias("paid"),
@@ -119,7 +120,7 @@ def open_stay_estimate(valuation: DataFrame, weeks: DataFrame, periods: DataFram
 
     ``price_per_day`` is (finess_epmsi, iso_year, pmjt).
     """
-    stays = clean_open_stays(valuation, weeks).join(periods.select(*PERIOD, "start", "end"), PERIOD)
+    stays = clean_open_stays(valuation, weeks).join(small(periods.select(*PERIOD, "start", "end")), PERIOD)
     days = profile_days(week_profile(weeks.join(stays.select(*STAY), STAY, "left_semi")))
     counted = (
         stays.join(days, STAY).where("day between start and end")
@@ -141,7 +142,7 @@ def value_in_period(daily: DataFrame, periods: DataFrame, by: list[str] | None =
     """Prorated value of the days inside each period."""
     by = by or []
     rows = daily.groupBy("finess_epmsi", "day", *by).agg(F.sum("value").alias("value"))
-    hit = rows.join(periods.select(*PERIOD, "start", "end"), "finess_epmsi").where("day between start and end")
+    hit = rows.join(small(periods.select(*PERIOD, "start", "end")), "finess_epmsi").where("day between start and end")
     return hit.groupBy(*PERIOD, *by).agg(F.sum("value").alias("montant_br_pt"))
 
 

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wardflow.operators.size import small
+from wardflow.session import run_folder
 from wardflow.sources.layouts import Block, Family, Field
 
 _ROW_BITS = 33  # low bits of monotonically_increasing_id: the row's place in its partition
@@ -16,7 +18,8 @@ def read_lines(spark: SparkSession, path: str, encoding: str = "ISO-8859-1") ->
     """Non-empty lines with file name and exact line number: (source_file, line_no, line).
 
     Files may be split over tasks. A line's number is its place in its split plus the number of
-    lines in the file's earlier splits; the split sizes are one small aggregate row per split.
+    lines in the file's earlier splits. The split sizes, one row per split, are stored first; so
+    their size is known, and while it is small the lines themselves are not shuffled.
     """
     raw = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("source_file"),
@@ -33,7 +36,9 @@ def read_lines(spark: SparkSession, path: str, encoding: str = "ISO-8859-1") ->
         "source_file", "split_start",
         (F.coalesce(earlier, F.lit(0)) - F.col("first_row")).alias("shift"),
     )
-    lines = raw.join(offsets, ["source_file", "split_start"]).select(
+    path = run_folder(spark, "splits")
+    offsets.write.parquet(path)
+    lines = raw.join(small(spark.read.schema(offsets.schema).parquet(path)), ["source_file", "split_start"]).select(
         "source_file",
         (F.col("row_no") + F.col("shift") + 1).alias("line_no"),
         F.rtrim(F.col("line"), F.lit("\r")).alias("line"),
