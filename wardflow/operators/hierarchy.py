@@ -5,29 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_HOPS = 12  # fixed value: longest chain of parents followed
+from wardflow.session import run_folder
 
 
-def closure(nodes: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
+def closure(nodes: DataFrame) -> DataFrame:
     """All (code, ancestor_code, ancestor_kind, hops) pairs, each node being its own ancestor at 0.
 
-    ``nodes`` has code, kind and parent_code. A recursive query, so the number of rounds follows
-    the depth of the tree and not the number of codes.
+    ``nodes`` has code, kind and parent_code. The chains double in length every round, so a tree of
+    any depth takes as many rounds as the depth has binary digits; each round is one join, written
+    to the shared folder. A cycle of parents is an error.
     """
     spark = nodes.sparkSession
-    return spark.sql(
-        f"""
-        WITH RECURSIVE up(code, ancestor_code, ancestor_kind, next_code, hops) MAX RECURSION LEVEL {max_hops + 1} AS (
-            SELECT code, code, kind, parent_code, 0 FROM {{nodes}}
-            UNION ALL
-            SELECT up.code, n.code, n.kind, n.parent_code, up.hops + 1
-            FROM up JOIN {{nodes}} n ON n.code = up.next_code
-            WHERE up.hops < {max_hops}
+    folder = run_folder(spark, "closure")
+    columns = ["code", "ancestor_code", "ancestor_kind", "hops"]
+    zero, one = F.lit(0).alias("hops"), F.lit(1).alias("hops")
+    own = nodes.select("code", F.col("code").alias("ancestor_code"), F.col("kind").alias("ancestor_kind"), zero)
+    parents = nodes.select(F.col("code").alias("ancestor_code"), F.col("kind").alias("ancestor_kind"))
+    links = nodes.select("code", F.col("parent_code").alias("_up")).join(parents, F.col("_up") == F.col("ancestor_code"))
+    links.select("code", "ancestor_code", "ancestor_kind", one).write.parquet(f"{folder}/1")
+    pairs, reach, n = spark.read.parquet(f"{folder}/1"), 1, nodes.count()
+    while not (longest := pairs.where(F.col("hops") == reach)).isEmpty():
+        if reach > n:
+            raise ValueError("the hierarchy has a cycle of parents")
+        further = pairs.withColumnsRenamed({"code": "_c", "ancestor_code": "_a", "ancestor_kind": "_k", "hops": "_h"})
+        new = longest.join(further, F.col("ancestor_code") == F.col("_c")).select(
+            "code", F.col("_a").alias("ancestor_code"), F.col("_k").alias("ancestor_kind"), (F.col("hops") + F.col("_h")).alias("hops")
         )
-        SELECT code, ancestor_code, ancestor_kind, hops FROM up
-        """,
-        nodes=nodes,
-    )
+        reach *= 2
+        pairs.unionByName(new).write.parquet(f"{folder}/{reach}")
+        pairs = spark.read.parquet(f"{folder}/{reach}")
+    return own.select(*columns).unionByName(pairs.select(*columns))
 
 
 def ancestor_of_kind(nodes: DataFrame, kind: str) -> DataFrame:
