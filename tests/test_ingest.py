@@ -133,6 +133,17 @@ def test_stream_equals_batch(spark, tmp_path):
     assert rows == {"000000012": ["B2"], "000000013": []}
 
 
+def test_stream_keeps_rejected_lines_and_messages(spark, tmp_path):
+    table = store.Table(str(tmp_path / "t"), list(WEEKLY.key), ["file_time", "source_file", "line_no"], ["finess_epmsi", "iso_year"])
+    log = store.ErrorLog(str(tmp_path / "log"))
+    good = weekly(das=["A1"])
+    write(tmp_path / "d", "1.txt", [good, good[:10] + "M9Z" + good[13:], good[:-1]])
+    for _ in range(2):
+        ingest(stream_lines(spark, str(tmp_path / "d")), WEEKLY, table, str(tmp_path / "c"), log=log).awaitTermination()
+    messages = [r.message for r in log.current(spark).collect()]
+    assert sum(m.startswith("unknown version") for m in messages) == 1 and sum(m.startswith("record length") for m in messages) == 1
+
+
 @pytest.mark.parametrize("value,message", [("123", None), ("", "missing"), ("XXXX", "not numeric")])
 def test_insured_number(spark, value, message):
     got = spark.range(1).select(quality.insured_number_warning(F.lit(value)).alias("m")).first().m

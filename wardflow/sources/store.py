@@ -64,7 +64,8 @@ class ErrorLog:
 
     def current(self, spark: SparkSession) -> DataFrame:
         latest = spark.read.parquet(self.loads).groupBy("source_file").agg(F.max("load_id").alias("load_id"))
-        return spark.read.parquet(self.messages).join(latest, ["source_file", "load_id"], "left_semi").drop("load_id")
+        rows = spark.read.parquet(self.messages).join(latest, ["source_file", "load_id"], "left_semi")
+        return rows.distinct().drop("load_id")  # a batch written again after a failure counts once
 
 
 def load_summary(good: DataFrame, errors: DataFrame) -> DataFrame:
