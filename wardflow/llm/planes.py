@@ -81,22 +81,23 @@ class LibraryEncoder:
     def text(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
 
-    def pieces(self, pieces: list[str], run: int = 512) -> list[bytes]:
-        spaced = [p for p in pieces if len(p) > 1 and p[0] == " " and not p[-1].isspace()]
-        out = dict(zip(spaced, self.runs(spaced, run), strict=True))
-        return [out[p] if p in out else self.text(p) for p in pieces]
-
-    def runs(self, pieces: list[str], run: int) -> Iterator[bytes]:
+    def pieces(self, pieces: list[str], run: int = 1024) -> list[bytes]:
+        out: list[bytes] = []
         for at in range(0, len(pieces), run):
             some = pieces[at : at + run]
-            raw = self.text("".join(some))
+            if not all([p[0] == " " and len(p) > 1 and not p[-1].isspace() for p in some]):
+                out += map(self.text, some)
+                continue
+            joined = "".join(some)
+            raw = self.text(joined)
             reach = self.width[np.frombuffer(raw, dtype="<u4")].cumsum()
-            ends = np.cumsum([len(p) if p.isascii() else len(p.encode()) for p in some])
+            ends = np.cumsum([len(p) for p in some] if joined.isascii() else [len(p.encode()) for p in some])
             cut = np.searchsorted(reach, ends) + 1
             if not np.array_equal(reach[cut - 1], ends):
                 raise ValueError("an id spans two pieces")
             cut = (4 * cut).tolist()
-            yield from [raw[a:b] for a, b in zip([0, *cut[:-1]], cut, strict=True)]
+            out += [raw[a:b] for a, b in zip([0, *cut[:-1]], cut, strict=True)]
+        return out
 
 
 _ENCODERS: dict[str, LibraryEncoder] = {}  # of this worker process, by vocabulary file
@@ -127,7 +128,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, kind: st
 
         waiting = 0
         for batch in batches:
-            for some in slices(batch, chars=8_000_000):
+            for some in slices(batch):
                 for doc_id, ids in zip(some.column(0).to_pylist(), encoder.cache.encode(some.column(1).to_pylist()), strict=True):
                     held.append(ids + end)
                     names.append(doc_id)
