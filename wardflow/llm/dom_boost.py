@@ -341,7 +341,10 @@ def train(sources: list[str]) -> BoostedTrees:
 def learn(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE) -> BoostedTrees:
     """Trees from a bounded sample of pages that mark an article, none longer than 100,000 characters."""
     marked = pages.where(F.col(html_col).rlike(r"(?i)<(article|main)\b") & (F.length(html_col) <= 100_000))
-    return train([r[0] for r in marked.orderBy(F.xxhash64(id_col), id_col).select(html_col).limit(sample).collect()])
+    # ids first: a head of whole pages from every task would grow with the tasks
+    ids = marked.select(F.col(id_col).alias("picked")).distinct().orderBy(F.xxhash64("picked"), "picked").limit(sample)
+    picked = marked.join(F.broadcast(ids), F.col(id_col) == F.col("picked"), "left_semi").dropDuplicates([id_col])
+    return train([r[0] for r in picked.select(html_col, id_col).orderBy(id_col).collect()])
 
 
 def extract(pages: DataFrame, model: BoostedTrees, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
