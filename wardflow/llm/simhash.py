@@ -27,6 +27,7 @@ from wardflow.llm.components import connected_components
 from wardflow.llm.registry import query
 
 SEED = 42
+CELLS = 1_000_000  # distances that are held at once
 
 
 def text_hashes(text: bytes, width: int) -> list[int]:
@@ -119,15 +120,17 @@ class VantageTree:
 def exact_forest(x: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """(fingerprint, root) for every non-root of the components of a block, by exact distances."""
     linked = np.zeros(x.size, dtype=bool)
-    for at in range(0, x.size, 512):
-        linked[at : at + 512] = (np.bitwise_count(x[at : at + 512, None] ^ x[None, :]) <= bits).sum(axis=1) > 1
+    step = max(1, CELLS // max(1, x.size))
+    for at in range(0, x.size, step):
+        linked[at : at + step] = (np.bitwise_count(x[at : at + step, None] ^ x[None, :]) <= bits).sum(axis=1) > 1
     rest, members, roots = x[linked], [], []
     while rest.size:
         root, frontier, rest = rest[0], rest[:1], rest[1:]
         while frontier.size and rest.size:
             found = np.zeros(rest.size, dtype=bool)
-            for at in range(0, frontier.size, 256):
-                found |= (np.bitwise_count(frontier[at : at + 256, None] ^ rest[None, :]) <= bits).any(axis=0)
+            step = max(1, CELLS // rest.size)
+            for at in range(0, frontier.size, step):
+                found |= (np.bitwise_count(frontier[at : at + step, None] ^ rest[None, :]) <= bits).any(axis=0)
             frontier, rest = rest[found], rest[~found]
             members.append(frontier)
             roots.append(np.full(frontier.size, root))
@@ -135,7 +138,7 @@ def exact_forest(x: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(members), np.concatenate(roots)) if members else (none, none)
 
 
-def shard_forest(x: np.ndarray, bits: int, block: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+def shard_forest(x: np.ndarray, bits: int, block: int = 2048) -> tuple[np.ndarray, np.ndarray]:
     """The forest of a shard: vantage-point splits down to blocks that are compared exactly."""
     members, roots, todo = [np.empty(0, dtype=np.uint64)], [np.empty(0, dtype=np.uint64)], [np.unique(x)]
     rng = np.random.default_rng(11)
@@ -145,7 +148,7 @@ def shard_forest(x: np.ndarray, bits: int, block: int = 1024) -> tuple[np.ndarra
         if some.size > block:
             for point in rng.choice(some, 4, replace=False):
                 d = distances(some, point)
-                radius = int(np.median(d))
+                radius = int(np.median(d)) - bits // 2  # so that the two sides, guests included, are alike
                 inside, outside = some[d <= radius + bits], some[d > radius]
                 if best is None or inside.size + outside.size < best[0]:
                     best = inside.size + outside.size, inside, outside
@@ -191,7 +194,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, bits: int = 2, id_col: str
     return marked.join(named, F.col("fp") == F.col("key"), "left").select("id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = 3, bits: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, width: int = 3, bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs``, all columns, with one row of each near-duplicate component: that of the smallest id.
 
     Of rows that share an id the first text in order stands for them. Only the ids that go, or that are repeated, are
