@@ -49,7 +49,7 @@ class MergeReplay:
         pairs = {(ranks[b[:i]] << 32) | ranks[b[i:]]: r for b, r in ranks.items() for i in range(1, len(b)) if b[:i] in ranks and b[i:] in ranks}
         self.pair_keys = np.array(sorted(pairs), dtype=np.int64)
         self.pair_ranks = np.array([pairs[k] for k in self.pair_keys.tolist()], dtype=np.int32)
-        self.cache = PieceCache(self.pieces, lambda t: b"".join(self.words(self.pattern.findall(t))))
+        self.cache = PieceCache(self.pieces, lambda t: b"".join(self.words(self.pattern.findall(t))), limit=500_000)
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of the merge of each pair, NONE where there is none; negative symbols are ends of words."""
