@@ -2,7 +2,7 @@
 
 A byte-level word pattern always starts a new match at a space that follows something other than white space. So a text
 falls into pieces there, each piece encodes on its own, and a worker encodes each distinct piece once. Texts with white
-space before a space take the encoder's whole-text way.
+space before a space, or with a literal of an added token, take the encoder's whole-text way.
 """
 
 from __future__ import annotations
@@ -20,12 +20,16 @@ class PieceCache:
     text. ``limit`` bounds the kept pieces; beyond it the cache starts anew.
     """
 
-    def __init__(self, encode_pieces: Callable[[list[str]], Iterable[bytes]], encode_text: Callable[[str], bytes], limit: int = 1_200_000):
+    def __init__(self, encode_pieces: Callable[[list[str]], Iterable[bytes]], encode_text: Callable[[str], bytes], limit: int = 1_200_000, literals: Iterable[str] = ()):
         self.encode_pieces, self.encode_text, self.limit = encode_pieces, encode_text, limit
+        self.literals = list(literals)
         self.spaced: dict[str, bytes] = {}  # piece without its leading space: bytes of the piece with it
 
+    def has_literal(self, text: str) -> bool:
+        return any([x in text for x in self.literals])
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if _UNEVEN.search(t) else t.split(" ") for t in texts]
+        split = [None if _UNEVEN.search(t) or self.has_literal(t) else t.split(" ") for t in texts]
         wanted: set[str] = set()
         for parts in split:
             if parts:
