@@ -49,9 +49,10 @@ _WRITERS = 32  # writers per partition: a hot establishment is not one task
 
 
 class ErrorLog:
-    """Messages of every load, appended; only those of a file's latest load are current.
+    """Messages of every load, one folder per load; only those of a file's latest load are current.
 
-    Nothing is rewritten, and reloading a file replaces its messages even when it has none left.
+    A load writes its own folder as a whole, so a load repeated after a failure takes its own place and no message is
+    compared with another: two messages that read alike stay two. Reloading a file replaces its messages even when it has none left.
     """
 
     def __init__(self, folder: str):
@@ -59,13 +60,12 @@ class ErrorLog:
 
     def append(self, errors: DataFrame, files: DataFrame, load_id: int) -> None:
         """``errors`` of one load and the ``files`` (source_file) it read."""
-        errors.withColumn("load_id", F.lit(load_id)).write.mode("append").parquet(self.messages)
-        files.select("source_file").distinct().withColumn("load_id", F.lit(load_id)).write.mode("append").parquet(self.loads)
+        errors.write.mode("overwrite").parquet(f"{self.messages}/load_id={load_id}")
+        files.select("source_file").distinct().write.mode("overwrite").parquet(f"{self.loads}/load_id={load_id}")
 
     def current(self, spark: SparkSession) -> DataFrame:
         latest = spark.read.parquet(self.loads).groupBy("source_file").agg(F.max("load_id").alias("load_id"))
-        rows = spark.read.parquet(self.messages).join(latest, ["source_file", "load_id"], "left_semi")
-        return rows.distinct().drop("load_id")  # a batch written again after a failure counts once
+        return spark.read.parquet(self.messages).join(latest, ["source_file", "load_id"], "left_semi").drop("load_id")
 
 
 def load_summary(good: DataFrame, errors: DataFrame) -> DataFrame:
