@@ -151,15 +151,6 @@ def test_vantage_tree_loses_no_link(bits):
     assert all(len(v) == 1 for v in same.values()) and len(same) == len(set(labels.tolist()))
 
 
-def test_keep_one_of_repeated_ids(spark, docs):
-    kept = simhash.keep_one(docs, bits=2)
-    assert kept.columns == docs.columns
-    ids = [r.doc_id for r in kept.collect()]
-    assert len(ids) == len(set(ids))
-    texts = {r.text for r in docs.collect()}
-    assert {plain_fingerprint(r.text or "") for r in kept.collect()} <= {plain_fingerprint(t or "") for t in texts}
-
-
 def test_connected_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 460)] + [(500, k) for k in range(501, 600)] + [(7, 7)]
