@@ -18,8 +18,6 @@ from wardflow.llm import decontaminate, merge_replay, near_dedup, pii, toxicity
 from wardflow.llm.common import table
 from wardflow.session import run_folder
 
-NEAR_BITS = 4  # SimHash bits of the stage as it was; only tests/llm/test_pipeline.py reads it
-
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.harmless(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
