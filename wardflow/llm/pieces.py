@@ -7,11 +7,8 @@ space before a space, or with a literal of an added token, take the encoder's wh
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterable
 
-_UNEVEN = re.compile(r"\s ")
-
 
 class PieceCache:
     """ids of texts as little-endian unsigned 32-bit bytes.
@@ -29,16 +26,27 @@ class PieceCache:
         return any([x in text for x in self.literals])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if _UNEVEN.search(t) or self.has_literal(t) else t.split(" ") for t in texts]
-        wanted: set[str] = set()
-        for parts in split:
-            if parts:
-                wanted.update(parts[1:])
+        split = [None if self.has_literal(t) else t.split(" ") for t in texts]
         if len(self.spaced) > self.limit:
             self.spaced.clear()
-        new = list(wanted.difference(self.spaced))
-        self.spaced.update(zip(new, self.encode_pieces([" " + p for p in new]), strict=True))
         heads = list({parts[0] for parts in split if parts} - {""})
         first = dict(zip(heads, self.encode_pieces(heads), strict=True)) | {"": b""}
-        get = self.spaced.__getitem__
-        return [self.encode_text(t) if parts is None else b"".join([first[parts[0]], *map(get, parts[1:])]) for t, parts in zip(texts, split, strict=True)]
+        get, found, new = self.spaced.get, [], set()
+        for parts in split:
+            known = [first[parts[0]], *map(get, parts[1:])] if parts is not None else None
+            found.append(known)
+            if known is not None and None in known:
+                new.update([p for p, ids in zip(parts, known, strict=True) if ids is None])
+        listed = [p for p in new if p and not p[-1].isspace()]  # the others would lie before a space, or end the text
+        self.spaced.update(zip(listed, self.encode_pieces([" " + p for p in listed]), strict=True))
+        out = []
+        for text, parts, known in zip(texts, split, found, strict=True):
+            if parts is not None and None in known:
+                known = [ids if ids is not None else get(p) for p, ids in zip(parts, known, strict=True)]
+                if known[-1] is None:
+                    known[-1] = self.encode_pieces([" " + parts[-1]])[0]
+            if parts is None or None in known or len(parts) > 1 and parts[0][-1:].isspace():
+                out.append(self.encode_text(text))
+            else:
+                out.append(b"".join(known))
+        return out

@@ -12,6 +12,8 @@ makes its chunk longer. An added token's literal in a text becomes that token's
 
 from __future__ import annotations
 
+import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -66,9 +68,13 @@ def unpack(n: int, frame_bytes: list[int], data: bytes, kind: str = "byte") -> n
     return out
 
 
+_TAILED = re.compile(r"( ?[^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")  # letters, then ASCII signs without the apostrophe
+
+
 class LibraryEncoder:
-    """The tokenizers library over distinct pieces: many pieces go through one call, and the bytes of the ids tell
-    where one piece ends."""
+    """The tokenizers library over distinct pieces. A piece of letters is one word to the vocabulary's pattern and goes
+    to the library's model as it is; letters followed by signs are two such words. Of the others many go through one
+    call, and the bytes of the ids tell where one piece ends."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -77,11 +83,46 @@ class LibraryEncoder:
         self.width = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.tokenizer.get_vocab_size())], dtype=np.int64)
         literals = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cache = PieceCache(self.pieces, self.text, literals=literals)
+        self.tails: dict[str, bytes] = {}
+        units = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        self.direct = units(" one two,") == [("\u0120one", (0, 4)), ("\u0120two", (4, 8)), (",", (8, 9))] and self.tokenizer.normalizer is None
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes a byte-level vocabulary writes as themselves
+        hidden = [b for b in range(256) if b not in shown]
+        self.letters = dict(zip(shown, map(chr, shown), strict=True)) | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
     def text(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
 
-    def pieces(self, pieces: list[str], run: int = 1024) -> list[bytes]:
+    def word(self, word: str) -> bytes:
+        """One match of the pattern."""
+        known = self.cache.spaced.get(word[1:]) if word[0] == " " else None
+        if known is not None:
+            return known
+        ids = [t.id for t in self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def tail(self, signs: str) -> bytes:
+        if signs not in self.tails:
+            if len(self.tails) > 50_000:
+                self.tails.clear()
+            self.tails[signs] = self.word(signs)
+        return self.tails[signs]
+
+    def pieces(self, pieces: list[str]) -> list[bytes]:
+        out: list[bytes | None] = [None] * len(pieces)
+        rest = []
+        for i, p in enumerate(pieces):
+            if self.direct and (p.isalpha() or p[:1] == " " and p[1:].isalpha()):
+                out[i] = self.word(p)
+            elif self.direct and (m := _TAILED.fullmatch(p)) and m[1].lstrip(" ").isalpha() and not self.cache.has_literal(p):
+                out[i] = self.word(m[1]) + self.tail(m[2])
+            else:
+                rest.append(i)
+        for i, ids in zip(rest, self.together([pieces[i] for i in rest]), strict=True):
+            out[i] = ids
+        return out
+
+    def together(self, pieces: list[str], run: int = 1024) -> list[bytes]:
         out: list[bytes] = []
         for at in range(0, len(pieces), run):
             some = pieces[at : at + run]
