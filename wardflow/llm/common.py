@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -27,8 +30,20 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def filter_rows(docs: DataFrame, text_col: str, make_keep: Callable[[], Callable[[list[str]], list[bool]]]) -> DataFrame:
-    """The rows, with all their columns, whose text a function keeps; ``make_keep`` makes it once per task."""
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task: the worker process stays, and the next task may be another
+    operator's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def filter_rows(
+    docs: DataFrame, text_col: str, make_keep: Callable[[], Callable[[list[str]], list[bool]]], free: Callable[[], None] = lambda: None
+) -> DataFrame:
+    """The rows, with all their columns, whose text a function keeps; ``make_keep`` makes it once per task, ``free`` drops
+    what it holds at the task's end."""
     at = docs.columns.index(text_col)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -36,6 +51,9 @@ def filter_rows(docs: DataFrame, text_col: str, make_keep: Callable[[], Callable
         for batch in batches:
             for some in slices(batch, at):
                 yield some.filter(pa.array(keep([t or "" for t in some.column(at).to_pylist()]), pa.bool_()))
+        del keep
+        free()
+        give_back()
 
     return docs.mapInArrow(kept, docs.schema)
 

@@ -148,7 +148,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, id_
 def clean_documents(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, text_col: str = "text") -> DataFrame:
     """``docs``, all columns, without the rows in which an item occurs."""
     for block in blocks_of(benchmark):
-        docs = filter_rows(docs, text_col, lambda block=block: lambda texts: [not matcher(block, rate).hits(t) for t in texts])
+        docs = filter_rows(docs, text_col, lambda block=block: lambda texts: [not matcher(block, rate).hits(t) for t in texts], _MATCHERS.clear)
     return docs
 
 

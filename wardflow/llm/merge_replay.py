@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from wardflow.llm.common import id_and_text, slices, table
+from wardflow.llm.common import give_back, id_and_text, slices, table
 from wardflow.llm.pieces import PieceCache
 from wardflow.llm.registry import query
 
@@ -193,6 +193,8 @@ def encode_rows(docs: DataFrame, vocabulary: str, text_col: str = "text") -> Dat
                 ids = own.encode([t or "" for t in some.column(at).to_pylist()])
                 more = pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([own.decode(x).decode() for x in ids], pa.string())
                 yield pa.RecordBatch.from_arrays([*some.columns, *more], names=names)
+        own.cache.spaced.clear()  # a pipeline's next task in this worker is another operator's
+        give_back()
 
     return docs.mapInArrow(encode, schema)
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardflow.llm.common import slices, written
+from wardflow.llm.common import give_back, slices, written
 from wardflow.llm.components import connected_components
 from wardflow.llm.simhash import text_hashes
 
@@ -69,6 +69,7 @@ def marked_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 listed = pa.ListArray.from_arrays(pa.array(at), pa.array(values[sizes > 0].reshape(-1).view(np.int64)))
                 nodes = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([some.column(0).cast(pa.int64()), some.column(2), pa.array(nodes), pa.array(sizes), listed], names=["id", "mark", "node", "n", "bands"])
+        give_back()
 
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), text_mark(text_col).alias("mark"))
     return rows.mapInArrow(mark, "id long, mark string, node long, n int, bands array<long>")
@@ -84,6 +85,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str)
                 at = np.cumsum([0, *[len(s) for s in sets]]).astype(np.int32)
                 listed = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(sets).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([some.column(0), listed], names=["node", "hashes"])
+        give_back()
 
     rows = docs.select(F.col(id_col).alias("own_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), text_mark(text_col).alias("own_mark"))
     found = rows.join(wanted, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_mark") == F.col("mark"))).select("node", "text")

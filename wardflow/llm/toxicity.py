@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardflow.llm.common import filter_rows, id_and_text, slices, table
+from wardflow.llm.common import filter_rows, give_back, id_and_text, slices, table
 from wardflow.llm.registry import query
 
 DECAY, REACH, LONGEST = 0.8, 7, 24
@@ -187,6 +187,10 @@ class Model:
             self._table[self.codes] = np.arange(1, len(self.codes) + 1)
         return margins(words, self._table, np.concatenate(([0.0], self.weights)), self.bias)
 
+    def free(self) -> None:
+        """Drop the lookup table; the next call makes it again."""
+        self._table = None
+
     def scores(self, texts: list[str]) -> np.ndarray:
         each = [segments(t) for t in texts]
         listed = sorted(set().union(*each))
@@ -295,7 +299,10 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = {i: (label, words) for batch in batches for i, label, words in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)}
         ordered = [each[i] for i in sorted(each)]
+        del each
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train([w for _, w in ordered], np.array([label == 1 for label, _ in ordered], dtype=bool)))])], names=["model"])
+        del ordered
+        give_back()
 
     words = rows.select("id", F.col("label").cast("int").alias("label"), "text").mapInArrow(split, "id long, label int, words array<string>")
     fitted = words.repartition(1).sortWithinPartitions("id", "words").mapInArrow(fit, "model binary").first()  # the sample is bounded, so one task has it
@@ -313,6 +320,8 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
                 yield pa.RecordBatch.from_arrays([
                     some.column(0).cast(pa.int64()), pa.array([is_held_out(i) for i in some.column(0).to_pylist()], pa.bool_()), pa.array(value, pa.float64()), pa.array((value >= 0.5).astype(np.int32)),
                 ], names=["doc_id", "held_out", "score", "predicted"])
+        shared.value.free()
+        give_back()
 
     return id_and_text(docs, id_col, text_col).mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")
 
@@ -320,7 +329,7 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
 def harmless(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs``, all columns, without the rows that score 0.5 or more."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return filter_rows(docs, text_col, lambda: lambda texts: (shared.value.scores(texts) < 0.5).tolist() if texts else [])
+    return filter_rows(docs, text_col, lambda: lambda texts: (shared.value.scores(texts) < 0.5).tolist() if texts else [], lambda: shared.value.free())
 
 
 @query("op7_subsequence_kernel_machine")
