@@ -43,7 +43,7 @@ def test_empty_documents(spark):
 
 def test_registered():
     names = entry.queries()
-    assert "pipeline" in names and all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11))
+    assert "pipeline" in names and all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 14))
     assert len(corpus_pipeline.STAGES) == 5
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from wardflow.llm import decontaminate, dom_boost, merge_replay, pii, planes, simhash, sketch, suffix_tree, toxicity, url_lists  # noqa: F401
+from wardflow.llm import decontaminate, dom_boost, merge_replay, pii, planes, rule_ensemble, simhash, sketch, spelling, suffix_tree, toxicity, url_lists, whitening  # noqa: F401
 from wardflow.llm.registry import ORACLES, QUERIES
 
 
