@@ -174,14 +174,17 @@ def grow(x: np.ndarray, y: np.ndarray, seed: int = 3) -> list[Rule]:
     return sorted(found, key=lambda r: r.bounds)
 
 
-def lasso(truth: np.ndarray, y: np.ndarray, penalty: float, start: np.ndarray | None = None, rounds: int = 400) -> np.ndarray:
-    """Weights, bias last, of L1-penalised logistic regression by accelerated proximal steps; the bias is free."""
-    x = np.hstack([truth, np.ones((len(truth), 1))])
-    rate = 4 * len(x) / max(np.linalg.norm(x, 2) ** 2, 1e-9)
+def lasso(truth: np.ndarray, high: np.ndarray, rows: np.ndarray, penalty: float, start: np.ndarray | None = None, rounds: int = 400) -> np.ndarray:
+    """Weights, bias last, of L1-penalised logistic regression by accelerated proximal steps; the bias is free.
+
+    A row of ``truth`` stands for ``rows`` texts of which ``high`` have label 1.
+    """
+    x, n = np.hstack([truth, np.ones((len(truth), 1))]), rows.sum()
+    rate = 4 * n / max(float(np.linalg.eigvalsh(x.T @ (rows[:, None] * x))[-1]), 1e-9)
     w = np.zeros(x.shape[1]) if start is None else start.copy()
     ahead, t = w.copy(), 1.0
     for _ in range(rounds):
-        slope = x.T @ (1 / (1 + np.exp(-np.clip(x @ ahead, -30, 30))) - y) / len(x)
+        slope = x.T @ (rows / (1 + np.exp(-np.clip(x @ ahead, -30, 30))) - high) / n
         new = ahead - rate * slope
         new[:-1] = np.sign(new[:-1]) * np.maximum(np.abs(new[:-1]) - rate * penalty, 0)
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
@@ -198,23 +201,27 @@ def fit(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> Ensemble:
     if not len(y) or y.min() == y.max():
         return Ensemble((), (), 0.0)
     rules = grow(x, y)
-    truth = np.column_stack([r.holds(x) for r in rules]).astype(float) if rules else np.zeros((len(x), 0))
-    spread, first = truth.std(axis=0), {}
+    truth = np.column_stack([r.holds(x) for r in rules]) if rules else np.zeros((len(x), 0), dtype=bool)
+    first: dict[bytes, int] = {}
     for k in range(len(rules)):  # rules that hold for the same rows are one rule
-        if spread[k] > 0:
+        if 0 < truth[:, k].sum() < len(x):
             first.setdefault(truth[:, k].tobytes(), k)
     kept = sorted(first.values())
     rules, truth = [rules[k] for k in kept], truth[:, kept]
-    loss = np.zeros(len(PENALTIES))
-    for out in np.unique(fold):
-        inside, w = fold != out, None
-        if inside.all() or y[inside].min() == y[inside].max():
+    patterns, of = np.unique(np.packbits(truth, axis=1), axis=0, return_inverse=True)  # texts of one pattern of rules are one row
+    truth = np.unpackbits(patterns, axis=1, count=len(kept)).astype(float) if kept else np.zeros((len(patterns), 0))
+    counts = np.zeros((int(fold.max()) + 1, len(truth), 2))
+    np.add.at(counts, (fold, of.reshape(-1), y.astype(int)), 1)
+    whole, loss = counts.sum(axis=0), np.zeros(len(PENALTIES))
+    for out in counts:
+        inside, w = whole - out, None
+        if not out.any() or not inside.sum(axis=0).all():
             continue
         for i, penalty in enumerate(PENALTIES):
-            w = lasso(truth[inside], y[inside], penalty, w, rounds=150)
-            z = np.clip(truth[~inside] @ w[:-1] + w[-1], -30, 30)
-            loss[i] += (np.log1p(np.exp(z)) - y[~inside] * z).sum()
-    w = lasso(truth, y, PENALTIES[int(loss.argmin())], rounds=2000)
+            w = lasso(truth, inside[:, 1], inside.sum(axis=1), penalty, w, rounds=150)
+            z = np.clip(truth @ w[:-1] + w[-1], -30, 30)
+            loss[i] += (out.sum(axis=1) * np.log1p(np.exp(z)) - out[:, 1] * z).sum()
+    w = lasso(truth, whole[:, 1], whole.sum(axis=1), PENALTIES[int(loss.argmin())], rounds=2000)
     used = np.flatnonzero(np.abs(w[:-1]) > 1e-6)
     return Ensemble(tuple(rules[k] for k in used), tuple(float(w[k]) for k in used), float(w[-1]))
 
