@@ -49,7 +49,7 @@ class MergeReplay:
         pairs = {(ranks[b[:i]] << 32) | ranks[b[i:]]: r for b, r in ranks.items() for i in range(1, len(b)) if b[:i] in ranks and b[i:] in ranks}
         self.pair_keys = np.array(sorted(pairs), dtype=np.int64)
         self.pair_ranks = np.array([pairs[k] for k in self.pair_keys.tolist()], dtype=np.int32)
-        self.cache = PieceCache(self.pieces, lambda t: b"".join(self.words(self.pattern.findall(t))), limit=500_000)
+        self.cache = PieceCache(self.pieces, lambda t: b"".join(self.words(self.pattern.findall(t))), limit=300_000)
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of the merge of each pair, NONE where there is none; negative symbols are ends of words."""
@@ -189,7 +189,7 @@ def encode_rows(docs: DataFrame, vocabulary: str, text_col: str = "text") -> Dat
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(vocabulary)
         for batch in batches:
-            for some in slices(batch, at, chars=8_000_000):
+            for some in slices(batch, at, chars=2_000_000):
                 ids = own.encode([t or "" for t in some.column(at).to_pylist()])
                 more = pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([own.decode(x).decode() for x in ids], pa.string())
                 yield pa.RecordBatch.from_arrays([*some.columns, *more], names=names)
