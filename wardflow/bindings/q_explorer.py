@@ -9,6 +9,7 @@ from wardflow.bindings.q_valuation import r
 from wardflow.bindings.registry import query
 from wardflow.bindings.tables import Tables
 from wardflow.functions import measures as m
+from wardflow.functions import mergeable as mg
 from wardflow.operators import ordered as od
 from wardflow.operators import pivot as pv
 from wardflow.plans import explorer as ex
@@ -110,11 +111,11 @@ from (select numero_unite_medicale u, cast(iso_year as varchar) y, * from v_in_p
 def _(t: Tables) -> DataFrame:
     rows = t.in_period.withColumns({"u": F.col("numero_unite_medicale"), "y": F.col("iso_year").cast("string")})
     book = m.MeasureBook()
-    book.register("actes_par_jour", "rhs", rows, lambda: m.ratio(F.sum("n2_nb_csarr"), F.sum("n_days")))
-    book.register("jours_das", "rhs", rows, lambda: m.sum_if(F.col("n1_nb_das") > 0, F.col("n_days").cast("double")))
-    book.register("moy", "rhs", rows, lambda: F.avg("n_days"))
-    book.register("n_sejours", "rhs", rows, lambda: m.count_distinct(F.col("stay")))
-    out = pv.pivot(rows, ["u"], ["y"], [pv.PivotMeasure(x.name, "expr", x.build()) for x in book])
+    book.register("actes_par_jour", "rhs", rows, lambda: mg.ratio(mg.total(F.col("n2_nb_csarr")), mg.total(F.col("n_days"))))
+    book.register("jours_das", "rhs", rows, lambda: mg.total_if(F.col("n1_nb_das") > 0, F.col("n_days").cast("double")))
+    book.register("moy", "rhs", rows, lambda: mg.mean(F.col("n_days")))
+    book.register("n_sejours", "rhs", rows, lambda: mg.distinct(F.col("stay")))
+    out = pv.pivot(rows, ["u"], ["y"], [pv.PivotMeasure(x.name, "calc", x.build()) for x in book])
     return out.select("u", "y", *[r(c, 6).alias(c) for c in ("actes_par_jour", "jours_das", "moy")], "n_sejours")
 
 
@@ -124,11 +125,12 @@ select n_nationkey k, coalesce(sum(c_acctbal) filter (c_acctbal < -900), 0.0) s,
 from nation left join customer on c_nationkey = n_nationkey group by 1""")
 def _(t: Tables) -> DataFrame:
     rows = t.raw("nation").join(t.raw("customer"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
-    bal = F.col("c_acctbal")
-    return rows.groupBy(F.col("n_nationkey").alias("k")).agg(
-        m.sum_(F.when(bal < -900, bal)).alias("s"), r(F.avg(bal), 6).alias("a"), F.count(bal).alias("n"), m.count_distinct(F.col("c_mktsegment")).alias("d"),
-        F.min("c_mktsegment").alias("mi"), F.max("c_mktsegment").alias("ma"), r(F.median(bal), 4).alias("me"), m.mode(F.col("c_mktsegment")).alias("mo"), m.only(F.col("n_regionkey")).alias("o"),
-    )
+    bal, segment = F.col("c_acctbal"), F.col("c_mktsegment")
+    out = pv.calculate(rows.withColumn("k", F.col("n_nationkey")), ["k"], {
+        "s": mg.total_if(bal < -900, bal), "a": mg.mean(bal), "n": mg.count(bal), "d": mg.distinct(segment), "mi": mg.least(segment), "ma": mg.greatest(segment),
+        "me": mg.median(bal), "mo": mg.mode(segment), "o": mg.only(F.col("n_regionkey")),
+    })
+    return out.withColumns({"a": r("a", 6), "me": r("me", 4)})
 
 
 @query("e44_total", """

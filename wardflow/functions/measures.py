@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -151,14 +152,15 @@ def ratio(top: Column, bottom: Column) -> Column:
 
 @dataclass(frozen=True)
 class Measure:
-    """A named calculated measure of one source: one aggregate expression, usable in any cell or total."""
+    """A named calculated measure of one source: an aggregate expression, or a measure of mergeable parts."""
 
     name: str
     source: str
-    build: Callable[[], Column]
+    build: Callable[[], Any]
 
     def column(self) -> Column:
-        return self.build().alias(self.name)
+        built = self.build()
+        return (built if isinstance(built, Column) else built.column()).alias(self.name)
 
 
 class MeasureBook:
@@ -167,7 +169,7 @@ class MeasureBook:
     def __init__(self) -> None:
         self._measures: dict[str, Measure] = {}
 
-    def register(self, name: str, source: str, rows: DataFrame, build: Callable[[], Column]) -> Measure:
+    def register(self, name: str, source: str, rows: DataFrame, build: Callable[[], Any]) -> Measure:
         if name in self._measures:
             raise ValueError(f"measure {name!r} exists already")
         measure = Measure(name, source, build)

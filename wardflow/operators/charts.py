@@ -2,63 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardflow.operators.ordered import OTHERS, first_groups, fold_smallest, join_groups, ranked_head, share_of
+from wardflow.operators.quantiles import quantiles_of_counts, value_counts
 
-_QUARTILES = (0.25, 0.5, 0.75)
-_BRACKET = 0.001  # half-width, in rank share, of the slice searched for an exact quantile
-_SMALL_GROUP = 10_000  # below this the whole group is the slice
+_QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
 
 def box_statistics(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Minimum, quartiles (linear between neighbours), maximum and count per group, exact.
-
-    An approximate quantile brackets each quartile; only the rows inside the bracket are ordered,
-    the rows below it are counted. Equal values are counted before anything else. So a group may be
-    any size: no task sees more than a thin slice of it.
-    """
-    v = F.col(value).cast("double")
-    known = df.where(v.isNotNull()).select(*keys, v.alias("v"))
-    probes = [p for q in _QUARTILES for p in (q - _BRACKET, q + _BRACKET)]
-    bounds = known.groupBy(*keys).agg(
-        F.percentile_approx("v", probes, 10_000).alias("probe"), F.count(F.lit(1)).alias("n"),
-        F.min("v").alias("lowest"), F.max("v").alias("highest"),
-    )
-    small = F.col("n") < _SMALL_GROUP
-    targets = F.array(*[
-        F.struct(
-            F.lit(i).alias("q"), (F.lit(p) * (F.col("n") - 1)).alias("at"),
-            F.when(small, F.col("lowest")).otherwise(F.col("probe")[2 * i]).alias("lo"),
-            F.when(small, F.col("highest")).otherwise(F.col("probe")[2 * i + 1]).alias("hi"),
-        ) for i, p in enumerate(_QUARTILES)
-    ])
-    bounds = bounds.select(*keys, "n", "lowest", "highest", targets.alias("targets"))
-    counts = known.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("c")).join(bounds, keys)
-    around = counts.groupBy(*keys).agg(F.array(*[
-        F.struct(
-            F.coalesce(F.sum(F.when(F.col("v") < F.col("targets")[i]["lo"], F.col("c"))), F.lit(0)).alias("before"),
-            F.min(F.when(F.col("v") > F.col("targets")[i]["hi"], F.col("v"))).alias("next"),
-        ) for i in range(len(_QUARTILES))
-    ]).alias("around"))
-    in_reach = F.filter("targets", lambda t: F.col("v").between(t["lo"], t["hi"]))
-    order = Window.partitionBy(*keys, "q").orderBy("v")
-    inside = (
-        counts.select(*keys, "v", "c", F.explode(in_reach).alias("t")).select(*keys, "v", "c", "t.q", "t.at")
-        .join(around, keys).withColumn("a", F.col("around")[F.col("q")])
-        .withColumn("last", F.col("a.before") + F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1)
-        .withColumn("following", F.coalesce(F.lead("v").over(order), F.col("a.next"), F.col("v")))
-    )
-    place = F.floor("at")
-    upper = F.when(place < F.col("last"), F.col("v")).otherwise(F.col("following"))
-    hit = inside.where(place.between(F.col("last") - F.col("c") + 1, F.col("last"))).select(
-        *keys, "q", (F.col("v") + (upper - F.col("v")) * (F.col("at") - place)).alias("value")
-    )
-    quartiles = hit.groupBy(*keys).agg(*[
-        F.max(F.when(F.col("q") == i, F.col("value"))).alias(n) for i, n in enumerate(("q1", "median", "q3"))
-    ])
-    return bounds.join(quartiles, keys).select(*keys, "lowest", "q1", "median", "q3", "highest", "n")
+    """Minimum, quartiles (linear between neighbours), maximum and count per group, exact for groups of any size."""
+    counts = value_counts(df, keys, F.col(value).cast("double"))
+    found = quantiles_of_counts(counts, keys, _QUARTILES)
+    return found.withColumnsRenamed({"_lowest": "lowest", "_highest": "highest", "_n": "n"}).select(*keys, "lowest", *_QUARTILES, "highest", "n")
 
 
 def histogram(df: DataFrame, value: str, series: list[str] | None = None) -> DataFrame:

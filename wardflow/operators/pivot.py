@@ -1,4 +1,4 @@
-"""Pivot in long form: cells, totals and subtotals recomputed from source rows, and percentages.
+"""Pivot in long form: cells, totals and subtotals merged from the cells' states, and percentages.
 
 Dimensions are display values (never NULL), so a NULL dimension marks a total. ``row_level`` and
 ``col_level`` say how much of each side is kept: ``full``, ``first`` (subtotal on the first
@@ -13,21 +13,29 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wardflow.functions import mergeable as mg
 from wardflow.functions.derive import EMPTY
+from wardflow.functions.mergeable import Calculated, Part
 from wardflow.operators.ordered import join_groups
+from wardflow.operators.quantiles import quantiles_of_counts, value_counts
 
 
 @dataclass(frozen=True)
 class PivotMeasure:
-    """``how`` is count, sum, avg, min, max, median, distinct or expr.
+    """``how`` is count, sum, avg, min, max, median, distinct or calc.
 
-    ``value`` is the row expression, or the aggregate itself for ``expr`` (a calculated measure,
-    evaluated once per cell and once per total).
+    ``value`` is the row expression, or the ``Calculated`` measure itself for ``calc``.
     """
 
     name: str
     how: str
-    value: Column
+    value: Column | Calculated
+
+    def calculated(self) -> Calculated:
+        simple = {
+            "count": mg.count_known, "sum": mg.total_known, "avg": mg.mean, "min": mg.least, "max": mg.greatest, "median": mg.median, "distinct": mg.distinct,
+        }
+        return self.value if self.how == "calc" else simple[self.how](self.value)
 
 
 def grouping_levels(rows: list[str], cols: list[str], row_subtotals: bool, col_subtotals: bool) -> list[list[str]]:
@@ -45,65 +53,69 @@ def _level(dims: list[str]) -> Column:
     return F.when(kept[-1], F.lit("full")).when(kept[0], F.lit("first")).otherwise(F.lit("none"))
 
 
-def _group(df: DataFrame, sets: list[list[str]], dims: list[str], rows: list[str], cols: list[str], aggs: list[Column]) -> DataFrame:
+def _group(df: DataFrame, sets: list[list[str]], rows: list[str], cols: list[str], aggs: list[Column], also: list[str] | None = None) -> DataFrame:
+    """Aggregates of every grouping set, by the columns ``also`` too, with the levels of both sides."""
+    dims, also = rows + cols, also or []
     if not dims:
-        return df.agg(*aggs).select(F.lit("none").alias("row_level"), F.lit("none").alias("col_level"), "*")
-    out = df.groupingSets(sets, *dims).agg(
-        *aggs, _level(rows).alias("row_level"), _level(cols).alias("col_level")
-    )
-    return out
+        out = df.groupBy(*also).agg(*aggs) if also else df.agg(*aggs)
+        return out.select(F.lit("none").alias("row_level"), F.lit("none").alias("col_level"), "*")
+    return df.groupingSets([s + also for s in sets], *dims, *also).agg(*aggs, _level(rows).alias("row_level"), _level(cols).alias("col_level"))
+
+
+def merged_states(df: DataFrame, rows: list[str], cols: list[str], sets: list[list[str]], parts: list[Part]) -> DataFrame:
+    """(dims, levels, p0, p1, …): the state of every part in every cell and total.
+
+    Source rows are read into cells (additive parts) and into counts of values per cell (the others), both with map-side
+    combine; only cells and counts meet the grouping sets. Medians come from the counts by range, so no group is in one
+    task. The results share their keys and are put together by one aggregate.
+    """
+    dims = rows + cols
+    keys = dims + ["row_level", "col_level"]
+    found: list[DataFrame] = []
+    additive = [(f"p{i}", p) for i, p in enumerate(parts) if p.kind in mg.ADDITIVE]
+    cells = df.groupBy(*dims).agg(F.count(F.lit(1)).alias("_rows"), *[getattr(F, p.kind)(p.value).alias(name) for name, p in additive])
+    merge = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
+    found.append(_group(cells, sets, rows, cols, [F.sum("_rows").alias("_rows"), *[merge[p.kind](name).alias(name) for name, p in additive]]).drop("_rows"))
+    for i, p in enumerate(parts):
+        if p.kind not in mg.OF_VALUES:
+            continue
+        counts = _group(value_counts(df, dims, p.value), sets, rows, cols, [F.sum("_c").alias("_c")], ["_v"])
+        if p.kind == "median":
+            found.append(quantiles_of_counts(counts, keys, {f"p{i}": 0.5}).select(*keys, f"p{i}"))
+        elif p.kind == "mode":
+            found.append(counts.groupBy(*keys).agg(F.min(F.struct((-F.col("_c")).alias("less"), "_v"))["_v"].alias(f"p{i}")))
+        else:
+            found.append(counts.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"p{i}")))
+    if len(found) == 1:
+        return found[0]
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found)
+    return stacked.groupBy(*keys).agg(*[F.max(f"p{i}").alias(f"p{i}") for i in range(len(parts))])
 
 
 def pivot(
     df: DataFrame, rows: list[str], cols: list[str], measures: list[PivotMeasure],
-    row_subtotals: bool = False, col_subtotals: bool = False,
+    row_subtotals: bool = False, col_subtotals: bool = False, totals: bool = True,
 ) -> DataFrame:
     """Long-form pivot: (row dims, column dims, row_level, col_level, one column per measure).
 
-    Additive measures are aggregated to cells first and the grouping sets run over the cells;
-    distinct counts run over distinct (cell, key) rows; medians and calculated measures need the
-    rows themselves. The parts share their keys and are put together by one aggregate.
+    The parts of all measures are computed together, one that several measures share only once.
     """
-    dims = rows + cols
-    sets = grouping_levels(rows, cols, row_subtotals, col_subtotals)
-    parts: list[DataFrame] = []
-
-    additive = [m for m in measures if m.how in ("count", "sum", "avg", "min", "max")]
-    if additive:
-        partial, final = [], []
-        for i, m in enumerate(additive):
-            value = m.value
-            if m.how in ("sum", "avg"):
-                partial.append(F.sum(value).alias(f"_s{i}"))
-            if m.how in ("count", "avg"):
-                partial.append(F.count(value).alias(f"_n{i}"))
-            if m.how in ("min", "max"):
-                partial.append(getattr(F, m.how)(value).alias(f"_m{i}"))
-            final.append({
-                "sum": lambda i=i: F.sum(f"_s{i}"),
-                "count": lambda i=i: F.nullif(F.sum(f"_n{i}"), F.lit(0)),
-                "avg": lambda i=i: F.try_divide(F.sum(f"_s{i}"), F.sum(f"_n{i}")),
-                "min": lambda i=i: F.min(f"_m{i}"),
-                "max": lambda i=i: F.max(f"_m{i}"),
-            }[m.how]().alias(m.name))
-        cells = df.groupBy(*dims).agg(*partial)
-        parts.append(_group(cells, sets, dims, rows, cols, final))
-
+    sets = grouping_levels(rows, cols, row_subtotals, col_subtotals) if totals else [rows + cols]
+    parts: list[Part] = []
+    built: list[Column] = []
     for m in measures:
-        if m.how == "distinct":
-            keys = df.select(*dims, m.value.alias("_k")).distinct()
-            parts.append(_group(keys, sets, dims, rows, cols, [F.count_distinct("_k").alias(m.name)]))
-
-    direct = [m for m in measures if m.how in ("median", "expr")]
-    if direct:
-        aggs = [(F.median(m.value) if m.how == "median" else m.value).alias(m.name) for m in direct]
-        parts.append(_group(df, sets, dims, rows, cols, aggs))
-
-    keys = dims + ["row_level", "col_level"]
-    if len(parts) == 1:
-        return parts[0].select(*keys, *[m.name for m in measures])
-    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    return stacked.groupBy(*keys).agg(*[F.max(m.name).alias(m.name) for m in measures])
+        measure, places = m.calculated(), []
+        for part in measure.parts:
+            known = next((i for i, p in enumerate(parts) if p.kind == part.kind and p.value is part.value), len(parts))
+            parts += [part] if known == len(parts) else []
+            places.append(known)
+        built.append(measure.build([F.col(f"p{i}") for i in places]).alias(m.name))
+    return merged_states(df, rows, cols, sets, parts).select(*rows, *cols, "row_level", "col_level", *built)
+
+
+def calculate(df: DataFrame, keys: list[str], measures: dict[str, Calculated]) -> DataFrame:
+    """Calculated measures per group, without totals."""
+    return pivot(df, keys, [], [PivotMeasure(n, "calc", m) for n, m in measures.items()], totals=False).drop("row_level", "col_level")
 
 
 def percentages(pivoted: DataFrame, rows: list[str], cols: list[str], base: str, of: str, name: str) -> DataFrame:
