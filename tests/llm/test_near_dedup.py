@@ -2,7 +2,10 @@
 
 import random
 
+import pytest
+
 import corpus_pipeline
+from wardflow.llm import near_dedup
 
 
 def plain_shingles(text, width=5):
@@ -65,3 +68,55 @@ def test_rows_go_by_their_own_key(spark):
     kept = corpus_pipeline.keep_one_of_each(spark, docs, "")
     got = sorted(((r.doc_id is None, r.doc_id or 0, r.text or "") for r in kept.collect()))
     assert got == sorted([(False, 3, a), (False, 2, d), (False, 4, e), (True, 0, b), (False, 9, c), (True, 0, "")])
+
+
+def shared_passages(n, seed=7, own=50):
+    """Texts that share a passage of 200 words and have some of their own: no pair reaches 0.8, but for a few copies."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(6))
+    passage = " ".join(word() for _ in range(200))
+    texts = [" ".join(word() for _ in range(own)) + " " + passage for _ in range(n)]
+    for k in range(0, n, 50):  # near copies among them
+        texts += [texts[k] + " " + " ".join(word() for _ in range(extra)) for extra in (3, 20)]
+    return texts
+
+
+def counted_pairs(monkeypatch, spark, texts):
+    seen, verify = [], near_dedup.verified
+    monkeypatch.setattr(near_dedup, "verified", lambda pairs, sets: seen.append(pairs.count()) or verify(pairs, sets))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    return {r.doc_id for r in near_dedup.keep_one(docs).collect()}, sum(seen)
+
+
+@pytest.mark.parametrize("own", [50, 40])
+def test_a_shared_passage_does_not_make_all_pairs(monkeypatch, spark, own):
+    few, many = shared_passages(150, own=own), shared_passages(600, own=own)
+    kept, small = counted_pairs(monkeypatch, spark, few)
+    assert kept == stay(list(enumerate(few)))[0]
+    kept, large = counted_pairs(monkeypatch, spark, many)
+    assert kept == stay(list(enumerate(many)))[0]
+    assert large < 8 * max(small, 500) and large < 20_000  # 600 texts have 180,000 pairs
+
+
+def test_prefix_filter_loses_no_pair(spark):
+    """All similar pairs share a shingle of the longer's prefix and the shorter's early one, whatever is called common."""
+    texts = [t for t in families(9)[:210] if t]
+    sets = {k: near_dedup.shingle_set(t) for k, t in enumerate(texts)}
+    df = spark.createDataFrame([(k, x.view("i8").tolist()) for k, x in sets.items()], "node long, hashes array<long>")
+    for common in (near_dedup.common_shingles(df), near_dedup.common_shingles(df.limit(0))):
+        look, offer = {}, {}
+        for r in near_dedup.prefixes(df, common).collect():
+            look.setdefault(r.node, set()).add(r.hash)
+            if r.early:
+                offer.setdefault(r.node, set()).add(r.hash)
+        for a in sets:
+            for b in sets:
+                if (len(sets[b]), b) < (len(sets[a]), a) and similarity(set(sets[a].tolist()), set(sets[b].tolist())) >= 0.8:
+                    assert look[a] & offer[b]
+
+
+def test_very_long_text(spark):
+    rng = random.Random(2)
+    long = " ".join(str(rng.randrange(10**9)) for _ in range(120_000))
+    docs = spark.createDataFrame([(5, long), (3, long + " end"), (4, "short text of a few words here")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in near_dedup.keep_one(docs).collect()) == [3, 4]

@@ -5,9 +5,14 @@ of 6 a pair of similarity 0.8 shares one with probability 0.9993, a pair of 0.3
 after its exact Jaccard similarity, from the shingle sets joined to it. A fingerprint of 64 bits cannot do the search: pairs of
 0.8 are up to 18 bits apart, and at that distance a vantage-point split parts nothing.
 
-Not all pairs of a band are made. First all members are compared with one of them; then those that are outside the band's
-largest component so far are compared with the members of other components. Pairs within a component change nothing, so
-the components are those of all candidate pairs, and a large group of near copies costs about its size.
+Not all pairs of a band are made. First all members are compared with one of them; then, in a band of few members, those that
+are outside its largest component so far are compared with the members of other components. Pairs within a component change
+nothing, so the components are those of all candidate pairs, and a large group of near copies costs about its size.
+
+A large band that is still in parts holds texts that share a long passage without being similar. Its members are paired by
+rare shingles instead: with the shingles of every text in one order, the common ones last, two texts of similarity 0.8 share
+one among the first fifth of the longer and the first ninth of the shorter (a prefix filter, without loss). Texts that
+differ in more than that beside the passage meet nobody. Again each shingle's texts are first compared with one of them.
 
 Defined results: a null, empty or wordless text has the empty set and is a copy of any other such; a text of fewer than five
 words has one shingle; of a group the row of the smallest id stays, a null id last, then the first by the text's MD5;
@@ -29,6 +34,8 @@ from wardflow.llm.simhash import text_hashes
 
 WIDTH, BANDS, ROWS = 5, 24, 6
 NUMERATOR, DENOMINATOR = 4, 5  # the similarity from which two texts are near-duplicates
+FEW = 30  # members of a band of which all pairs are looked at
+COMMON, COMMON_KEPT, BLOCK = 8, 200_000, 2_000_000  # repeats that make a shingle common; the most common so many are told apart (affects work, not results); shingles in one block
 _FACTORS = np.random.default_rng(13).integers(0, 2**63, (BANDS, ROWS)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -117,11 +124,84 @@ def links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> Data
     shared = written(shared.join(labels, F.col("node") == F.col("of"), "left").select("band", "node", "n", "pivot", F.coalesce("label", "node").alias("label")), "bands")
     largest = shared.groupBy("band", "label").count().groupBy("band").agg(F.max_by("label", F.struct("count", "label")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
     parted = shared.join(largest, "band")
-    minor = parted.where("label <> most").select("band", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("label").alias("a_label"))
-    other = parted.select("band", F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("label").alias("b_label"), (F.col("label") == F.col("most")).alias("major"), "pivot")
+    few = parted.join(parted.groupBy("band").count().where(F.col("count") <= FEW).select("band"), "band")
+    minor = few.where("label <> most").select("band", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("label").alias("a_label"))
+    other = few.select("band", F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("label").alias("b_label"), (F.col("label") == F.col("most")).alias("major"), "pivot")
     needed = (F.col("a_label") != F.col("b_label")) & (F.col("major") | (F.col("a") < F.col("b"))) & fits(F.col("a_n"), F.col("b_n"))
     rest = minor.join(other, "band").where(needed & ~F.col("pivot.node").isin(F.col("a"), F.col("b"))).select("a", "b").distinct()  # the pivot has been compared
-    return found.unionByName(written(verified(rest, sets), "links"))
+    many = parted.groupBy("band").count().where(F.col("count") > FEW).select("band")
+    hot = written(parted.join(many, "band").select("node", "n", "label").distinct(), "hot")
+    found = written(found.unionByName(verified(rest, sets)), "links")
+    return found if hot.isEmpty() else found.unionByName(links_by_rare_shingles(hot, sets, found))
+
+
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, their column 1 a list, in runs of rows of about ``BLOCK`` list entries."""
+    for batch in batches:
+        ends = batch.column(1).offsets.to_numpy()
+        start = 0
+        while start < batch.num_rows:
+            stop = max(start + 1, int(np.searchsorted(ends, ends[start] + BLOCK, side="right")) - 1)
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
+def common_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes in order, their counts) of the most common shingles, ``COMMON_KEPT`` at most."""
+
+    def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in blocks(batches):
+            hashes, counts = np.unique(some.column(1).flatten().to_numpy(), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[counts > 1]), pa.array(counts[counts > 1].astype(np.int64))], names=["hash", "n"])
+
+    counted = sets.select("node", "hashes").mapInArrow(repeated, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON)
+    kept = sorted((r.hash, r.n) for r in counted.orderBy(F.col("n").desc(), "hash").limit(COMMON_KEPT).collect())
+    return np.array([h for h, _ in kept], dtype=np.int64), np.array([n for _, n in kept], dtype=np.int64)
+
+
+def prefixes(sets: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(hash, node, n, early): of every set the shingles that come first in the order of commonness, as many as a longer
+    partner must look up; ``early`` those that a shorter partner must offer."""
+    known, counts = (np.append(x, 0) for x in common)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in blocks(batches):
+            hashes, nodes, sizes, early = [], [], [], []
+            for node, own in zip(some.column(0).to_pylist(), some.column(1), strict=True):
+                own = own.values.to_numpy()
+                at = np.minimum(np.searchsorted(known[:-1], own), len(known) - 1)
+                order = np.lexsort((own, np.where(known[at] == own, counts[at], 0)))
+                n = len(own)
+                look_up = n - -(-NUMERATOR * n // DENOMINATOR) + 1
+                offer = n - -(-2 * NUMERATOR * n // (NUMERATOR + DENOMINATOR)) + 1
+                hashes.append(own[order[:look_up]])
+                nodes.append(np.full(look_up, node))
+                sizes.append(np.full(look_up, n, dtype=np.int32))
+                early.append(np.arange(look_up) < offer)
+            if nodes:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hashes, nodes, sizes, early)], names=["hash", "node", "n", "early"])
+
+    return sets.where("size(hashes) > 0").select("node", "hashes").mapInArrow(first, "hash long, node long, n int, early boolean")
+
+
+def links_by_rare_shingles(hot: DataFrame, sets: DataFrame, found: DataFrame) -> DataFrame:
+    """Further pairs of similar nodes of ``hot`` that connect what is not yet connected by ``found``."""
+    own = sets.join(hot.select("node"), "node", "left_semi")
+    posts = written(prefixes(own, common_shingles(own)), "prefixes")
+    place = lambda x: F.struct(F.col(f"{x}_n"), F.col(x))
+    similar_sizes = similar(F.col("b_n"), F.col("a_n"))
+    for round_of in ("pivot", "all"):
+        labels = connected_components(found).withColumnRenamed("node", "of")
+        labelled = posts.join(labels, F.col("node") == F.col("of"), "left").select("hash", "node", "n", "early", F.coalesce("label", "node").alias("label"))
+        parts = labelled.groupBy("hash").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("hash")
+        labelled = written(labelled.join(parts, "hash"), "prefixes")
+        longer = labelled.select("hash", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("label").alias("a_label"))
+        offered = labelled.where("early").select("hash", F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("label").alias("b_label"))
+        if round_of == "pivot":
+            offered = offered.groupBy("hash").agg(F.min(F.struct("b_n", "b", "b_label")).alias("p")).select("hash", "p.*")
+        pairs = longer.join(offered, "hash").where((F.col("a_label") != F.col("b_label")) & (place("b") < place("a")) & similar_sizes).select("a", "b").distinct()
+        found = written(found.unionByName(verified(pairs, sets)), "links")
+    return found
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
