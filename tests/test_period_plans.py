@@ -19,7 +19,7 @@ def test_stored_periods_are_broadcast(spark):
         ).write.parquet(path)
         periods = spark.read.parquet(path)
         facts = spark.range(100).select(F.lit("f").alias("finess_epmsi"), F.lit(2025).alias("iso_year"), F.col("id").cast("int").alias("week"), F.lit(2025).alias("campagne"),
-                                        F.lit("1").alias("stay"), F.lit("2025-01-02").alias("date_entree"), F.lit(None).cast("string").alias("date_sortie"), F.expr("date'2025-01-02'").alias("day"), F.expr("cast(1 as decimal(38,12))").alias("value"))
+                                        F.lit("1").alias("stay"), F.lit("2025-01-02").alias("date_entree"), F.lit(None).cast("string").alias("date_sortie"), F.expr("date'2024-12-30'").alias("monday"), F.expr("array(1, 0, 2, 0, 0, 0, 0)").alias("days"), F.expr("cast(1 as decimal(31,12))").alias("rate"))
         facts.write.parquet(f"{path}-facts")
         facts = spark.read.parquet(f"{path}-facts")
         weeks, rest = facts.drop("campagne"), facts.drop("iso_year")
@@ -28,5 +28,6 @@ def test_stored_periods_are_broadcast(spark):
             assert "BroadcastHashJoin" in plan
             assert not re.search(r"hashpartitioning\(finess_epmsi#\d+(, (iso_year|campagne)#\d+)?, \d+\), ENSURE_REQUIREMENTS[^\n]*\n[^\n]*(Range|Scan)", plan)
         assert per.weeks_in_period(weeks, periods).count() == 20
+        assert val.value_in_period(rest, periods).first().montant_br_pt == 300
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

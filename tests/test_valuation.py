@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from wardflow.operators.allocation import daily_value
+from wardflow.operators.allocation import daily_value, days_of, weekly_value
 from wardflow.operators.presence import last_unit, with_week
 from wardflow.plans import valuation as val
 from wardflow.plans.periods import reporting_periods
@@ -112,3 +112,31 @@ def test_parts_add_up(spark):
     weeks = records(spark, [("0001", f"{w:02d}2025", "1110100", "AB"[w % 2]) for w in range(2, 30)])
     got = daily_value(weeks, amounts(spark, [("1", 2025, "202501", "000", 1000.01)]), admin(spark, [])).agg(F.sum("value")).first()[0]
     assert float(round(got, 8)) == 1000.01
+
+
+def test_value_over_time_without_days(spark):
+    """Years and periods from weekly rows are those of the daily values, to the last place."""
+    import datetime
+    import random
+    from collections import defaultdict
+    from decimal import Decimal
+
+    rng = random.Random(3)
+    rows = [(f"{k:04d}", f"{rng.choice([1, 2, 26, 51, 52]):02d}{rng.choice([2023, 2024, 2025])}", "".join(rng.choice("01") for _ in range(7)), rng.choice("AB")) for k in range(60) for _ in range(3)]
+    valo = amounts(spark, [(str(k), 2024, "202401", "000", 100.0 / (k % 7 + 1)) for k in range(60)] + [(str(k), 2025, "202501", "000", 7.77) for k in range(0, 60, 4)])
+    weekly = weekly_value(records(spark, rows), valo, admin(spark, [(str(k), "2024-02-29") for k in range(60)]))
+    days = [(r.day, r.unit, r.value) for r in days_of(weekly).collect()]
+    years = defaultdict(Decimal)
+    for day, unit, value in days:
+        years[(day.year, unit)] += value
+    assert {(r.annee, r.unit): r.montant_br_pt for r in val.value_per_year(weekly, ["unit"]).collect()} == years and len({y for y, _ in years}) > 2
+    asked = [(2023, "2022-01-01", "2023-12-31"), (2024, "2023-12-27", "2024-01-03"), (2025, "2024-06-01", "2024-06-10"), (2026, "2025-01-01", "2030-01-01"), (2027, "2031-01-01", "2032-01-01"), (2028, "2010-01-01", "2040-01-01")]
+    periods = spark.createDataFrame([(F1, y, datetime.date.fromisoformat(a), datetime.date.fromisoformat(b)) for y, a, b in asked], "finess_epmsi string, iso_year int, start date, end date")
+    want = {}
+    for y, a, b in asked:
+        inside = [v for day, _, v in days if a <= str(day) <= b]
+        if inside:
+            want[y] = sum(inside)
+    assert {r.iso_year: r.montant_br_pt for r in val.value_in_period(weekly, periods).collect()} == want and 2025 not in want and 2028 in want
+    plan = val.value_per_year(weekly)._jdf.queryExecution().optimizedPlan().toString() + val.value_in_period(weekly, periods)._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode(days" not in plan

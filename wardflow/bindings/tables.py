@@ -356,11 +356,17 @@ class Tables:
 
     # --- derived results used by several queries ----------------------------------------------
 
+    @cached_property
+    def weekly_value(self) -> DataFrame:
+        from wardflow.operators.allocation import weekly_value
+
+        return weekly_value(self.weeks, self.valuation, self.admin)
+
     @cached_property
     def daily(self) -> DataFrame:
-        from wardflow.operators.allocation import daily_value
+        from wardflow.operators.allocation import days_of
 
-        return daily_value(self.weeks, self.valuation, self.admin)
+        return days_of(self.weekly_value)
 
     @cached_property
     def stays(self) -> DataFrame:

@@ -63,13 +63,16 @@ def amounts_per_stay(cases: DataFrame) -> DataFrame:
     return cases.groupBy(*STAY).agg(F.collect_list(item).alias("amounts"))
 
 
-def daily_value(weeks: DataFrame, valuation: DataFrame, admin: DataFrame) -> DataFrame:
-    """Prorated value per stay, campaign and calendar day.
+RATE = "decimal(31,12)"
 
-    Result: (finess_epmsi, stay, campagne, billing_case, day, entries, unit, hosp, value), where
-    ``value`` covers all entries of the day. Weekly records are aggregated per stay, week and unit,
-    brought together by stay once, and joined to one amounts row per stay: no fan-out, and the
-    denominators come from the same shuffle.
+
+def weekly_value(weeks: DataFrame, valuation: DataFrame, admin: DataFrame) -> DataFrame:
+    """Prorated value per stay, campaign and week, without a row per day.
+
+    Result: (finess_epmsi, stay, campagne, billing_case, monday, unit, hosp, days, rate); ``days`` holds the entries of
+    the seven days and ``rate`` the value of one entry. An amount on the administrative entry date is a week with that
+    one entry. Weekly records are aggregated per stay, week and unit, brought together by stay once, and joined to one
+    amounts row per stay: no fan-out, and the denominators come from the same shuffle.
     """
     profile = week_profile(weeks)
     amounts = amounts_per_stay(tag_cases(billed_amounts(valuation)))
@@ -86,12 +89,7 @@ def daily_value(weeks: DataFrame, valuation: DataFrame, admin: DataFrame) -> Dat
         .withColumn("rate", part_of(F.col("a.amount"), F.when(F.col("a.billing_case") == 4, F.col("n_week"))
                                     .when(F.col("a.billing_case") == 2, F.col("n_stay")).otherwise(F.col("n_campaign"))))
     )
-    spread = spread.select(*STAY, "monday", "unit", "hosp", "days", "rate", "a.campagne", "a.billing_case")
-    on_days = profile_days(spread, "campagne", "billing_case", "rate")
-    by_day = on_days.select(
-        *STAY, "campagne", "billing_case", "day", "entries", "unit", "hosp",
-        (F.col("rate") * F.col("entries").cast("decimal(5,0)")).cast("decimal(38,12)").alias("value"),
-    )
+    spread = spread.select(*STAY, "a.campagne", "a.billing_case", "monday", "unit", "hosp", "days", F.col("rate").cast(RATE).alias("rate"))
 
     no_day = joined.where("week is null or (n_stay = 0 and first)").select(
         *STAY, F.explode(F.filter("amounts", lambda a: a["billing_case"] == 2)).alias("a")
@@ -99,12 +97,33 @@ def daily_value(weeks: DataFrame, valuation: DataFrame, admin: DataFrame) -> Dat
     entry = admin.where("date_entree is not null").groupBy(*STAY).agg(
         F.max(F.to_date("date_entree")).alias("day")
     )
-    on_entry = no_day.join(entry, STAY).select(
-        *STAY, F.col("a.campagne").alias("campagne"), F.lit(3).alias("billing_case"), "day",
-        F.lit(1).alias("entries"), F.lit(None).cast("string").alias("unit"),
-        F.lit(None).cast("string").alias("hosp"), F.col("a.amount").cast("decimal(38,12)").alias("value"),
+    place = F.weekday("day")
+    on_entry = no_day.join(entry, STAY).where("day is not null").select(
+        *STAY, F.col("a.campagne").alias("campagne"), F.lit(3).alias("billing_case"), F.date_sub("day", place).alias("monday"),
+        F.lit(None).cast("string").alias("unit"), F.lit(None).cast("string").alias("hosp"),
+        F.array(*[(place == i).cast("int") for i in range(7)]).alias("days"), F.col("a.amount").cast(RATE).alias("rate"),
     )
-    return by_day.unionByName(on_entry)
+    return spread.unionByName(on_entry)
+
+
+def value_of(entries: Column) -> Column:
+    """Exact value of a number of entries of a weekly row."""
+    return (F.col("rate") * entries.cast("decimal(5,0)")).cast("decimal(38,12)")
+
+
+def daily_value(weeks: DataFrame, valuation: DataFrame, admin: DataFrame) -> DataFrame:
+    """Prorated value per stay, campaign and calendar day.
+
+    Result: (finess_epmsi, stay, campagne, billing_case, day, entries, unit, hosp, value), where
+    ``value`` covers all entries of the day.
+    """
+    return days_of(weekly_value(weeks, valuation, admin))
+
+
+def days_of(weekly: DataFrame) -> DataFrame:
+    """The days of ``weekly_value``."""
+    days = profile_days(weekly, "campagne", "billing_case", "rate")
+    return days.select(*STAY, "campagne", "billing_case", "day", "entries", "unit", "hosp", value_of(F.col("entries")).alias("value"))
 
 
 def unit_shares(weeks: DataFrame, last_units: DataFrame) -> DataFrame:

@@ -94,6 +94,14 @@ def profile_days(profile: DataFrame, *keep: str) -> DataFrame:
     )
 
 
+def entries_between(first: Column, last: Column) -> Column:
+    """Entries of the days ``first`` to ``last`` (0 to 6, what lies outside the week counts nothing) of a profile's week."""
+    out = F.lit(0).cast("bigint")
+    for i in range(7):
+        out = out + F.when((first <= i) & (last >= i), F.col("days")[i]).otherwise(F.lit(0))
+    return out
+
+
 def last_presence(weeks: DataFrame) -> DataFrame:
     """Sunday of the last recorded week per stay, with or without a present day."""
     return weeks.where("monday is not null").groupBy(*STAY).agg(F.max("sunday").alias("last_sunday"))

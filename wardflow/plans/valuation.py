@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardflow.functions.derive import HOSPITALISATION_TO_VALUATION, lookup, official_amount_rows
-from wardflow.operators.allocation import part_of, unit_shares
-from wardflow.operators.presence import STAY, last_unit, last_week_of_year, profile_days, week_profile
+from wardflow.operators.allocation import part_of, unit_shares, value_of
+from wardflow.operators.ordered import join_groups
+from wardflow.operators.presence import STAY, entries_between, last_unit, last_week_of_year, week_profile
 from wardflow.operators.size import small
 
 PERIOD = ["finess_epmsi", "iso_year"]
@@ -121,10 +122,11 @@ def open_stay_estimate(valuation: DataFrame, weeks: DataFrame, periods: DataFram
     ``price_per_day`` is (finess_epmsi, iso_year, pmjt).
     """
     stays = clean_open_stays(valuation, weeks).join(small(periods.select(*PERIOD, "start", "end")), PERIOD)
-    days = profile_days(week_profile(weeks.join(stays.select(*STAY), STAY, "left_semi")))
+    profile = week_profile(weeks.join(stays.select(*STAY), STAY, "left_semi")).where("monday is not null").select(*STAY, "monday", "days")
+    entries = entries_between(F.datediff("start", "monday"), F.datediff("end", "monday"))
     counted = (
-        stays.join(days, STAY).where("day between start and end")
-        .groupBy(*STAY, "iso_year").agg(F.sum("entries").alias("n"))
+        stays.join(profile, STAY).where("start <= date_add(monday, 6) and end >= monday")
+        .groupBy(*STAY, "iso_year").agg(F.sum(entries).alias("n")).where("n > 0")
         .groupBy(*PERIOD).agg(F.count(F.lit(1)).alias("nb_sejours"), F.sum("n").alias("nb_journees"))
     )
     return price_per_day.join(counted, PERIOD, "left").select(
@@ -133,17 +135,59 @@ def open_stay_estimate(valuation: DataFrame, weeks: DataFrame, periods: DataFram
     )
 
 
-def value_per_year(daily: DataFrame) -> DataFrame:
-    """Prorated value per calendar year of the days."""
-    return daily.groupBy("finess_epmsi", F.year("day").alias("annee")).agg(F.sum("value").alias("montant_br_pt"))
+def value_per_year(weekly: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Prorated value per calendar year of the days; a week over New Year is cut in two."""
+    to_new_year = F.datediff(F.make_date(F.year("monday"), F.lit(12), F.lit(31)), "monday")
+    year = F.year("monday")
+    parts = F.array(*[
+        F.struct((year + later).alias("annee"), value_of(entries_between(*ends)).alias("value"), entries_between(*ends).alias("n"))
+        for later, ends in ((0, (F.lit(0), to_new_year)), (1, (to_new_year + 1, F.lit(6))))
+    ])
+    rows = weekly.select("finess_epmsi", *(by or []), F.explode(F.filter(parts, lambda p: p["n"] > 0)).alias("p"))
+    return rows.groupBy("finess_epmsi", "p.annee", *(by or [])).agg(F.sum("p.value").alias("montant_br_pt"))
 
 
-def value_in_period(daily: DataFrame, periods: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Prorated value of the days inside each period."""
+def running_value(weekly: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(finess_epmsi, by…, day, running, entries): the value and entries of all days up to a day, on every day from the
+    first to the last.
+
+    The seven days of a week are summed side by side per establishment, with map-side combine; only those sums become
+    days. A series is as long as the calendar, whatever the number of stays.
+    """
+    keys = ["finess_epmsi", *(by or [])]
+    per_week = weekly.groupBy(*keys, "monday").agg(
+        F.array(*[F.struct(F.sum(value_of(F.col("days")[i])).alias("value"), F.sum(F.col("days")[i]).alias("n")) for i in range(7)]).alias("values")
+    )
+    ends = per_week.groupBy(*keys).agg(F.min("monday").alias("_first"), F.max("monday").alias("_last"))
+    calendar = ends.select(*keys, F.explode(F.expr("sequence(_first, date_add(_last, 6))")).alias("day"))
+    on_day = per_week.select(*keys, "monday", F.posexplode("values").alias("_pos", "v")).select(
+        *keys, F.expr("date_add(monday, _pos)").alias("day"), "v.value", "v.n"
+    )
+    days = join_groups(calendar, on_day, [*keys, "day"], "left")
+    along = Window.partitionBy(*keys).orderBy("day").rowsBetween(Window.unboundedPreceding, 0)  # a row per calendar day
+    return days.select(
+        *keys, "day", F.sum(F.coalesce("value", F.lit(0).cast("decimal(38,12)"))).over(along).alias("running"),
+        F.sum(F.coalesce("n", F.lit(0))).over(along).alias("entries"),
+    )
+
+
+def value_in_period(weekly: DataFrame, periods: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Prorated value of the days inside each period: the running total at its end less that before its start.
+
+    A period without a day of value has no row.
+    """
     by = by or []
-    rows = daily.groupBy("finess_epmsi", "day", *by).agg(F.sum("value").alias("value"))
-    hit = rows.join(small(periods.select(*PERIOD, "start", "end")), "finess_epmsi").where("day between start and end")
-    return hit.groupBy(*PERIOD, *by).agg(F.sum("value").alias("montant_br_pt"))
+    keys = ["finess_epmsi", *by]
+    running = running_value(weekly, by)
+    reach = running.groupBy(*keys).agg(F.min("day").alias("_first"), F.max("day").alias("_last"))
+    asked = reach.join(small(periods.select(*PERIOD, "start", "end")), "finess_epmsi").where("start <= _last and end >= _first and start <= end")
+    asked = asked.withColumns({"_to": F.least("end", "_last"), "_before": F.date_sub("start", 1)})
+    for place, name in (("_to", "_upper"), ("_before", "_lower")):
+        asked = join_groups(asked, running.withColumnsRenamed({"day": place, "running": name, "entries": f"{name}_n"}), [*keys, place], "left")
+    upper, lower = (F.coalesce(c, F.lit(0)).cast("decimal(36,12)") for c in ("_upper", "_lower"))  # the difference keeps all places
+    value = upper - lower
+    asked = asked.where(F.col("_upper_n") > F.coalesce("_lower_n", F.lit(0)))
+    return asked.select(*PERIOD, *by, value.alias("montant_br_pt"))
 
 
 def mean_prices(value: DataFrame, activity: DataFrame, amounts: DataFrame) -> DataFrame:
