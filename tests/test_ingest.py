@@ -144,6 +144,72 @@ def test_stream_keeps_rejected_lines_and_messages(spark, tmp_path):
     assert sum(m.startswith("unknown version") for m in messages) == 1 and sum(m.startswith("record length") for m in messages) == 1
 
 
+def faulty_files():
+    """Five files with faults of every kind; files share records, so the order of loads matters."""
+    das = lambda k: [f"D{k}{i}" for i in range(k)]
+    good = [[weekly(nda=f"{n:09d}", um=f"U{k}", das=das(k)) for n in range(6)] for k in range(5)]
+    files = {}
+    for k, lines in enumerate(good):
+        shared = weekly(nda="000000777", das=das(k + 1))
+        bad = [weekly(nda="000000050", n_das="ab"), weekly(nda="000000051", birth="3102202x"), weekly(nda="000000052", cut=4, das=["X1"]), lines[0][:10] + "M9Z" + lines[0][13:]]
+        files[f"{k}.txt"] = [*lines, "", shared, *bad[: k + 1], bad[0]]
+    return files
+
+
+def loaded(spark, table, log):
+    rows = {(r.finess_epmsi, r.numero_admin_sejour, r.numero_semaine, r.numero_unite_medicale): (r.source_file[-5:], r.line_no, [x.code_das for x in r.das], r.errors) for r in table.read(spark).collect()}
+    messages = sorted((r.source_file[-5:], r.line_no, r.ordinal, r.block, r.item, r.message) for r in log.current(spark).collect())
+    return rows, messages
+
+
+def tables_in(folder):
+    return store.Table(str(folder / "t"), list(WEEKLY.key), ["source_file", "line_no"], ["finess_epmsi", "iso_year"]), store.ErrorLog(str(folder / "log"))
+
+
+def test_killed_and_replayed_stream_equals_one_batch_load(spark, tmp_path):
+    """Batches that fail between the table and the log, and ones written twice, leave what one load of all files leaves."""
+    for name, lines in faulty_files().items():
+        write(tmp_path / "d", name, lines)
+    table, log = tables_in(tmp_path / "batch")
+    scan = fw.read_lines(spark, str(tmp_path / "d"))
+    records = fw.decode(scan, WEEKLY)
+    table.upsert(records.withColumn("iso_year", F.substring("numero_semaine", 3, 4)).drop("line"))
+    log.append(fw.error_rows(records, scan, WEEKLY), scan, 1)
+    want = loaded(spark, table, log)
+    assert len(want[1]) == sum(k + 2 for k in range(4)) + 5  # the last file has four kinds of fault, one of them twice
+    assert {m[5].split(":")[0] for m in want[1]} >= {"n1_nb_das", "date_naissance", "record length", "unknown version M9Z"}
+    assert len({m[:3] for m in want[1]}) == len(want[1])  # file, line and ordinal are a key
+
+    table, log = tables_in(tmp_path / "stream")
+    append, failures = log.append, {1, 2}
+
+    def failing(errors, files, load_id):
+        if load_id in failures:
+            failures.discard(load_id)
+            if load_id == 2:
+                append(errors, files, load_id)  # the batch is done, only its end is not recorded
+            raise RuntimeError("killed")
+        append(errors, files, load_id)
+
+    log.append = failing
+    for attempt in range(3):
+        stream = ingest(stream_lines(spark, str(tmp_path / "d"), maxFilesPerTrigger="2"), WEEKLY, table, str(tmp_path / "c"), log=log)
+        if attempt < 2:
+            with pytest.raises(Exception, match="killed"):
+                stream.awaitTermination()
+        else:
+            stream.awaitTermination()
+    assert not failures and loaded(spark, table, log) == want
+
+
+def test_partition_codes_keep_their_zeros(spark, tmp_path):
+    table = store.Table(str(tmp_path / "t"), ["f", "k"], ["o"], ["f", "y"], {"y": "int"})
+    rows = spark.createDataFrame([("010000001", 2024, 1, 1), ("010000001", 2024, 1, 2), ("110000001", 2023, 1, 1)], "f string, y int, k int, o int")
+    for _ in range(2):
+        table.upsert(rows)
+    assert sorted(tuple(r) for r in table.read(spark).select("f", "y", "k", "o").collect()) == [("010000001", 2024, 1, 2), ("110000001", 2023, 1, 1)]
+
+
 @pytest.mark.parametrize("value,message", [("123", None), ("", "missing"), ("XXXX", "not numeric")])
 def test_insured_number(spark, value, message):
     got = spark.range(1).select(quality.insured_number_warning(F.lit(value)).alias("m")).first().m

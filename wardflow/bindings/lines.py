@@ -9,12 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardflow.bindings.tables import Tables
-from wardflow.session import run_folder
 from wardflow.sources.fixed_width import read_lines, render
 from wardflow.sources.layouts import ADMIN, WEEKLY, Family
 
 # Faults by record number: see ``oracle`` texts of the ingest queries.
-UNKNOWN, SHORT, BAD_DATE = 37, 41, 43
+UNKNOWN, SHORT, BAD_DATE, BAD_NUMBER, BAD_ACT_DATE = 37, 41, 43, 47, 53
 
 
 def _block_text(children: DataFrame, family: Family, name: str) -> DataFrame:
@@ -33,8 +32,8 @@ def _block_text(children: DataFrame, family: Family, name: str) -> DataFrame:
     )
 
 
-def weekly_lines(t: Tables) -> DataFrame:
-    """Scanned lines of all weekly records; ``n`` numbers the fault pattern."""
+def weekly_rows(t: Tables, block_faults: bool = False) -> DataFrame:
+    """(finess_epmsi, value): rendered lines of all weekly records; ``n`` numbers the fault pattern."""
     rows = t.records.withColumn("n", F.expr("cast(substring(numero_admin_sejour, 1, 9) as bigint) + cast(substring(numero_semaine, 1, 2) as int)"))
     for name, children in (("das", t.das), ("csarr", t.csarr), ("csar", t.csar), ("ccam", t.ccam)):
         rows = rows.join(_block_text(children, WEEKLY, name), "rhs_id", "left")
@@ -42,26 +41,40 @@ def weekly_lines(t: Tables) -> DataFrame:
     rows = rows.withColumn("n3_nb_csar", F.expr("case when version_format_rhs_groupe = 'M1D' then n3_nb_csar else 0 end"))
     blocks = {b: F.coalesce(F.col(f"{b}_text"), F.lit("")) for b in ("das", "csarr", "csar", "ccam")}
     out = None
-    for version in WEEKLY.versions:
-        part = render(rows.where(F.col("version_format_rhs_groupe") == version), WEEKLY, version, blocks)
-        part = part.select("finess_epmsi", "line", "n", F.lit(version).alias("v"))
+    for layout in WEEKLY.layouts:
+        part = render(rows.where(F.col("version_format_rhs_groupe") == layout.version), WEEKLY, layout.version, blocks)
+        part = part.select("finess_epmsi", "line", "n", F.lit(layout.version).alias("v"), F.lit(layout.fixed_length).alias("fixed"), "n1_nb_das", "n2_nb_csarr", "n3_nb_csar")
         out = part if out is None else out.unionByName(part)
-    return _dropped(t, out.select("finess_epmsi", _faults(F.col("line")).alias("value")), "rhs_")
+    return out.select("finess_epmsi", _faults(F.col("line"), block_faults).alias("value"))
 
 
-def _dropped(t: Tables, rows: DataFrame, prefix: str) -> DataFrame:
-    """Write (finess_epmsi, value) as text and scan it; a transmission may be several part files."""
-    folder = run_folder(t.spark, prefix.strip("_"))
-    rows.write.partitionBy("finess_epmsi").text(folder)
+def weekly_folder(t: Tables, block_faults: bool = False) -> str:
+    return t.dropped("rhs-faults" if block_faults else "rhs", lambda: weekly_rows(t, block_faults))
+
+
+def weekly_lines(t: Tables, block_faults: bool = False) -> DataFrame:
+    """Scanned lines of all weekly records."""
+    return _scanned(t, weekly_folder(t, block_faults), "rhs_")
+
+
+def _scanned(t: Tables, folder: str, prefix: str) -> DataFrame:
+    """Lines of text files; a transmission (``source_file``) may be several part files."""
     name = F.concat(F.lit(prefix), F.regexp_extract("source_file", "finess_epmsi=([0-9]+)", 1), F.lit(".txt"))
-    return read_lines(t.spark, folder).withColumn("source_file", name)
+    part = F.substring_index("source_file", "/", -1)
+    return read_lines(t.spark, folder).withColumns({"source_file": name, "part_file": part})
 
 
-def _faults(line: Column) -> Column:
+def _faults(line: Column, block_faults: bool) -> Column:
     out = F.when(F.col("n") % UNKNOWN == 0, F.overlay(line, F.lit("M9Z"), F.lit(11)))
     out = out.when(F.col("n") % SHORT == 0, F.expr("substring(line, 1, length(line) - 3)"))
     birth = F.when(F.col("v") == "M1B", F.lit(81)).otherwise(F.lit(82))
-    return out.when(F.col("n") % BAD_DATE == 0, F.overlay(line, F.lit("ABCDEFGH"), birth)).otherwise(line)
+    out = out.when(F.col("n") % BAD_DATE == 0, F.overlay(line, F.lit("ABCDEFGH"), birth))
+    if block_faults:  # in the first item of a block: a number of the CSARR acts, a date of the CSAR acts
+        csarr = F.col("fixed") + 8 * F.col("n1_nb_das")
+        csar = csarr + 35 * F.col("n2_nb_csarr")
+        out = out.when((F.col("n") % BAD_NUMBER == 0) & (F.col("n2_nb_csarr") > 0), F.overlay(line, F.lit("xx"), (csarr + 20).cast("int")))
+        out = out.when((F.col("n") % BAD_ACT_DATE == 0) & (F.col("n3_nb_csar") > 0), F.overlay(line, F.lit("ABCDEFGH"), (csar + 19).cast("int")))
+    return out.otherwise(line)
 
 
 def admin_lines(t: Tables) -> DataFrame:
@@ -71,5 +84,5 @@ def admin_lines(t: Tables) -> DataFrame:
         "numero_immatriculation_individuel": F.col("numero_immatriculation_assure"),
     })
     block = F.concat(F.rpad(F.lit("519"), 5, " "), F.rpad(F.lit(""), 16, "0"), F.lit("003"), F.rpad(F.lit(""), 26, "0"))
-    lines = render(rows, ADMIN, "V016", {"dmt": block})
-    return _dropped(t, lines.select("finess_epmsi", F.col("line").alias("value")), "vid_")
+    folder = t.dropped("vid", lambda: render(rows, ADMIN, "V016", {"dmt": block}).select("finess_epmsi", F.col("line").alias("value")))
+    return _scanned(t, folder, "vid_")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardflow.bindings.lines import admin_lines, weekly_lines
+from wardflow.bindings.lines import admin_lines, weekly_folder, weekly_lines
 from wardflow.bindings.q_valuation import text
 from wardflow.bindings.registry import query
 from wardflow.bindings.tables import Tables
@@ -16,7 +16,7 @@ from wardflow.sources import delimited as dl
 from wardflow.sources import fixed_width as fw
 from wardflow.sources import store
 from wardflow.sources.layouts import ADMIN, WEEKLY
-from wardflow.streaming.incremental import ingest_rows
+from wardflow.streaming.incremental import ingest, ingest_rows, stream_lines
 
 _N = "cast(numero_admin_sejour as bigint) + week"
 _KNOWN = f"({_N}) % 37 <> 0"
@@ -24,6 +24,11 @@ _SHORT = f"({_N}) % 41 = 0"
 _BAD = f"({_N}) % 41 <> 0 and ({_N}) % 43 = 0"
 
 
+_IS_NUMBER = f"({_N}) % 41 <> 0 and ({_N}) % 43 <> 0 and ({_N}) % 47 = 0 and n2_nb_csarr > 0"
+_HAS_CSAR = "n3_nb_csar > 0 and version_format_rhs_groupe = 'M1D'"
+_IS_ACT_DATE = f"({_N}) % 41 <> 0 and ({_N}) % 43 <> 0 and not (({_N}) % 47 = 0 and n2_nb_csarr > 0) and ({_N}) % 53 = 0 and {_HAS_CSAR}"
+
+
 @query("a1_scan_lines", """
 select finess_epmsi, count(*) n, cast(sum(o_orderkey) as bigint) keys, count(*) n_numbers, count(*) last_number from v_orders group by 1""")
 def _(t: Tables) -> DataFrame:
@@ -56,13 +61,17 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("a4_repeated_blocks", f"""
-with k as (select rhs_id, version_format_rhs_groupe v from v_weeks where {_KNOWN} and not ({_SHORT}))
+with k as (select rhs_id, version_format_rhs_groupe v, {_SHORT} short, {_IS_NUMBER} bad_number, {_IS_ACT_DATE} bad_date from v_weeks where {_KNOWN})
 select 'das' block, code_das code, null staff, null jour, count(*) n, 0 done from v_das join k using (rhs_id) group by all
-union all select 'csarr', code_principal, code_intervenant, date_realisation, count(*), cast(sum(nombre_realisations) as int) from v_csarr join k using (rhs_id) group by all
-union all select 'csar', code_principal, code_intervenant, date_realisation, count(*), cast(sum(nombre_realisations) as int) from v_csar join k using (rhs_id) where v = 'M1D' group by all
-union all select 'ccam', code_ccam, null, date_realisation, count(*), cast(sum(nombre_realisations) as int) from v_ccam join k using (rhs_id) group by all""")
+union all select 'csarr', code_principal, code_intervenant, date_realisation, count(*), cast(sum(done) as int) from
+  (select *, case when bad_number and seq = min(seq) over (partition by rhs_id) then null else nombre_realisations end done from v_csarr join k using (rhs_id)) group by all
+union all select 'csar', code_principal, code_intervenant, jour, count(*), cast(sum(nombre_realisations) as int) from
+  (select *, case when bad_date and seq = min(seq) over (partition by rhs_id) then null else date_realisation end jour from v_csar join k using (rhs_id) where v = 'M1D') group by all
+union all select 'ccam', code_ccam, null, date_realisation, count(*), cast(sum(done) as int) from
+  (select *, case when short and seq = max(seq) over (partition by rhs_id) then null else nombre_realisations end done from v_ccam join k using (rhs_id)) group by all""")
 def _(t: Tables) -> DataFrame:
-    records = fw.decode(weekly_lines(t), WEEKLY).where("actual_length = expected_length")
+    """Blocks of every known record: what a short line or a fault in an item takes is NULL, all else is there."""
+    records = fw.decode(weekly_lines(t, block_faults=True), WEEKLY)
     none = F.lit(None).cast("string")
     parts = {"das": ("code_das", none), "csarr": ("code_principal", F.col("code_intervenant")), "csar": ("code_principal", F.col("code_intervenant")), "ccam": ("code_ccam", none)}
     out = None
@@ -76,11 +85,14 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("a5_a6_record_errors", f"""
-select 'date' kind, count(*) n from v_weeks where {_KNOWN} and {_BAD} union all select 'length', count(*) from v_weeks where {_KNOWN} and {_SHORT}""")
+select 'date_naissance' kind, null block, null item, count(*) n from v_weeks where {_KNOWN} and {_BAD} union all select 'record length', null, null, count(*) from v_weeks where {_KNOWN} and {_SHORT}
+union all select 'csarr[1].nombre_realisations', 'csarr', 1, count(*) from v_weeks where {_KNOWN} and {_IS_NUMBER} having count(*) > 0
+union all select 'csar[1].date_realisation', 'csar', 1, count(*) from v_weeks where {_KNOWN} and {_IS_ACT_DATE} having count(*) > 0""")
 def _(t: Tables) -> DataFrame:
-    errors = fw.decode(weekly_lines(t), WEEKLY).select(F.explode("errors").alias("e"))
-    kind = F.when(F.col("e").startswith("record length"), "length").when(F.col("e").contains("date_naissance"), "date")
-    return errors.where(kind.isNotNull()).groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+    """Every message of every known record, by what it is about."""
+    lines = weekly_lines(t, block_faults=True)
+    errors = fw.error_rows(fw.decode(lines, WEEKLY), lines, WEEKLY).where(~F.col("message").startswith("unknown version"))
+    return errors.groupBy(F.substring_index("message", ":", 1).alias("kind"), "block", "item").agg(F.count("*").alias("n"))
 
 
 @query("a7_a8_valuation_csv", """
@@ -146,18 +158,20 @@ def _(t: Tables) -> DataFrame:
     return latest_labels(rows, ["code"]).select("code", "libelle")
 
 
-@query("a23_error_log", f"""
-select 'rhs_' || finess_epmsi || '.txt' source_file, count(*) n from v_weeks where not ({_KNOWN}) or {_BAD} or ({_SHORT}) group by 1""")
+_MESSAGES = f"""
+select 'rhs_' || finess_epmsi || '.txt' source_file, count(*) n from v_weeks where not ({_KNOWN}) or {_BAD} or ({_SHORT}) or ({_IS_NUMBER}) or ({_IS_ACT_DATE}) group by 1"""
+
+
+@query("a23_error_log", f"select source_file, n, n n_keys from ({_MESSAGES})")
 def _(t: Tables) -> DataFrame:
-    """Two loads of the same files; only the messages of the last one are current."""
-    lines = weekly_lines(t)
-    records = fw.decode(lines, WEEKLY)
-    keep = F.col("message").startswith("record length") | F.col("message").contains("date_naissance") | F.col("message").startswith("unknown")
-    errors = fw.error_rows(records, lines, WEEKLY).where(keep)
+    """Two loads of the same files, the second one repeated; only the messages of the last one are current, each once."""
+    lines = weekly_lines(t, block_faults=True)
+    errors = fw.error_rows(fw.decode(lines, WEEKLY), lines, WEEKLY)
     log = store.ErrorLog(run_folder(t.spark, "errors"))
-    for load in (1, 2):
+    for load in (1, 2, 2):
         log.append(errors, lines, load)
-    return log.current(t.spark).groupBy("source_file").agg(F.count("*").alias("n"))
+    key = F.struct("part_file", "line_no", "ordinal")
+    return log.current(t.spark).groupBy("source_file").agg(F.count("*").alias("n"), F.count_distinct(key).alias("n_keys"))
 
 
 @query("a24_load_summary", f"""
@@ -242,3 +256,32 @@ def _(t: Tables) -> DataFrame:
     stream = t.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 10).parquet(drop)
     ingest_rows(stream, table, mark).awaitTermination()
     return table.read(t.spark).select("user_id", "event_type", F.round("value", 4).alias("value"), text("ts").alias("ts"))
+
+
+def _streamed(t: Tables) -> tuple[store.Table, store.ErrorLog]:
+    """The rendered weekly files as a drop folder, loaded by the stream in several micro-batches."""
+    target, mark, messages = (run_folder(t.spark, n) for n in ("loaded", "mark", "messages"))
+    table = store.Table(target, list(WEEKLY.key), ["source_file", "line_no"], ["finess_epmsi", "iso_year"])
+    log = store.ErrorLog(messages)
+    lines = stream_lines(t.spark, weekly_folder(t, block_faults=True), recursiveFileLookup="true", maxFilesPerTrigger="24")
+    ingest(lines, WEEKLY, table, mark, log=log).awaitTermination()
+    return table, log
+
+
+@query("j1_drop_folder_load", f"""
+select finess_epmsi, ltrim(numero_admin_sejour) numero_admin_sejour, numero_semaine, numero_unite_medicale, version_format_rhs_groupe record_version, n1_nb_das n_das, n2_nb_csarr n_csarr, n4_nb_ccam n_ccam,
+  case when {_BAD} or {_SHORT} or ({_IS_NUMBER}) or ({_IS_ACT_DATE}) then 1 else 0 end n_errors from v_weeks where {_KNOWN}""")
+def _(t: Tables) -> DataFrame:
+    table, _log = _streamed(t)
+    size = lambda c: F.size(c).cast("bigint")
+    return table.read(t.spark).select(
+        "finess_epmsi", "numero_admin_sejour", "numero_semaine", "numero_unite_medicale", "record_version",
+        size("das").alias("n_das"), size("csarr").alias("n_csarr"), size("ccam").alias("n_ccam"), F.size("errors").alias("n_errors"),
+    )
+
+
+@query("j1_drop_folder_log", _MESSAGES)
+def _(t: Tables) -> DataFrame:
+    _table, log = _streamed(t)
+    name = F.concat(F.lit("rhs_"), F.regexp_extract("source_file", "finess_epmsi=([0-9]+)", 1), F.lit(".txt"))
+    return log.current(t.spark).groupBy(name.alias("source_file")).agg(F.count("*").alias("n"))

@@ -6,6 +6,7 @@ derived by column expressions from the whole tables; ``oracle`` holds the same v
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -118,6 +119,15 @@ class Tables:
             _STORED[key] = path
         return self.spark.read.parquet(_STORED[key])
 
+    def dropped(self, name: str, rows: Callable[[], DataFrame]) -> str:
+        """Folder of text files by establishment, as transmissions were dropped: written once per application."""
+        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        if key not in _STORED:
+            path = run_folder(self.spark, name)
+            rows().write.partitionBy("finess_epmsi").text(path)
+            _STORED[key] = path
+        return _STORED[key]
+
     @cached_property
     def weeks(self) -> DataFrame:
         return self.stored("weeks", with_week(self.records))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,9 +22,14 @@ def read_lines(spark: SparkSession, path: str, encoding: str = "ISO-8859-1") ->
     raw = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("source_file"),
         F.col("_metadata.file_block_start").alias("split_start"),
-        F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _ROW_BITS) - 1)).alias("row_no"),
+        place_in_task().alias("row_no"),
         F.decode(F.col("value").cast("binary"), encoding).alias("line"),
     )
+    return number_lines(raw).where(F.col("line") != "")
+
+
+def number_lines(raw: DataFrame) -> DataFrame:
+    """(source_file, …, line_no, line) from lines (source_file, split_start, row_no, line, …) with their place in a split."""
     sizes = raw.groupBy("source_file", "split_start").agg(
         F.min("row_no").alias("first_row"), F.count(F.lit(1)).alias("n_lines")
     )
@@ -36,14 +39,20 @@ def read_lines(spark: SparkSession, path: str, encoding: str = "ISO-8859-1") ->
         "source_file", "split_start",
         (F.coalesce(earlier, F.lit(0)) - F.col("first_row")).alias("shift"),
     )
+    spark = raw.sparkSession
     path = run_folder(spark, "splits")
     offsets.write.parquet(path)
-    lines = raw.join(small(spark.read.schema(offsets.schema).parquet(path)), ["source_file", "split_start"]).select(
-        "source_file",
+    others = [c for c in raw.columns if c not in ("source_file", "split_start", "row_no", "line")]
+    return raw.join(small(spark.read.schema(offsets.schema).parquet(path)), ["source_file", "split_start"]).select(
+        "source_file", *others,
         (F.col("row_no") + F.col("shift") + 1).alias("line_no"),
         F.rtrim(F.col("line"), F.lit("\r")).alias("line"),
     )
-    return lines.where(F.col("line") != "")
+
+
+def place_in_task() -> Column:
+    """A row's place in its task: with the split's first place, its place in the split."""
+    return F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
 
 
 def cast_field(raw: Column, kind: str) -> Column:
@@ -123,7 +132,8 @@ def tag_version(lines: DataFrame, family: Family) -> DataFrame:
 def decode(lines: DataFrame, family: Family) -> DataFrame:
     """Decode known-version lines: fixed fields, block arrays, lengths and accumulated errors.
 
-    A record is never dropped: what does not fit leaves a NULL, the raw text in ``errors``.
+    A record is never dropped: what does not fit leaves a NULL, the raw text in ``errors``. A column ``part_file`` of the
+    lines (a transmission in several files) is kept.
     """
     line = F.col("line")
     known = tag_version(lines, family).where("known_version")
@@ -135,7 +145,7 @@ def decode(lines: DataFrame, family: Family) -> DataFrame:
         error = field_error(name, raw, kind)
         if error is not None:
             errors.append(error)
-    base = ["source_file", "line_no", "line", "record_version"]
+    base = ["source_file", *_part(lines), "line_no", "line", "record_version"]
     out = known.select(*base, *fixed, F.array_compact(F.array(*errors)).alias("errors"))
 
     offset: Column = _lit_or_case(family, lambda lay: lay.fixed_length)
@@ -230,10 +240,14 @@ def _decode_block(family: Family, line: Column, name: str, fields: list[tuple[st
     return items, errors
 
 
+def _part(lines: DataFrame) -> list[str]:
+    return [c for c in ("part_file",) if c in lines.columns]
+
+
 def rejected(lines: DataFrame, family: Family) -> DataFrame:
     """Lines of an unknown version, with the logged message."""
     return tag_version(lines, family).where(~F.col("known_version")).select(
-        "source_file", "line_no",
+        "source_file", *_part(lines), "line_no",
         F.concat(F.lit("unknown version "), F.col("record_version")).alias("message"),
     )
 
@@ -249,10 +263,18 @@ def explode_block(records: DataFrame, name: str, *parent: str) -> DataFrame:
 
 
 def error_rows(records: DataFrame, lines: DataFrame, family: Family) -> DataFrame:
-    """All messages of a load: (format, source_file, line_no, message)."""
-    parsed = records.select("source_file", "line_no", F.explode("errors").alias("message"))
-    log = reduce(DataFrame.unionByName, [parsed, rejected(lines, family)])
-    return log.select(F.lit(family.name).alias("format"), "source_file", "line_no", "message")
+    """All messages of a load: (format, source_file, part_file if the lines have it, line_no, block, item, ordinal, message).
+
+    Files, line and ordinal (a line's messages in order, from 0) are a message's key; block and item say where in the
+    line it arose, NULL for the fixed part and for the line as a whole.
+    """
+    place = ["source_file", *_part(lines), "line_no"]
+    parsed = records.select(*place, F.posexplode("errors").alias("ordinal", "message"))
+    unknown = rejected(lines, family).select(*place, F.lit(0).alias("ordinal"), "message")
+    where = lambda k: F.nullif(F.regexp_extract("message", r"^([a-z0-9_]+)\[([0-9]+)\]", k), F.lit(""))
+    return parsed.unionByName(unknown).select(
+        F.lit(family.name).alias("format"), *place, where(1).alias("block"), where(2).cast("int").alias("item"), "ordinal", "message"
+    )
 
 
 def render(rows: DataFrame, family: Family, version: str, blocks: dict[str, Column] | None = None) -> DataFrame:

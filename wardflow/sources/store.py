@@ -13,20 +13,25 @@ class Table:
     """A partitioned parquet table updated partition by partition.
 
     ``partitions`` must be columns the key determines, so a batch only rewrites the partitions it
-    touches and a replaced row is always in the partition being rewritten.
+    touches and a replaced row is always in the partition being rewritten. Folder names are text: partition columns are
+    read as such (a code keeps its leading zeros) unless ``kinds`` names another type.
     """
 
-    def __init__(self, path: str, key: list[str], order: list[str], partitions: list[str]):
-        self.path, self.key, self.order, self.partitions = path, key, order, partitions
+    def __init__(self, path: str, key: list[str], order: list[str], partitions: list[str], kinds: dict[str, str] | None = None):
+        self.path, self.key, self.order, self.partitions, self.kinds = path, key, order, partitions, kinds or {}
 
     def read(self, spark: SparkSession) -> DataFrame | None:
         """The table, or None before its first load."""
+        inferred = spark.conf.get(_INFERENCE)
+        spark.conf.set(_INFERENCE, "false")
         try:
-            return spark.read.parquet(self.path)
+            return spark.read.parquet(self.path).withColumns({c: F.col(c).cast(kind) for c, kind in self.kinds.items()})
         except AnalysisException as error:
             if error.getCondition() == "PATH_NOT_FOUND":
                 return None
             raise
+        finally:
+            spark.conf.set(_INFERENCE, inferred)
 
     def upsert(self, batch: DataFrame) -> None:
         """Merge a batch: same key replaces, an incomplete key is kept apart."""
@@ -34,6 +39,7 @@ class Table:
         existing = self.read(spark)
         merged = batch
         if existing is not None:
+            existing = existing.withColumns({c: F.col(c).cast(batch.schema[c].dataType) for c in self.partitions})
             touched = batch.select(*self.partitions).distinct()
             affected = existing.join(touched, self.partitions, "left_semi")
             merged = affected.unionByName(batch, allowMissingColumns=True)
@@ -45,6 +51,7 @@ class Table:
              .partitionBy(*self.partitions).parquet(self.path))
 
 
+_INFERENCE = "spark.sql.sources.partitionColumnTypeInference.enabled"
 _WRITERS = 32  # writers per partition: a hot establishment is not one task
 
 
