@@ -11,8 +11,10 @@ nothing, so the components are those of all candidate pairs, and a large group o
 
 A large band that is still in parts holds texts that share a long passage without being similar. Its members are paired by
 rare shingles instead: with the shingles of every text in one order, the common ones last, two texts of similarity 0.8 share
-one among the first fifth of the longer and the first ninth of the shorter (a prefix filter, without loss). Texts that
-differ in more than that beside the passage meet nobody. Again each shingle's texts are first compared with one of them.
+one among the first fifth of the longer and the first ninth of the shorter, and from their first shared one on both have as
+many left as they must share (prefix and position filters, without loss). Texts that differ in more than that beside the
+passage are paired with nobody. Again each shingle's texts are first compared with one of them: the one with the fewest
+rare shingles, which in a family of edited copies is the text they come from.
 
 Defined results: a null, empty or wordless text has the empty set and is a copy of any other such; a text of fewer than five
 words has one shingle; of a group the row of the smallest id stays, a null id last, then the first by the text's MD5;
@@ -160,28 +162,32 @@ def common_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefixes(sets: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(hash, node, n, early): of every set the shingles that come first in the order of commonness, as many as a longer
-    partner must look up; ``early`` those that a shorter partner must offer."""
+    """(hash, node, n, rest, early, rare): of every set the shingles that come first in the order of commonness, as many as a longer
+    partner must look up; ``early`` those that a shorter partner must offer, ``rest`` the number from the
+    shingle on; ``rare`` is the number of the set's shingles that are not common."""
     known, counts = (np.append(x, 0) for x in common)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in blocks(batches):
-            hashes, nodes, sizes, early = [], [], [], []
+            hashes, nodes, sizes, rest, early, rare = [], [], [], [], [], []
             for node, own in zip(some.column(0).to_pylist(), some.column(1), strict=True):
                 own = own.values.to_numpy()
                 at = np.minimum(np.searchsorted(known[:-1], own), len(known) - 1)
-                order = np.lexsort((own, np.where(known[at] == own, counts[at], 0)))
+                repeats = np.where(known[at] == own, counts[at], 0)
+                order = np.lexsort((own, repeats))
                 n = len(own)
                 look_up = n - -(-NUMERATOR * n // DENOMINATOR) + 1
                 offer = n - -(-2 * NUMERATOR * n // (NUMERATOR + DENOMINATOR)) + 1
                 hashes.append(own[order[:look_up]])
                 nodes.append(np.full(look_up, node))
                 sizes.append(np.full(look_up, n, dtype=np.int32))
+                rest.append(np.arange(n, n - look_up, -1, dtype=np.int32))
                 early.append(np.arange(look_up) < offer)
+                rare.append(np.full(look_up, (repeats == 0).sum(), dtype=np.int32))
             if nodes:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hashes, nodes, sizes, early)], names=["hash", "node", "n", "early"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hashes, nodes, sizes, rest, early, rare)], names=["hash", "node", "n", "rest", "early", "rare"])
 
-    return sets.where("size(hashes) > 0").select("node", "hashes").mapInArrow(first, "hash long, node long, n int, early boolean")
+    return sets.where("size(hashes) > 0").select("node", "hashes").mapInArrow(first, "hash long, node long, n int, rest int, early boolean, rare int")
 
 
 def links_by_rare_shingles(hot: DataFrame, sets: DataFrame, found: DataFrame) -> DataFrame:
@@ -189,17 +195,19 @@ def links_by_rare_shingles(hot: DataFrame, sets: DataFrame, found: DataFrame) ->
     own = sets.join(hot.select("node"), "node", "left_semi")
     posts = written(prefixes(own, common_shingles(own)), "prefixes")
     place = lambda x: F.struct(F.col(f"{x}_n"), F.col(x))
-    similar_sizes = similar(F.col("b_n"), F.col("a_n"))
-    for round_of in ("pivot", "all"):
+    named = lambda df, x: df.select("hash", F.col("node").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("n", "rest", "label")])
+    enough = (NUMERATOR + DENOMINATOR) * F.least("a_rest", "b_rest").cast("long") >= NUMERATOR * (F.col("a_n") + F.col("b_n")).cast("long")
+    for one in (True, False):
         labels = connected_components(found).withColumnRenamed("node", "of")
-        labelled = posts.join(labels, F.col("node") == F.col("of"), "left").select("hash", "node", "n", "early", F.coalesce("label", "node").alias("label"))
+        labelled = posts.join(labels, F.col("node") == F.col("of"), "left").select(*posts.columns, F.coalesce("label", "node").alias("label"))
         parts = labelled.groupBy("hash").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("hash")
         labelled = written(labelled.join(parts, "hash"), "prefixes")
-        longer = labelled.select("hash", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("label").alias("a_label"))
-        offered = labelled.where("early").select("hash", F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("label").alias("b_label"))
-        if round_of == "pivot":
-            offered = offered.groupBy("hash").agg(F.min(F.struct("b_n", "b", "b_label")).alias("p")).select("hash", "p.*")
-        pairs = longer.join(offered, "hash").where((F.col("a_label") != F.col("b_label")) & (place("b") < place("a")) & similar_sizes).select("a", "b").distinct()
+        if one:
+            pivots = labelled.groupBy("hash").agg(F.min(F.struct("rare", "n", "node", "rest", "label")).alias("p")).select("hash", "p.*")
+            needed = similar(F.least("a_n", "b_n"), F.greatest("a_n", "b_n"))
+        else:
+            pivots, needed = labelled.where("early"), (place("b") < place("a")) & enough
+        pairs = named(labelled, "a").join(named(pivots, "b"), "hash").where((F.col("a_label") != F.col("b_label")) & needed).select("a", "b").distinct()
         found = written(found.unionByName(verified(pairs, sets)), "links")
     return found
 
