@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["valuation", "dashboard", "scores", "derive", "joins", "explorer", "charts", "functions", "nomenclature", "ingest", "privacy"]
+FAMILIES = ["valuation", "dashboard", "scores", "secondary", "derive", "joins", "explorer", "charts", "functions", "nomenclature", "ingest", "privacy"]
 
 
 def load_all() -> None:

@@ -224,3 +224,26 @@ select finess_epmsi, stay, unit unite, sum(entries) n, sum(sum(entries)) over (p
 union all
 select finess_epmsi, stay, arg_max(numero_unite_medicale, line_no), 1, 1, 1.0 from v_weeks w
 where not exists (select 1 from v_days d where d.stay = w.stay and d.finess_epmsi = w.finess_epmsi) group by 1, 2""")
+view("v_axis", """
+select *, 'unit' axis, numero_unite_medicale axis_value from v_in_period where coalesce(trim(numero_unite_medicale), '') <> ''
+union all select *, 'hosp', case type_hospitalisation when '3' then '2' else type_hospitalisation end from v_in_period where coalesce(trim(type_hospitalisation), '') <> ''
+union all select v_in_period.*, 'group', g.name from v_in_period join (values ('court', 'A'), ('court', 'N'), ('retour', 'R'), ('retour', 'N')) g(name, u) on g.u = numero_unite_medicale""")
+view("v_axis_stay_code", """
+select finess_epmsi, iso_year, axis, axis_value, stay, arg_max(code_gme, week * 10000000 + line_no) code from v_axis where code_gme is not null group by all""")
+
+
+def by_axis(sql: str) -> str:
+    """SQL of a section by (finess_epmsi, iso_year) as that by axis and axis value too; stays' amounts stay as they are."""
+    import re
+
+    amounts = ["select finess_epmsi, iso_year, stay, sum(montant_br_sej) m from v_comparable group by 1, 2, 3", "left join v using (finess_epmsi, iso_year, stay)"]
+    for i, text in enumerate(amounts):
+        sql = sql.replace(text, f"@{i}@")
+    sql = sql.replace("v_in_period", "v_axis").replace("v_stay_code", "v_axis_stay_code")
+    sql = re.sub(r"\b((?:\w+\.)?)finess_epmsi, ((?:\w+\.)?)iso_year\b", r"\1finess_epmsi, \2iso_year, \2axis, \2axis_value", sql)
+    sql = re.sub(r"finess_epmsi, code\b", "finess_epmsi, axis, axis_value, code", sql)
+    sql = sql.replace("partition by finess_epmsi order", "partition by finess_epmsi, axis, axis_value order").replace("k.stay = s.stay", "k.stay = s.stay and k.axis = s.axis and k.axis_value = s.axis_value")
+    sql = re.sub(r"group by \d(?:, \d)*", lambda m: f"{m[0]}, {int(m[0][-1]) + 1}, {int(m[0][-1]) + 2}", sql)
+    for i, text in enumerate(amounts):
+        sql = sql.replace(f"@{i}@", text)
+    return sql

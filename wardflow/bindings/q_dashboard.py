@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wardflow.bindings.q_valuation import r, text
 from wardflow.bindings.registry import query
-from wardflow.bindings.tables import Tables
+from wardflow.bindings.tables import UNIT_GROUPS, Tables
 from wardflow.functions import calendar as cal
 from wardflow.functions.filters import ExclusionRule, axis_filter, keep_rows
 from wardflow.operators.latest import copy_over_group
@@ -16,7 +16,6 @@ from wardflow.plans import periods as per
 from wardflow.sources import nomenclatures as nom
 
 P = ["finess_epmsi", "iso_year"]
-GROUPS = {"court": ["A", "N"], "retour": ["R", "N"]}
 
 
 @query("e28_reporting_periods", """
@@ -113,7 +112,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("e54_activity_per_unit_group", _ACTIVITY.format(k="finess_epmsi, iso_year, axis_value", src=_GROUP_AXIS))
 def _(t: Tables) -> DataFrame:
-    rows = dash.with_axis(t.in_period, "numero_unite_medicale", GROUPS)
+    rows = dash.with_axis(t.in_period, "numero_unite_medicale", UNIT_GROUPS)
     return _rounded_activity(dash.stay_activity(rows, t.weeks, [*P, "axis_value"]))
 
 
@@ -148,7 +147,7 @@ def _(t: Tables) -> DataFrame:
     return dash.days_per_week(t.in_period)
 
 
-@query("e5_indicators", """
+_INDICATORS = """
 with b as (select finess_epmsi, iso_year, count(*) nb_rhs, sum(n_days) nb_journees, avg(n1_nb_das) nb_das_moy_rhs,
     avg(case when coalesce(dependance_habillage_toilette, dependance_deplacement, dependance_alimentation, dependance_continence) is not null then coalesce(cast(dependance_habillage_toilette as int), 0) + coalesce(cast(dependance_deplacement as int), 0) + coalesce(cast(dependance_alimentation as int), 0) + coalesce(cast(dependance_continence as int), 0) end) avq_phys_moy,
     avg(case when coalesce(dependance_comportement, dependance_relation) is not null then coalesce(cast(dependance_comportement as int), 0) + coalesce(cast(dependance_relation as int), 0) end) avq_cogn_moy
@@ -158,7 +157,10 @@ k as (select rhs_id, nombre_realisations from v_csarr qualify row_number() over
 a as (select finess_epmsi, iso_year, cast(sum(nombre_realisations) as bigint) n from k join v_in_period using (rhs_id) group by 1, 2),
 d as (select finess_epmsi, iso_year, count(distinct rhs_id || '|' || trim(code_das)) n from v_das join v_in_period using (rhs_id) group by 1, 2)
 select finess_epmsi, iso_year, round(avq_phys_moy, 6) avq_phys_moy, round(avq_cogn_moy, 6) avq_cogn_moy, coalesce(a.n, 0) nb_csarr, coalesce(d.n, 0) nb_diag_approx, round(nb_das_moy_rhs, 6) nb_das_moy_rhs,
-  round(coalesce(a.n, 0) / nb_rhs, 6) nb_moy_interv_rhs, round(coalesce(a.n, 0) / nb_journees, 6) nb_moy_csarr_j from b left join a using (finess_epmsi, iso_year) left join d using (finess_epmsi, iso_year)""")
+  round(coalesce(a.n, 0) / nb_rhs, 6) nb_moy_interv_rhs, round(coalesce(a.n, 0) / nb_journees, 6) nb_moy_csarr_j from b left join a using (finess_epmsi, iso_year) left join d using (finess_epmsi, iso_year)"""
+
+
+@query("e5_indicators", _INDICATORS)
 def _(t: Tables) -> DataFrame:
     out = dash.indicators(t.in_period, t.csarr, t.csar, t.das)
     return out.withColumns({c: r(c, 6) for c in ("avq_phys_moy", "avq_cogn_moy", "nb_das_moy_rhs", "nb_moy_interv_rhs", "nb_moy_csarr_j")})
@@ -171,21 +173,27 @@ def _(t: Tables) -> DataFrame:
     return dash.staff_activity(t.in_period, t.csarr, t.staff_labels)
 
 
-@query("e12_error_activity", """
+_ERRORS = """
 with w as (select * from v_in_period where coalesce(trim(indicateur_erreur), '') <> ''),
 b as (select finess_epmsi, iso_year, count(distinct numero_admin_sejour) s, count(*) n from w group by 1, 2),
 d as (select finess_epmsi, iso_year, count(distinct rhs_id || '|' || trim(code_das)) n from v_das join w using (rhs_id) group by 1, 2),
 a as (select finess_epmsi, iso_year, cast(sum(nombre_realisations) as bigint) n from v_csarr join w using (rhs_id) group by 1, 2),
 c as (select finess_epmsi, iso_year, cast(sum(nombre_realisations) as bigint) n from v_csar join w using (rhs_id) group by 1, 2)
 select b.finess_epmsi, b.iso_year, s nb_sejours_erreur, b.n nb_rhs_erreur, coalesce(d.n, 0) nb_diag_erreur, coalesce(a.n, 0) nb_csarr_erreur, coalesce(c.n, 0) nb_csar_erreur
-from b left join d using (finess_epmsi, iso_year) left join a using (finess_epmsi, iso_year) left join c using (finess_epmsi, iso_year)""")
+from b left join d using (finess_epmsi, iso_year) left join a using (finess_epmsi, iso_year) left join c using (finess_epmsi, iso_year)"""
+
+
+@query("e12_error_activity", _ERRORS)
 def _(t: Tables) -> DataFrame:
     return dash.error_activity(t.in_period, t.csarr, t.csar, t.das)
 
 
-@query("e13_records_without_acts", """
+_WITHOUT = """
 with s as (select finess_epmsi, iso_year, numero_admin_sejour, sum(n2_nb_csarr) a, count(*) rhs, count(*) filter (n2_nb_csarr = 0) r0, coalesce(sum(n_days) filter (n2_nb_csarr = 0), 0) d0 from v_in_period group by 1, 2, 3)
-select finess_epmsi, iso_year, count(*) filter (a = 0) nb_ssr_sans_acte, cast(sum(r0) as bigint) nb_rhs_sans_acte, cast(sum(d0) as bigint) nb_jrs_sans_acte, round(100.0 * sum(r0) / sum(rhs), 6) pct_rhs_sans_acte from s group by 1, 2""")
+select finess_epmsi, iso_year, count(*) filter (a = 0) nb_ssr_sans_acte, cast(sum(r0) as bigint) nb_rhs_sans_acte, cast(sum(d0) as bigint) nb_jrs_sans_acte, round(100.0 * sum(r0) / sum(rhs), 6) pct_rhs_sans_acte from s group by 1, 2"""
+
+
+@query("e13_records_without_acts", _WITHOUT)
 def _(t: Tables) -> DataFrame:
     return dash.records_without_acts(t.in_period).withColumn("pct_rhs_sans_acte", r("pct_rhs_sans_acte", 6))
 
@@ -243,7 +251,7 @@ def _(t: Tables) -> DataFrame:
     return top_per_group(totals, ["finess_epmsi"], [F.col("n").desc(), F.col("code")], 3, "rang")
 
 
-@query("c24_e27_group_structure", """
+_STRUCTURE = """
 with st as (select *, case when substr(code, 5, 1) in ('P', 'S', 'T', 'U', 'H', 'I', 'J', 'K', 'L') then 1 end okg from v_stay_code),
 b as (select finess_epmsi, iso_year, stay, 'gr' bloc, case when okg = 1 then substr(code, 5, 1) else 'ERR' end c from st
   union all select finess_epmsi, iso_year, stay, 'gl', case when okg = 1 and substr(code, 6, 1) in ('A', 'B', 'C') then substr(code, 6, 1) else 'ERR' end from st
@@ -255,7 +263,10 @@ names(bloc, code, l) as (values ('gr', 'P', 'Pédiatrique (HC)'), ('gr', 'S', 'S
   ('gr', 'J', 'Intensive (HTP)'), ('gr', 'K', 'Modérée (HTP)'), ('gr', 'L', 'Indifférenciée (HTP)'), ('gl', 'A', 'Niveau A'), ('gl', 'B', 'Niveau B'), ('gl', 'C', 'Niveau C'), ('sev', '0', 'HTP'), ('sev', '1', 'HC sans sévérité'), ('sev', '2', 'HC avec sévérité'))
 select k.finess_epmsi, k.iso_year, k.bloc, k.code, effectif, valorisation, case when k.code is null then 'Sous-total' else coalesce(l, 'Erreur de groupage') end libelle,
   round(100.0 * effectif / max(effectif) over w, 6) pct_effectif, round(coalesce(100.0 * valorisation / nullif(max(valorisation) over w, 0), 0), 6) pct_valorisation
-from k left join names n on n.bloc = k.bloc and n.code = k.code window w as (partition by k.finess_epmsi, k.iso_year, k.bloc)""")
+from k left join names n on n.bloc = k.bloc and n.code = k.code window w as (partition by k.finess_epmsi, k.iso_year, k.bloc)"""
+
+
+@query("c24_e27_group_structure", _STRUCTURE)
 def _(t: Tables) -> DataFrame:
     out = dash.group_structure(t.in_period, t.valuation, t.weeks, t.periods)
     return out.withColumns({"valorisation": F.col("valorisation").cast("double"), "pct_effectif": r("pct_effectif", 6), "pct_valorisation": r("pct_valorisation", 6)})

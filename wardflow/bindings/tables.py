@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardflow.operators.presence import STAY, last_presence, with_week
+from wardflow.plans.dashboard import with_axes
 from wardflow.plans.periods import reporting_periods, weeks_in_period
 from wardflow.plans.scores import ScoreTables
 from wardflow.session import run_folder
@@ -43,6 +44,7 @@ RECORD_ID = "concat(lpad(cast(l_orderkey as string), 9, '0'), '|', lpad(cast(iw
 DEPENDENCE = ["habillage_toilette", "deplacement", "alimentation", "continence", "comportement", "relation"]
 
 
+UNIT_GROUPS = {"court": ["A", "N"], "retour": ["R", "N"]}
 _STORED: dict[tuple[str, str, str], str] = {}  # written tables of this process by (application, folder, name)
 
 
@@ -140,6 +142,11 @@ class Tables:
     def in_period(self) -> DataFrame:
         return weeks_in_period(self.weeks, self.periods)
 
+    @cached_property
+    def axis_rows(self) -> DataFrame:
+        """The records inside the periods, once for each secondary dashboard: the scan that all its sections share."""
+        return self.stored("axis-rows", with_axes(self.in_period, UNIT_GROUPS))
+
     @cached_property
     def das(self) -> DataFrame:
         return self.lines.where("l_linestatus = 'O'").select(

@@ -51,6 +51,22 @@ def with_axis(records: DataFrame, axis: str, groups: dict[str, Iterable[str]] |
     return rows.where(F.col("axis_value").isin(*list(values))) if values else rows
 
 
+AXES = ["axis", "axis_value"]
+
+
+def with_axes(records: DataFrame, groups: dict[str, Iterable[str]] | None = None, unit: str = "numero_unite_medicale", hosp: Column | None = None) -> DataFrame:
+    """Every record once for each secondary dashboard it belongs to: its unit, its hospitalisation type, its unit's groups.
+
+    One scan of these rows feeds all sections of all secondary dashboards, with (axis, axis_value) in their keys.
+    """
+    kind = hospitalisation_group(F.col("type_hospitalisation")) if hosp is None else hosp
+    member = lambda axis, value, test: F.when(test, F.struct(F.lit(axis).alias("axis"), value.alias("axis_value")))
+    known = lambda c: blank_to_null(c).isNotNull()
+    memberships = [member("unit", F.col(unit), known(F.col(unit))), member("hosp", kind, known(kind))]
+    memberships += [member("group", F.lit(name), F.col(unit).isin(*list(units))) for name, units in (groups or {}).items()]
+    return records.withColumn("_m", F.explode(F.array_compact(F.array(*memberships)))).select("*", "_m.axis", "_m.axis_value").drop("_m")
+
+
 def stay_activity(records: DataFrame, history: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Stays, records, days, days per stay in the period and over the whole stay, mean beds, % without error."""
     by = by or PERIOD
@@ -73,35 +89,41 @@ def stay_activity(records: DataFrame, history: DataFrame, by: list[str] | None =
     )
 
 
-def patients(admin: DataFrame, periods: DataFrame, last_sunday: DataFrame, order: list[str], stays: DataFrame | None = None) -> DataFrame:
+def patients(
+    admin: DataFrame, periods: DataFrame, last_sunday: DataFrame, order: list[str], stays: DataFrame | None = None, by: list[str] | None = None
+) -> DataFrame:
     """Distinct patients by sex and mean age over stays, per period.
 
     A stay runs from its entry to the later of its exit (the period's end when open) and its last
     recorded week, and counts where it overlaps the period. A patient has the sex of the first row
-    seen, ages are averaged over stays. ``stays`` restricts to the stays of an axis value.
+    seen, ages are averaged over stays. ``stays`` restricts to the stays of an axis value; with ``by`` it has the
+    section's keys for each stay of a period.
     """
+    keys = by or PERIOD
     start = F.coalesce(F.to_date("date_entree"), F.to_date("date_hospitalisation"))
     rows = admin.withColumn("debut", start).where("debut is not null")
-    if stays is not None:
+    if stays is not None and by is None:
         rows = rows.join(stays, STAY, "left_semi")
     rows = rows.join(last_sunday, STAY, "left").join(small(periods.select(*PERIOD, "start", "end")), "finess_epmsi")
     leave = F.greatest(F.coalesce(F.to_date("date_sortie"), F.col("end")), "last_sunday", "debut")
     seen = rows.where((leave >= F.col("start")) & (F.col("debut") <= F.col("end")))
+    if stays is not None and by is not None:
+        seen = seen.join(stays.select(*by, "stay").distinct(), [*PERIOD, "stay"])
     age = age_years(F.to_date("date_naissance_beneficiaire"), F.to_date("date_entree"))
     sex = F.col("sexe_beneficiaire")
-    per_patient = seen.groupBy(*PERIOD, "numero_ipp").agg(
+    per_patient = seen.groupBy(*keys, "numero_ipp").agg(
         F.min_by(sex, F.struct(*order)).alias("sexe"),
         *[F.sum(F.when(sex == s, age)).alias(f"age_{n}") for s, n in (("2", "f"), ("1", "m"))],
         *[F.count(F.when(sex == s, age)).alias(f"n_{n}") for s, n in (("2", "f"), ("1", "m"))],
     )
-    out = per_patient.groupBy(*PERIOD).agg(
+    out = per_patient.groupBy(*keys).agg(
         F.count_if(F.col("sexe") == "2").alias("f"), F.count_if(F.col("sexe") == "1").alias("m"),
         *[F.sum(c).alias(c) for c in ("age_f", "age_m", "n_f", "n_m")],
     )
     total = F.col("f") + F.col("m")
     ages = F.coalesce("age_f", F.lit(0.0)) + F.coalesce("age_m", F.lit(0.0))
     return out.select(
-        *PERIOD, "f", "m", total.alias("total"), _ratio(F.col("f"), total, 100.0).alias("pct_f"),
+        *keys, "f", "m", total.alias("total"), _ratio(F.col("f"), total, 100.0).alias("pct_f"),
         _ratio(F.col("m"), total, 100.0).alias("pct_m"), F.try_divide("age_f", "n_f").alias("age_f"),
         F.try_divide("age_m", "n_m").alias("age_m"), F.try_divide(ages, F.col("n_f") + F.col("n_m")).alias("age_total"),
     )
@@ -252,39 +274,42 @@ def _effectif_and_value(groups: DataFrame, amounts: DataFrame, keys: list[str])
 
 def group_ranking(
     records: DataFrame, valuation: DataFrame, weeks: DataFrame, periods: DataFrame, labels: DataFrame,
-    kind: str = "CM", top_n: int = 5,
+    kind: str = "CM", top_n: int = 5, by: list[str] | None = None,
 ) -> DataFrame:
     """Top groups of an establishment over all its periods, with count, value and shares per year.
 
     Shares are of all groups of the year, not only of the top. Equal counts are ordered by code.
     """
-    groups = stay_groups(records, GROUP_LENGTH[kind])
-    table = _effectif_and_value(groups, comparable_rows(valuation, weeks, periods), [*PERIOD, "code"])
-    totals = table.groupBy("finess_epmsi", "code").agg(F.sum("effectif").alias("n"))
-    top = top_per_group(totals, ["finess_epmsi"], [F.col("n").desc(), F.col("code")], top_n, "rang").select("finess_epmsi", "code", "rang")
-    year = Window.partitionBy(*PERIOD)
+    by = by or PERIOD
+    over_years = [k for k in by if k != "iso_year"]
+    groups = stay_groups(records, GROUP_LENGTH[kind], by)
+    table = _effectif_and_value(groups, comparable_rows(valuation, weeks, periods), [*by, "code"])
+    totals = table.groupBy(*over_years, "code").agg(F.sum("effectif").alias("n"))
+    top = top_per_group(totals, over_years, [F.col("n").desc(), F.col("code")], top_n, "rang").select(*over_years, "code", "rang")
+    year = Window.partitionBy(*by)
     shares = table.withColumns({
         "pct_effectif": _ratio(F.col("effectif"), F.sum("effectif").over(year), 100.0),
         "pct_valorisation": _ratio(F.col("valorisation").cast("double"), F.sum("valorisation").over(year).cast("double"), 100.0),
     })
     names = labels.where(F.col("kind") == kind).select("code", F.coalesce(F.nullif("libelle_long", F.lit("")), F.nullif("libelle_court", F.lit("")), "code").alias("libelle"))
-    return shares.join(top, ["finess_epmsi", "code"]).join(names, "code", "left").withColumn("libelle", F.coalesce("libelle", "code"))
+    return shares.join(top, [*over_years, "code"]).join(names, "code", "left").withColumn("libelle", F.coalesce("libelle", "code"))
 
 
-def group_structure(records: DataFrame, valuation: DataFrame, weeks: DataFrame, periods: DataFrame) -> DataFrame:
+def group_structure(records: DataFrame, valuation: DataFrame, weeks: DataFrame, periods: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Stays and value by rehabilitation type, heaviness and severity, with a subtotal per block."""
-    groups = stay_groups(records, 7)
+    by = by or PERIOD
+    groups = stay_groups(records, 7, by)
     blocks = F.array(*[F.struct(F.lit(b).alias("bloc"), structure_bucket(F.col("code"), b).alias("code")) for b in STRUCTURE_CODES])
-    tagged = groups.select(*PERIOD, "stay", F.explode(blocks).alias("b")).select(*PERIOD, "stay", "b.*")
-    cells = _effectif_and_value(tagged, comparable_rows(valuation, weeks, periods), [*PERIOD, "bloc", "code"])
-    keys = [*PERIOD, "bloc", "code"]
+    tagged = groups.select(*by, "stay", F.explode(blocks).alias("b")).select(*by, "stay", "b.*")
+    cells = _effectif_and_value(tagged, comparable_rows(valuation, weeks, periods), [*by, "bloc", "code"])
+    keys = [*by, "bloc", "code"]
     rolled = cells.groupingSets([keys, keys[:-1]], *keys).agg(
         F.sum("effectif").alias("effectif"), F.sum("valorisation").alias("valorisation")
     )
     label = F.lit("Sous-total")
     for block in STRUCTURE_CODES:
         label = F.when((F.col("bloc") == block) & F.col("code").isNotNull(), structure_label(block, F.col("code"))).otherwise(label)
-    whole = Window.partitionBy(*PERIOD, "bloc")
+    whole = Window.partitionBy(*by, "bloc")
     def share(name: str) -> Column:
         value = F.col(name).cast("double")
         return _ratio(value, F.max(F.when(F.col("code").isNull(), value)).over(whole), 100.0)
