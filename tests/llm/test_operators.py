@@ -406,6 +406,30 @@ def test_main_texts(spark):
     assert dom_boost.extract(pages.limit(0), model).count() == 0
 
 
+@pytest.mark.parametrize("piece", [
+    "<svg/>", "<svg viewBox='0 0 1 1' />", "<button>Share", "<iframe src=x>", "<select><option>a", "<object data=x>", "<object data=x/>", "<BUTTON type=b>Share", "<button><div>Share</div></button>",
+    "<svg><title>icon</title></svg>", "<iframe src=x></iframe>", "<noscript><p>Switch it on.</p></noscript>", "<template><div><p>hidden</p></div></template>", "<button>one<button>two</button>",
+])
+def test_silent_elements_do_not_swallow_the_page(piece):
+    model = dom_boost.train([])
+    words = "Some plain words that go on for a while, as the words of an article do. " * 3
+    for before, after in (("<p>", ""), ("", "<p>")):
+        page = f"<html><head><title>T</title><body><nav><ul><li><a href=/a>Menu</a></ul></nav><article>{before}{piece}{after}{words if before else ''}</p><p>{words}</p><p>{words}</p></article><footer>us</footer></html>"
+        blocks = [" ".join(b.split()) for b in dom_boost.main_texts([page], model)[0].split("\n\n")]
+        want = [words.strip()] * 2
+        assert blocks[-2:] == want and not any("Share" in b or "hidden" in b or "icon" in b or "Menu" in b or b == "T" for b in blocks[-2:])
+
+
+def test_heads_and_ends():
+    model = dom_boost.train([])
+    words = "Some plain words that go on for a while, as the words of an article do. " * 3
+    for head in ("<head><title>A page</title>", "<head><title>A page</title></head>", "<HEAD><meta charset=x><body>", "<head><script>var a = '<p>';</script><body class=x>"):
+        assert dom_boost.main_texts([f"<html>{head}<article><p>{words}<p>{words}</article>"], model) == ["\n\n".join([words.strip()] * 2)]
+    texts = lambda source: [t for _, t, _ in dom_boost.Page(source).blocks]
+    assert texts("<p>one < two") == ["one < two"] and texts("<p>so <") == ["so <"] and texts("<p>cut <a hre") == ["cut"] and texts("<p>a<textarea>b<p>c") == ["a"]
+    assert texts("<p>a <button>b</p><p>c</p>") == ["a", "c"] and texts("<div>a<button><div>b</div>c</button>d</div>e") == ["a d", "e"]
+
+
 def test_unseen_pages_and_consistent_paths(spark):
     model = dom_boost.train(dom_boost.skeletons(80))
     pages = [dom_boost.Page(v) for v in dom_boost.variants(dom_boost.skeletons(30, seed=8), seed=77)]

@@ -12,7 +12,8 @@ pieces whose nature is known put around and into the article: sidebars, notices,
 for them come from other pages of the sample. An element's label is that of its nearest marked ancestor.
 
 Defined results: null, empty or textless html gives an empty text; unclosed, crossed and cut tags are read as far as
-they go; without any page that marks an article plain made-up pages are used for training; repeated rows give equal texts;
+they go: a silent element ends at its end tag or with the block around it, one that has no end tag, and ``head``, at the
+next block, a self-closed one at once; a text that ends in ``<`` and no tag keeps it; without any page that marks an article plain made-up pages are used for training; repeated rows give equal texts;
 other columns are ignored.
 """
 
@@ -40,14 +41,17 @@ GROUPS = [
 ]
 GROUP = {tag: i for i, tags in enumerate(GROUPS) for tag in tags}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-SILENT = ["script", "style", "template", "noscript", "head", "textarea", "select", "button", "svg", "iframe", "object"]
+RAW = ["script", "style", "textarea"]  # their text has no tags and runs to their end tag
+SILENT = ["template", "noscript", "head", "select", "button", "svg", "iframe", "object"]
 GOOD = re.compile(r"article|content|post|entry|story|body|main|text\b|prose")
 POOR = re.compile(r"nav|menu|foot|head(?!line)|side|\bads?\b|advert|banner|promo|sponsor|comment|repl(?:y|ies)|cookie|consent|notice|alert|share|social|related|recommend|widget|form|login|search|subscribe|newsletter|breadcrumb|popup|modal|pager|pagination|tags|meta|toolbar|copyright|legal")
 
 _MARK = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(" + "|".join(SILENT) + r")\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|<[a-zA-Z][^>]*>", re.S | re.I
+    r"<!--.*?(?:-->|\Z)|<(" + "|".join(RAW) + r")\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|<[a-zA-Z][^>]*>", re.S | re.I
 )
 _ATTRIBUTE = re.compile(r"(?:class|id|role|itemprop|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+_SAME = {tag: re.compile(rf"<(/?){tag}\b", re.I) for tag in SILENT}
+_TAG = re.compile(r"<[a-zA-Z/!?]")
 _LABEL = re.compile(r"data-truth=\"([01])\"")
 
 
@@ -60,6 +64,7 @@ class Page:
         stack: list[tuple[str, int]] = [("", 0)]  # open elements, inline ones with the element of the block around
         held: list[str] = []
         links = linked = 0
+        quiet, loose, inner = "", False, {}  # the silent element that is open, whether the next block ends it, tags open in it
 
         def flush() -> None:
             nonlocal linked
@@ -74,8 +79,9 @@ class Page:
             if m.start() > end:
                 piece = source[end : m.start()]
                 piece = entities.unescape(piece) if "&" in piece else piece
-                held.append(piece)
-                linked += len(piece) if links else 0
+                if not quiet:
+                    held.append(piece)
+                    linked += len(piece) if links else 0
             end = m.end()
             if not m[3]:
                 if m[1]:
@@ -83,6 +89,26 @@ class Page:
                 continue
             tag = m[3].lower()
             group = GROUP.get(tag)
+            if quiet:
+                if tag == quiet and m[2]:
+                    quiet = ""
+                    continue
+                if group is None or not loose:
+                    if not m[2]:
+                        inner[tag] = inner.get(tag, 0) + (tag not in VOID)
+                        continue
+                    if group is None or inner.get(tag):
+                        inner[tag] = inner.get(tag, 0) - 1
+                        continue
+                    if all(t != tag for t, _ in stack):
+                        continue
+                quiet = ""  # a block ends it
+            if tag in _SAME:
+                held.append(" ")
+                if not m[2] and not (m[4] or "").endswith("/"):
+                    after = _SAME[tag].search(source, end)
+                    quiet, loose, inner = tag, tag == "head" or after is None or not after[1] and tag not in ("template", "object"), {}
+                continue
             if tag == "br":
                 held.append(" ")
             elif m[2]:
@@ -117,8 +143,8 @@ class Page:
                 if tag not in VOID:
                     stack.append((tag, len(self.group) - 1))
         rest = source[end:]
-        if rest and not rest.startswith("<"):
-            held.append(entities.unescape(rest))
+        if rest and not quiet:
+            held.append(entities.unescape(_TAG.split(rest, maxsplit=1)[0]))
         flush()
 
 
