@@ -114,7 +114,7 @@ def test_valuation_csv(spark, tmp_path):
     (folder / "680000009.2027.04.SMR.VisualValoSejours.csv").write_text("FINESS;AUTRE\n680000009;1\n")
     rows, rejected = dl.read_valuation(spark, str(folder))
     got = {r.numero_admin_sejour: r for r in rows.collect()}
-    assert set(got) == {"24", "25"} and [x[1] for x in rejected] == [["AUTRE"]]
+    assert set(got) == {"24", "25"} and [("2027" in r.source_file, r.unknown) for r in rejected.collect()] == [(True, ["AUTRE"])]
     a, b = got["24"], got["25"]
     assert (a.numero_semaine, a.numero_semaine_htp, a.nv_chain, a.montant_br_gmt, a.campagne, a.libelle_gme) == ("202510", "10", None, 12.5, 2025, "Séjour à 5 €")
     assert (b.montant_br_supp_cancero, b.montant_br_gmt, b.campagne) == (7.0, None, 2026)
@@ -144,6 +144,24 @@ def test_stream_keeps_rejected_lines_and_messages(spark, tmp_path):
     assert sum(m.startswith("unknown version") for m in messages) == 1 and sum(m.startswith("record length") for m in messages) == 1
 
 
+def test_headers_are_resolved_in_the_plan(spark, tmp_path):
+    folder = tmp_path / "v"
+    folder.mkdir()
+    files = {
+        "a.csv": "FINESS;NUMADMIN;NUMSEMAINE;NUMSEMAINE\r\n1;2;3;4\r\n\r\n;;.; \r\n",  # the second of a name has its own column
+        "b.csv": 'NUMADMIN;FINESS\n"7;8";9\n5\n6;7;8;9\n',  # quotes, a short line and a long one
+        "c.csv": "FINESS;NUMSEMAINE;NUMSEMAINE;NUMSEMAINE;X\n1;2;3;4;5\n", "d.csv": "FINESS\n", "e.csv": "",
+    }
+    for name, text in files.items():
+        (folder / name).write_bytes(text.encode("cp1252"))
+    rows, rejected = dl.read_valuation(spark, str(folder))
+    got = [(r.source_file[-5:], r.finess_epmsi, r.numero_admin_sejour, r.numero_semaine, r.numero_semaine_htp) for r in rows.collect()]
+    assert len(got) == 4 and set(got) == {("a.csv", "1", "2", "3", "4"), ("b.csv", "9", "7;8", None, None), ("b.csv", None, "5", None, None), ("b.csv", "7", "6", None, None)}
+    assert [(r.source_file[-5:], r.unknown) for r in rejected.collect()] == [("c.csv", ["NUMSEMAINE", "X"])]
+    gate = {r.source_file[-5:]: (r.n_rows, r.unknown, r.blocked) for r in quality.valuation_gate(rows.groupBy("source_file").agg(F.count("*").alias("n_rows")), rejected).collect()}
+    assert gate == {"a.csv": (1, None, False), "b.csv": (3, None, False), "c.csv": (0, "NUMSEMAINE, X", True)}
+
+
 def faulty_files():
     """Five files with faults of every kind; files share records, so the order of loads matters."""
     das = lambda k: [f"D{k}{i}" for i in range(k)]

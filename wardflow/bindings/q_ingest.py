@@ -95,16 +95,20 @@ def _(t: Tables) -> DataFrame:
     return errors.groupBy(F.substring_index("message", ":", 1).alias("kind"), "block", "item").agg(F.count("*").alias("n"))
 
 
-@query("a7_a8_valuation_csv", """
-select finess_epmsi, numero_admin_sejour, numero_semaine, numero_rha, type_hospitalisation, nv_chain, code_gme, cast(montant_br_gmt as double) montant_br_gmt, cast(montant_br_gmth as double) montant_br_gmth, cast(montant_br_tot as double) montant_br_tot from v_valuation""")
-def _(t: Tables) -> DataFrame:
-    folder = run_folder(t.spark, "valuation")
+def _valuation_cells(t: Tables) -> DataFrame:
     dot = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("."))
-    t.valuation.select(
+    return t.valuation.select(
         F.col("finess_epmsi").alias("FINESS"), F.col("numero_admin_sejour").alias("NUMADMIN"), F.col("numero_semaine").alias("NUMSEMAINE"), F.col("numero_rha").alias("NUMRHS"),
         F.col("type_hospitalisation").alias("HOSP"), dot("nv_chain").alias("NV_CHAIN"), F.col("code_gme").alias("GME"), F.col("montant_br_gmt").cast("string").alias("MNT_BR_GMT"),
         F.col("montant_br_gmth").cast("string").alias("MNT_BR_GMTH"), dot("montant_br_tot").alias("MNT_BR_TOT"),
-    ).write.csv(folder, sep=";", header=True)
+    )
+
+
+@query("a7_a8_valuation_csv", """
+select finess_epmsi, numero_admin_sejour, numero_semaine, numero_rha, type_hospitalisation, nv_chain, code_gme, cast(montant_br_gmt as double) montant_br_gmt, cast(montant_br_gmth as double) montant_br_gmth, cast(montant_br_tot as double) montant_br_tot from v_valuation""")
+def _(t: Tables) -> DataFrame:
+    folder = run_folder(t.spark, "valuation")
+    _valuation_cells(t).write.csv(folder, sep=";", header=True)
     rows, rejected = dl.read_valuation(t.spark, folder)
     return rows.withColumns({"nv_chain": F.col("nv_chain").cast("int")}).select(
         "finess_epmsi", "numero_admin_sejour", "numero_semaine", "numero_rha", "type_hospitalisation", "nv_chain", "code_gme", "montant_br_gmt", "montant_br_gmth", "montant_br_tot"
@@ -232,9 +236,14 @@ def _(t: Tables) -> DataFrame:
 @query("b4_valuation_gate", """
 select finess_epmsi source_file, count(*) n_rows, null unknown, false blocked from v_valuation group by 1 union all select p_brand, 0, 'AUTRE', true from part where p_partkey % 400 = 0 group by 1""")
 def _(t: Tables) -> DataFrame:
-    counts = t.valuation.groupBy(F.col("finess_epmsi").alias("source_file")).agg(F.count("*").alias("n_rows"))
-    rejected = t.part.where("p % 400 = 0").select(F.col("p_brand").alias("source_file"), F.lit("AUTRE").alias("unknown")).distinct()
-    return ql.valuation_gate(counts, rejected)
+    """Files with a known header, in column orders of their own, and files with one more column."""
+    folder = run_folder(t.spark, "valuation-gate")
+    _valuation_cells(t).select("HOSP", F.col("FINESS").alias("file"), "NUMADMIN", "FINESS", "MNT_BR_TOT").write.partitionBy("file").csv(f"{folder}/good", sep=";", header=True)
+    bad = t.part.where("p % 400 = 0").select(F.col("p_brand").alias("file"), F.col("p").alias("NUMADMIN"), F.lit("1").alias("AUTRE"))
+    bad.write.partitionBy("file").csv(f"{folder}/bad", sep=";", header=True)
+    rows, rejected = dl.read_valuation(t.spark, folder)
+    name = F.url_decode(F.url_decode(F.regexp_extract("source_file", "file=([^/]+)", 1))).alias("source_file")  # a folder name, in a URL
+    return ql.valuation_gate(rows.groupBy(name).agg(F.count("*").alias("n_rows")), rejected.select(name, "unknown").distinct())
 
 
 @query("b5_batch_gate", f"""

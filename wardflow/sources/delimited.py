@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from wardflow.operators.size import small
+from wardflow.session import run_folder
+from wardflow.sources.fixed_width import place_in_task
 from wardflow.sources.layouts import TARIFF, VALUATION, CsvColumn
 
 NULL_TOKENS = ("", ".")
@@ -30,76 +30,68 @@ def typed(text: Column, kind: str) -> Column:
     return text.try_cast({"I": "bigint", "R": "double"}[kind]) if kind in "IR" else text
 
 
-def map_header(header: list[str], columns: tuple[CsvColumn, ...] = VALUATION) -> tuple[list[str | None], list[str]]:
-    """Column name per header cell and the unknown cells.
+def valuation_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of all files with their place: (source_file, split_start, row_no, line)."""
+    return spark.read.option("recursiveFileLookup", "true").text(path).select(
+        F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("split_start"), place_in_task().alias("row_no"),
+        windows_1252(F.rtrim(F.decode(F.col("value").cast("binary"), "ISO-8859-1"), F.lit("\r"))).alias("line"),
+    )
+
+
+def cells(line: Column) -> Column:
+    """The cells of a line, quotes read."""
+    raw = F.regexp_extract_all(F.concat(F.lit(";"), line), F.lit(r';("(?:[^"]|"")*"[^;]*|[^;]*)'), F.lit(1))
+    bare = F.transform(raw, lambda c: F.when(c.startswith('"'), F.replace(F.regexp_replace(c, r'^"((?:[^"]|"")*)"', "$1"), F.lit('""'), F.lit('"'))).otherwise(c))
+    return F.when(F.contains(line, F.lit('"')), bare).otherwise(raw)
+
 
-    The k-th occurrence of a header goes to the k-th column declaring it.
+def header_maps(headers: DataFrame, columns: tuple[CsvColumn, ...] = VALUATION) -> DataFrame:
+    """(header, places, unknown) of distinct header lines: a column's cell number by name, and the cells no column claims.
+
+    The k-th occurrence of a cell in a header goes to the k-th column declaring it.
     """
     owners: dict[str, list[str]] = {}
     for column in columns:
         for alias in column.aliases:
             owners.setdefault(alias, []).append(column.name)
-    waiting = {alias: iter(names) for alias, names in owners.items()}
-    names = [next(waiting.get(cell, iter(())), None) for cell in header]
-    return names, [cell for cell, name in zip(header, names) if name is None]
-
-
-def file_headers(spark: SparkSession, path: str) -> DataFrame:
-    """First line of each file: (source_file, header)."""
-    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("row_no")
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("source_file"),
-        F.col("_metadata.file_block_start").alias("at"), first, "value",
-    )
-    return lines.where("at = 0").groupBy("source_file").agg(F.min_by("value", "row_no").alias("header"))
+    claims = headers.sparkSession.createDataFrame([(a, k, name) for a, names in owners.items() for k, name in enumerate(names, 1)], "cell string, k int, name string")
+    split = headers.select("header").distinct().select("header", F.posexplode(cells(F.col("header"))).alias("at", "cell"))
+    numbered = split.withColumn("k", F.row_number().over(Window.partitionBy("header", "cell").orderBy("at")))  # a header's own cells
+    owned = numbered.join(F.broadcast(claims), ["cell", "k"], "left")  # one row per alias of the layout
+    known = F.filter(F.collect_list(F.struct("name", "at")), lambda x: x["name"].isNotNull())
+    lost = F.array_sort(F.collect_list(F.when(F.col("name").isNull(), F.struct("at", "cell"))))
+    return owned.groupBy("header").agg(F.map_from_entries(known).alias("places"), F.transform(lost, lambda x: x["cell"]).alias("unknown"))
 
 
-def read_valuation(spark: SparkSession, path: str) -> tuple[DataFrame, list[tuple[str, list[str]]]]:
-    """Valuation rows of all files with a known header, and the rejected (file, unknown cells).
+def read_valuation(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Valuation rows of all files with a known header, and the rejected files (source_file, unknown cells).
 
-    Header cells are schema information: one line per file reaches the driver, files with the same
-    header are read as one group, columns a group lacks are NULL.
+    A file's first line says where its columns are. Headers are resolved in the plan, each distinct one once; the files'
+    maps are stored, so while they are few the lines are not shuffled. Columns a file lacks are NULL.
     """
-    groups: dict[str, list[str]] = {}
-    for row in file_headers(spark, path).collect():
-        groups.setdefault(row["header"].rstrip("\r"), []).append(row["source_file"])
-    rejected: list[tuple[str, list[str]]] = []
-    parts = []
-    for header, files in groups.items():
-        cells = header.split(";")
-        names, unknown = map_header(cells)
-        if unknown:
-            rejected.extend((f, unknown) for f in sorted(files))
-            continue
-        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-        raw = spark.read.csv(files, sep=";", header=True, schema=schema, encoding="ISO-8859-1", enforceSchema=True)
-        parts.append(clean_valuation(raw.select(
-            F.col("_metadata.file_path").alias("source_file"),
-            F.col("_metadata.file_block_start").alias("split_start"),
-            F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("row_no"),
-            *names,
-        )))
-    if not parts:
-        empty = T.StructType([T.StructField(c.name, T.StringType()) for c in VALUATION])
-        blank = spark.createDataFrame([], empty).withColumns({
-            "source_file": F.lit(""), "split_start": F.lit(0).cast("bigint"), "row_no": F.lit(0).cast("bigint"),
-        })
-        return clean_valuation(blank), rejected
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts), rejected
+    lines = valuation_lines(spark, path)
+    first = lines.where("split_start = 0").groupBy("source_file").agg(F.min(F.struct("row_no", "line")).alias("h")).select("source_file", F.col("h.row_no").alias("header_row"), F.col("h.line").alias("header"))
+    files = first.join(header_maps(first), "header", "left").drop("header")
+    stored = run_folder(spark, "headers")
+    files.write.parquet(stored)
+    files = spark.read.schema(files.schema).parquet(stored)
+    accepted = files.where(F.size("unknown") == 0).drop("unknown")
+    body = lines.join(small(accepted), "source_file").where("not (split_start = 0 and row_no = header_row)")
+    body = body.withColumn("cells", cells(F.col("line")))
+    place = {c.name: F.col("places")[c.name] for c in VALUATION}
+    raw = body.select("source_file", "split_start", "row_no", *[F.when(at.isNotNull(), F.get("cells", at)).alias(name) for name, at in place.items()])
+    return clean_valuation(raw), files.where(F.size("unknown") > 0).select("source_file", "unknown")
 
 
 def clean_valuation(raw: DataFrame) -> DataFrame:
     """Null tokens, types, blank-row removal and the campaign year of the file name."""
-    present = [c for c in VALUATION if c.name in raw.columns]
-    text = {c.name: null_tokens(windows_1252(F.col(c.name))) for c in present}
+    text = {c.name: null_tokens(F.col(c.name)) for c in VALUATION}
     rows = raw.select("source_file", "split_start", "row_no", *[v.alias(k) for k, v in text.items()])
     rows = rows.where(F.coalesce(*[F.col(k) for k in text]).isNotNull())
-    missing = [c for c in VALUATION if c.name not in raw.columns]
     return rows.select(
         "source_file", "split_start", "row_no",
         file_campaign(F.col("source_file")).alias("campagne"),
-        *[typed(F.col(c.name), c.kind).alias(c.name) for c in present],
-        *[typed(F.lit(None).cast("string"), c.kind).alias(c.name) for c in missing],
+        *[typed(F.col(c.name), c.kind).alias(c.name) for c in VALUATION],
     )
 
 
