@@ -37,3 +37,28 @@ def test_golden_values(spark):
         assert r.c == (f"{r.cp[:2]}{_chunk(_digest(f'cp:{r.key}:{r.cp}'), 0, 1000):03d}" if r.cp.isdigit() else r.cp)
     shifted = {r.stay: r.b for r in got}
     assert shifted["N77"] == "99999999" and shifted["000123"] != "15031980" and shifted["000123"][4:] == "1980"
+
+
+def test_key_is_not_in_plans(spark, tmp_path):
+    """A stored key gives the same values as a literal one, and none of its forms stands in any plan."""
+    path = str(tmp_path / "key")
+    pv.write_key(spark, SECRET, path)
+    rows = spark.createDataFrame([("000123", "15031980", "68100"), ("N77", "99999999", "2A004")], "numero_admin_sejour string, birth string, cp string")
+    columns = lambda key: [pv.pseudonym(key, "nda", F.col("numero_admin_sejour"), 20), pv.shifted_birth_date(key, F.col("numero_admin_sejour"), F.col("birth")), pv.random_postcode(key, F.col("numero_admin_sejour"), F.col("cp"))]
+    hidden = pv.with_key(rows, path).select(*columns(pv.KEY))
+    assert hidden.collect() == rows.select(*columns(SECRET)).collect()
+    masked = pv.mask_valuation(rows, path)
+    assert masked.columns == rows.columns and masked.collect() == pv.mask_valuation(rows, SECRET).collect()
+    for df in (hidden, masked):
+        plan = df._jdf.queryExecution()
+        text = plan.toString() + plan.optimizedPlan().toJSON() + plan.executedPlan().toString()
+        for form in (SECRET, *pv.key_forms(SECRET)):
+            start = form[: len(SECRET)]
+            assert start.hex().upper() not in text.upper() and start.decode("latin-1") not in text and str(list(start))[1:-1] not in text
+    spark.createDataFrame([(b"a", b"b")] * 2, "inner binary, outer binary").write.parquet(str(tmp_path / "two"))
+    try:
+        pv.with_key(rows, str(tmp_path / "two"))
+    except ValueError as error:
+        assert "one row" in str(error)
+    else:
+        raise AssertionError("two keys were taken")

@@ -114,21 +114,20 @@ class Tables:
         The weekly table and the valuation table are what a load would have left behind; every
         section scans a few columns of them instead of deriving them again for each of its uses.
         """
+        return self.spark.read.parquet(self.kept(name, lambda path: rows.write.parquet(path)))
+
+    def kept(self, name: str, write: Callable[[str], None]) -> str:
+        """Path that ``write`` filled once per application."""
         key = (self.spark.sparkContext.applicationId, self.folder, name)
         if key not in _STORED:
             path = run_folder(self.spark, name)
-            rows.write.parquet(path)
+            write(path)
             _STORED[key] = path
-        return self.spark.read.parquet(_STORED[key])
+        return _STORED[key]
 
     def dropped(self, name: str, rows: Callable[[], DataFrame]) -> str:
         """Folder of text files by establishment, as transmissions were dropped: written once per application."""
-        key = (self.spark.sparkContext.applicationId, self.folder, name)
-        if key not in _STORED:
-            path = run_folder(self.spark, name)
-            rows().write.partitionBy("finess_epmsi").text(path)
-            _STORED[key] = path
-        return _STORED[key]
+        return self.kept(name, lambda path: rows().write.partitionBy("finess_epmsi").text(path))
 
     @cached_property
     def weeks(self) -> DataFrame:
