@@ -141,3 +141,19 @@ def test_bad_mergeable_measures_are_refused(spark, build):
         m.MeasureBook().register("bad", "rows", spark.createDataFrame(rows_of(5), KIND), build)
     with pytest.raises(ValueError, match="no mergeable state"):
         mg.Part("stddev", F.col("v"))
+
+
+def test_an_owner_counts_once_in_every_total(spark):
+    """Rows of many cells carry one amount of another source: each cell and total has it once."""
+    rows = [("a", "x", 1, 10.0), ("a", "x", 1, 10.0), ("a", "y", 1, 10.0), ("b", "x", 1, 10.0), ("b", "y", 2, 5.0), ("b", "y", None, None), ("c", "x", None, None)]
+    df = spark.createDataFrame(rows, "a string, y string, o int, v double")
+    out = pivot(df, ["a"], ["y"], [PivotMeasure("once", "calc", mg.once(F.col("v"), F.col("o"))), PivotMeasure("n", "count", F.lit(1))]).collect()
+    got = {(r.a, r.y): (r.once, r.n) for r in out}
+    assert got == {
+        ("a", "x"): (10, 2), ("a", "y"): (10, 1), ("b", "x"): (10, 1), ("b", "y"): (5, 2), ("c", "x"): (None, 1), ("a", None): (10, 3), ("b", None): (15, 3), ("c", None): (None, 1),
+        (None, "x"): (10, 4), (None, "y"): (15, 3), (None, None): (15, 7),
+    }
+    with pytest.raises(ValueError):
+        mg.Part("once", F.col("v"))
+    with pytest.raises(ValueError):
+        mg.once(F.col("v"), F.col("o")).column()

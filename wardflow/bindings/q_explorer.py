@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardflow.bindings.q_valuation import r
+from wardflow.bindings.q_valuation import _MATCH, cents, r
 from wardflow.bindings.registry import query
 from wardflow.bindings.tables import Tables
 from wardflow.functions import measures as m
@@ -199,3 +199,82 @@ select a, b, c, n, row_number() over (partition by a order by b, c) = 1 show_a,
 def _(t: Tables) -> DataFrame:
     cells = t.in_period.groupBy(F.col("finess_epmsi").alias("a"), F.col("iso_year").alias("b"), F.col("numero_unite_medicale").alias("c")).agg(F.count("*").alias("n"))
     return od.merged_headers(cells, ["a", "b", "c"]).drop("show_c", "span_c")
+
+
+def _sets(dims: list[str], parts: dict[str, str], source: str) -> str:
+    """SQL of a pivot over two dimensions and its totals: each part is aggregated on its own rows in every grouping set.
+
+    A part is an aggregate, or ``distinct <columns>: <aggregate>`` over distinct rows.
+    """
+    out = []
+    for own in ([dims[0], dims[1]], [dims[0]], [dims[1]], []):
+        keys = ", ".join(["1 one", *own])
+        names = ", ".join(["one", *own])
+        pieces = []
+        for i, (name, text) in enumerate(parts.items()):
+            columns, _, aggregate = text.rpartition(": ")
+            rows = f"(select distinct {', '.join([*own, columns.removeprefix('distinct ')])} from {source})" if columns else source
+            pieces.append(f"(select {keys}, {aggregate} {name} from {rows} group by {names if own else 'one'})" + (f" a{i}" if i == 0 else f" a{i} using ({names})"))
+        shown = ", ".join([f"{d} d_{d}" if d in own else f"null d_{d}" for d in dims] + list(parts))
+        out.append(f"select {shown} from " + " left join ".join(pieces))
+    return " union all ".join(out)
+
+
+_CROSS = {
+    "nb_sejours": "count(distinct finess_epmsi || numero_admin_sejour)", "nb_journees": "cast(sum(n_days) as bigint)",
+    "montant": "distinct finess_epmsi, stay, iso_year, rha, montant: round(cast(sum(montant) filter (rha is not null) as double), 2)", "montant_jours": "cast(round(sum(cast(alloc as decimal(18,6))), 2) as double)",
+}
+_CROSS_ROWS = f"""
+{_MATCH}, g as (select m.*, cast(montant_br_sej as double) montant, sum(m.n_days) over g tot, max(m.line_no) over g last_no from m left join v_official v on v.finess_epmsi = m.finess_epmsi and v.stay = m.stay and v.campagne = m.iso_year and v.numero_rha = m.rha
+  window g as (partition by m.finess_epmsi, m.stay, m.iso_year, m.rha)),
+x as (select g.*, numero_admin_sejour, coalesce(numero_unite_medicale, '(vide)') unite_medicale, coalesce(cast(g.iso_year as varchar), '(vide)') annee_periode,
+  case when rha is not null then montant * case when tot > 0 then g.n_days / tot when g.line_no = last_no then 1 else 0 end end alloc from g join v_weeks w using (rhs_id))"""
+
+
+@query("e38_cross_source_pivot", f"with {_CROSS_ROWS} {_sets(['unite_medicale', 'annee_periode'], _CROSS, 'x')}")
+def _(t: Tables) -> DataFrame:
+    """Stays and days of the records beside amounts of the valuation, by unit and year with all totals."""
+    valuation = t.valuation.withColumn("montant", F.col("montant_br_sej").cast("double"))
+    source = ex.with_valuation(ex.record_source(t.weeks), valuation, ["montant"])
+    out = source.pivot(["unite_medicale"], ["annee_periode"], [("nb_sejours", "distinct"), ("nb_journees", "sum"), ("valo_montant", "calc"), ("jours_montant", "calc")])
+    return out.select(
+        "d_unite_medicale", "d_annee_periode", F.col("nb_sejours_distinct").alias("nb_sejours"), F.col("nb_journees_sum").alias("nb_journees"),
+        r("valo_montant").alias("montant"), cents("jours_montant").alias("montant_jours"),
+    )
+
+
+_ACT_MEASURES = {
+    "nb_actes": "cast(sum(nombre_realisations) as bigint)", "nb_sejours": "count(distinct finess_epmsi || '|' || stay)",
+    "tm": "distinct finess_epmsi, stay, tm: round(cast(sum(tm) as double), 2)",
+}
+
+
+@query("e38_acts_and_stays_pivot", f"""
+with a as (select rhs_id, 'CSARR' type, nombre_realisations from v_csarr union all select rhs_id, 'CSAR', nombre_realisations from v_csar union all select rhs_id, 'CCAM', nombre_realisations from v_ccam),
+x as (select a.*, w.finess_epmsi, w.stay, coalesce(cast(w.iso_year as varchar), '(vide)') annee_periode, montant_facturer_tm * 0.01 tm from a join v_weeks w using (rhs_id) left join v_admin v on v.finess_epmsi = w.finess_epmsi and v.stay = w.stay)
+{_sets(['type', 'annee_periode'], _ACT_MEASURES, 'x')}""")
+def _(t: Tables) -> DataFrame:
+    """Acts of the three nomenclatures beside the stays' own amounts, each stay once in a cell and in a total."""
+    acts = ex.act_rows_source("acte", ex.act_source(t.weeks, t.csarr, t.csar, t.ccam), "code_acte", "nombre_realisations")
+    source = ex.with_stays(acts, t.admin, {"tm": F.col("montant_facturer_tm") * 0.01}, ["line_no"])
+    out = source.pivot(["type"], ["annee_periode"], [("nb_realisations", "sum"), ("nb_sejours", "distinct"), ("vidhosp_tm", "calc")])
+    return out.select("d_type", "d_annee_periode", F.col("nb_realisations_sum").alias("nb_actes"), F.col("nb_sejours_distinct").alias("nb_sejours"), r("vidhosp_tm").alias("tm"))
+
+
+def _child(name: str, table: str, code: str, count: str | None) -> None:
+    realised = ", cast(sum(nombre_realisations) as bigint) nb_realisations" if count else ""
+
+    @query(f"e31_{name}_source", f"""
+select coalesce(numero_unite_medicale, '(vide)') d_unite_medicale, coalesce(substr({code}, 1, 2), '(vide)') famille, count(*) nb_lignes, count(distinct finess_epmsi || '|' || stay) nb_sejours{realised}
+from {table} join v_weeks using (rhs_id) group by 1, 2""")
+    def _(t: Tables) -> DataFrame:
+        source = ex.child_source(name, t.weeks, getattr(t, name), code, count)
+        source.dims["famille"] = F.substring(code, 1, 2)
+        asked = [("nb_lignes", "count"), ("nb_sejours", "distinct"), *([("nb_realisations", "sum")] if count else [])]
+        cells = source.pivot(["unite_medicale"], ["famille"], asked).where("row_level = 'full' and col_level = 'full'")
+        return cells.select("d_unite_medicale", F.col("d_famille").alias("famille"), *[F.col(f"{m}_{how}").alias(m) for m, how in asked])
+
+
+_child("das", "v_das", "code_das", None)
+for _name, _code in (("csarr", "code_principal"), ("csar", "code_principal"), ("ccam", "code_ccam")):
+    _child(_name, f"v_{_name}", _code, "nombre_realisations")

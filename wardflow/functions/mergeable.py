@@ -1,6 +1,7 @@
 """Calculated measures that merge: each is a function of parts, and a part's state of a total is merged from its cells.
 
-A part is a sum, count, minimum, maximum, or something told by the counts of values (distinct, mode, median). A pivot
+A part is a sum, count, minimum, maximum, something told by the counts of values (distinct, mode, median), or an amount of
+another source that counts once however many rows of a cell carry it (once). A pivot
 computes the states of its cells once, merges them up to every total, and only then applies the measures' functions. So a
 ratio's total is the ratio of the totals, and no source row is read once per total.
 
@@ -18,18 +19,19 @@ from pyspark.sql import functions as F
 
 from wardflow.functions.measures import truth
 
-ADDITIVE, OF_VALUES = ("sum", "count", "min", "max"), ("distinct", "mode", "median")
+ADDITIVE, OF_VALUES, OF_OWNERS = ("sum", "count", "min", "max"), ("distinct", "mode", "median"), ("once",)
 
 
 @dataclass(frozen=True)
 class Part:
-    """``kind`` of a row expression; a NULL value takes no part."""
+    """``kind`` of a row expression; a NULL value takes no part. ``owner`` names the row of another source it belongs to."""
 
     kind: str
     value: Column
+    owner: Column | None = None
 
     def __post_init__(self) -> None:
-        if self.kind not in ADDITIVE + OF_VALUES:
+        if self.kind not in ADDITIVE + OF_VALUES + OF_OWNERS or (self.owner is None) == (self.kind in OF_OWNERS):
             raise ValueError(f"no mergeable state for {self.kind!r}")
 
 
@@ -42,6 +44,8 @@ class Calculated:
 
     def column(self) -> Column:
         """The measure as one plain aggregate expression, for a single ``groupBy``."""
+        if any([p.kind in OF_OWNERS for p in self.parts]):
+            raise ValueError("an amount that counts once per owner needs a pivot")
         return self.build([_PLAIN[p.kind](p.value) for p in self.parts])
 
 
@@ -121,6 +125,11 @@ def only(value: Column) -> Calculated:
     return apply(lambda a, b: F.when(a == b, b), least(value), greatest(value))
 
 
+def once(value: Column, owner: Column) -> Calculated:
+    """Sum over the different owners of a cell's rows, each owner's value once; a NULL owner takes no part."""
+    return Calculated((Part("once", value, owner),), lambda c: c[0])
+
+
 def ratio(top: Calculated, bottom: Calculated) -> Calculated:
     """NULL for a zero or missing denominator."""
     return apply(F.try_divide, top, bottom)

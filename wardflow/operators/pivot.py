@@ -77,6 +77,10 @@ def merged_states(df: DataFrame, rows: list[str], cols: list[str], sets: list[li
     merge = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
     found.append(_group(cells, sets, rows, cols, [F.sum("_rows").alias("_rows"), *[merge[p.kind](name).alias(name) for name, p in additive]]).drop("_rows"))
     for i, p in enumerate(parts):
+        if p.kind in mg.OF_OWNERS:
+            owned = df.select(*dims, p.owner.alias("_v"), p.value.alias("_x")).where("_v is not null").groupBy(*dims, "_v").agg(F.max("_x").alias("_x"))
+            per_owner = _group(owned, sets, rows, cols, [F.max("_x").alias("_x")], ["_v"])
+            found.append(per_owner.groupBy(*keys).agg(F.sum("_x").alias(f"p{i}")))
         if p.kind not in mg.OF_VALUES:
             continue
         counts = _group(value_counts(df, dims, p.value), sets, rows, cols, [F.sum("_c").alias("_c")], ["_v"])
@@ -106,7 +110,7 @@ def pivot(
     for m in measures:
         measure, places = m.calculated(), []
         for part in measure.parts:
-            known = next((i for i, p in enumerate(parts) if p.kind == part.kind and p.value is part.value), len(parts))
+            known = next((i for i, p in enumerate(parts) if p.kind == part.kind and p.value is part.value and p.owner is part.owner), len(parts))
             parts += [part] if known == len(parts) else []
             places.append(known)
         built.append(measure.build([F.col(f"p{i}") for i in places]).alias(m.name))

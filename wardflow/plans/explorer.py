@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardflow.functions import calendar as cal
 from wardflow.functions import derive as d
-from wardflow.operators.crossgrain import keep_if_any_match
+from wardflow.functions import mergeable as mg
+from wardflow.functions.mergeable import Calculated
+from wardflow.operators.allocation import presence_weighted
+from wardflow.operators.crossgrain import keep_if_any_match, match_other_source
 from wardflow.operators.hierarchy import with_prefix_label
 from wardflow.operators.pivot import PivotMeasure, hide_empty, pivot
 from wardflow.plans import periods as per
@@ -28,20 +31,25 @@ class Source:
     period: str
     dims: dict[str, Column] = field(default_factory=dict)
     measures: dict[str, Column] = field(default_factory=dict)
+    calculated: dict[str, Calculated] = field(default_factory=dict)
 
     def in_periods(self, periods: DataFrame) -> Source:
         restrict: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {
             "week": per.weeks_in_period, "dates": per.stays_in_period, "campaign": per.campaigns_in_period,
         }
-        return Source(self.name, restrict[self.period](self.rows, periods), self.period, self.dims, self.measures)
+        return replace(self, rows=restrict[self.period](self.rows, periods))
 
     def filtered(self, condition: Column) -> Source:
-        return Source(self.name, self.rows.where(condition), self.period, self.dims, self.measures)
+        return replace(self, rows=self.rows.where(condition))
 
     def filtered_by(self, other: Source, condition: Column) -> Source:
         """Rows of stays with any matching row in another source."""
         rows = keep_if_any_match(self.rows, other.rows, ["finess_epmsi", "stay"], condition)
-        return Source(self.name, rows, self.period, self.dims, self.measures)
+        return replace(self, rows=rows)
+
+    def calculating(self, **measures: Calculated) -> Source:
+        """The source with further calculated measures."""
+        return replace(self, calculated=self.calculated | measures)
 
     def shown(self, *dims: str) -> DataFrame:
         """Rows plus the display value of the asked dimensions."""
@@ -51,12 +59,12 @@ class Source:
         self, rows: list[str], cols: list[str], measures: list[tuple[str, str]],
         row_subtotals: bool = False, col_subtotals: bool = False, skip_empty: bool = False,
     ) -> DataFrame:
-        """Pivot over named dimensions; ``measures`` are (measure, how)."""
+        """Pivot over named dimensions; ``measures`` are (measure, how), with ``calc`` for a calculated one, under its own name."""
         r, c = [f"d_{x}" for x in rows], [f"d_{x}" for x in cols]
         data = self.shown(*rows, *cols)
         if skip_empty:
             data = hide_empty(data, r + c)
-        asked = [PivotMeasure(f"{m}_{how}", how, self.measures[m]) for m, how in measures]
+        asked = [PivotMeasure(m, how, self.calculated[m]) if how == "calc" else PivotMeasure(f"{m}_{how}", how, self.measures[m]) for m, how in measures]
         return pivot(data, r, c, asked, row_subtotals, col_subtotals)
 
 
@@ -160,6 +168,55 @@ def valuation_source(valuation: DataFrame) -> Source:
     return Source("valo", valuation.where(d.official_amount_rows()), "campaign", dims, measures)
 
 
+def child_source(name: str, records: DataFrame, children: DataFrame, code: str, count: str | None = None) -> Source:
+    """Rows of one block (diagnoses or acts of one nomenclature) with the dimensions of their records."""
+    keep = ["finess_epmsi", "numero_admin_sejour", "stay", "numero_semaine", "iso_year", "week", "numero_unite_medicale", "type_hospitalisation", "code_gme", "sexe"]
+    return act_rows_source(name, children.join(records.select("rhs_id", *keep), "rhs_id"), code, count)
+
+
+def act_rows_source(name: str, rows: DataFrame, code: str, count: str | None = None) -> Source:
+    """A source over rows that carry their record's columns: a block, or a union of blocks."""
+    label, _ = cal.week_dimension(F.col("numero_semaine"))
+    dims = {
+        "finess": F.col("finess_epmsi"), "nda": F.col("numero_admin_sejour"), "annee_periode": F.col("iso_year"), "semaine": label, "code": F.col(code),
+        "type_hosp": d.code_label("type_hospitalisation", F.col("type_hospitalisation")),
+    }
+    extra = {"unite_medicale": F.col("numero_unite_medicale"), "sexe": d.code_label("sexe", F.col("sexe")), "type": F.col(f"type_{name}")}
+    needs = {"unite_medicale": "numero_unite_medicale", "sexe": "sexe", "type": f"type_{name}"}
+    dims |= {k: v for k, v in extra.items() if needs[k] in rows.columns}
+    if "code_gme" in rows.columns:
+        dims |= d.group_parts(F.col("code_gme"))
+    measures = {"nb_lignes": F.lit(1), "nb_sejours": F.struct("finess_epmsi", "stay")} | ({"nb_realisations": F.col(count)} if count else {})
+    return Source(name, rows, "week", dims, measures)
+
+
+def with_valuation(base: Source, valuation: DataFrame, amounts: list[str], weight: str = "n_days") -> Source:
+    """Records with measures of the valuation: ``valo_<amount>`` counts a billed row once in every cell and total, and
+    ``jours_<amount>`` spreads it over the records in proportion to their days, so that cells add up to totals.
+    """
+    rows = valuation.where(d.official_amount_rows()).withColumn("htp", F.col("numero_semaine_htp").try_cast("int"))
+    order = ["numero_rha", "campagne"]
+    linked = match_other_source(base.rows, rows, ["finess_epmsi", "stay"], "iso_year", "week", "campagne", "htp", order, [*order, *amounts])
+    owners = ["finess_epmsi", "stay", *[f"o_{c}" for c in order]]
+    billed, rest = linked.where("matched"), linked.where("not matched")
+    for a in amounts:
+        billed = presence_weighted(billed, owners, weight, f"o_{a}", ["iso_year", "week", "line_no"], f"jours_{a}")
+    both = billed.unionByName(rest, allowMissingColumns=True)
+    owner = F.when(F.col("matched"), F.struct(*owners))
+    measures = {f"valo_{a}": mg.once(F.col(f"o_{a}"), owner) for a in amounts} | {f"jours_{a}": mg.total_known(F.col(f"jours_{a}").cast("decimal(18,6)")) for a in amounts}
+    return replace(base, rows=both).calculating(**measures)
+
+
+def with_stays(base: Source, admin: DataFrame, amounts: dict[str, Column], order: list[str]) -> Source:
+    """Any source with measures of the administrative stays: ``vidhosp_<name>`` counts a stay once in every cell and total."""
+    key = ["finess_epmsi", "stay"]
+    packed = F.struct(*[v.alias(f"v_{n}") for n, v in amounts.items()])
+    first = admin.groupBy(*key).agg(F.min_by(packed, F.struct(*order)).alias("_v"))
+    rows = base.rows.join(first, key, "left")
+    owner = F.when(F.col("_v").isNotNull(), F.struct(*key))
+    return replace(base, rows=rows).calculating(**{f"vidhosp_{n}": mg.once(F.col("_v")[f"v_{n}"], owner) for n in amounts})
+
+
 def value_list(rows: DataFrame, code: Column, label: Column | None = None, cap: int | None = None) -> DataFrame:
     """Distinct values with their label, sorted; at most ``cap`` if one is given."""
     shown = rows.select(d.shown(code, mode="code").alias("valeur"), *([label.alias("libelle")] if label is not None else []))
