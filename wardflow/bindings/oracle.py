@@ -236,7 +236,8 @@ def by_axis(sql: str) -> str:
     """SQL of a section by (finess_epmsi, iso_year) as that by axis and axis value too; stays' amounts stay as they are."""
     import re
 
-    amounts = ["select finess_epmsi, iso_year, stay, sum(montant_br_sej) m from v_comparable group by 1, 2, 3", "left join v using (finess_epmsi, iso_year, stay)"]
+    amounts = ["select finess_epmsi, iso_year, stay, sum(montant_br_sej) m from v_comparable group by 1, 2, 3", "left join v using (finess_epmsi, iso_year, stay)",
+               "(select finess_epmsi, stay, max(sunday) last_sunday from v_weeks group by 1, 2)"]
     for i, text in enumerate(amounts):
         sql = sql.replace(text, f"@{i}@")
     sql = sql.replace("v_in_period", "v_axis").replace("v_stay_code", "v_axis_stay_code")
