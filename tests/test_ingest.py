@@ -233,3 +233,18 @@ def test_insured_number(spark, value, message):
     got = spark.range(1).select(quality.insured_number_warning(F.lit(value)).alias("m")).first().m
     assert (got is None) if message is None else message in got
     assert ADMIN.layouts[0].fixed_length == 470
+
+
+def test_an_establishment_leaves(spark, tmp_path):
+    table = store.Table(str(tmp_path / "t"), ["f", "k"], ["o"], ["f", "y"])
+    rows = spark.createDataFrame([("010000001", "2024", 1, 1), ("010000001", "2023", 2, 2), ("110000001", "2023", 1, 1)], "f string, y string, k int, o int")
+    table.upsert(rows)
+    log = store.ErrorLog(str(tmp_path / "log"))
+    errors = spark.createDataFrame([("x", "a.txt", 1, "bad"), ("x", "b.txt", 1, "bad"), ("x", "b.txt", 1, "bad")], "format string, source_file string, line_no long, message string")
+    log.append(errors, errors, 1)
+    assert table.drop(spark, "010000001") and not table.drop(spark, "999")
+    log.forget(errors.where("source_file = 'b.txt'"), 2)
+    assert [tuple(r) for r in table.read(spark).select("f", "y", "k").collect()] == [("110000001", "2023", 1)]
+    assert [r.source_file for r in log.current(spark).collect()] == ["a.txt"]
+    with pytest.raises(ValueError, match="partition code"):
+        table.drop(spark, "../x")

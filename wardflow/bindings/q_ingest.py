@@ -198,6 +198,23 @@ def _(t: Tables) -> DataFrame:
     return preview.select("table_name", F.lit("preview").alias("what"), F.col("n_rows").alias("n")).unionByName(kept)
 
 
+@query("a25_drop_partition", f"""
+select 'vid_hosp' table_name, finess_epmsi, count(*) n from v_admin where finess_epmsi <> '680000002' group by 2
+union all select 'messages', substr(source_file, 5, 9), n from ({_MESSAGES}) where source_file <> 'rhs_680000002.txt'""")
+def _(t: Tables) -> DataFrame:
+    """An establishment leaves: its partition is dropped, and its files have no current message."""
+    table = store.Table(run_folder(t.spark, "admin-table"), ["finess_epmsi", "numero_admin_sejour"], ["source_file", "line_no"], ["finess_epmsi"])
+    table.upsert(t.admin)
+    lines = weekly_lines(t, block_faults=True)
+    log = store.ErrorLog(run_folder(t.spark, "errors"))
+    log.append(fw.error_rows(fw.decode(lines, WEEKLY), lines, WEEKLY), lines, 1)
+    table.drop(t.spark, "680000002")
+    log.forget(lines.where(F.col("source_file") == "rhs_680000002.txt"), 2)
+    left = [("vid_hosp", table.read(t.spark)), ("messages", log.current(t.spark).withColumn("finess_epmsi", F.substring("source_file", 5, 9)))]
+    counts = [rows.groupBy("finess_epmsi").agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "finess_epmsi", "n") for name, rows in left]
+    return counts[0].unionByName(counts[1])
+
+
 @query("a26_export", "select numero_unite_medicale u, cast(iso_year as int) y, cast(sum(n_days) as bigint) n from v_weeks group by 1, 2")
 def _(t: Tables) -> DataFrame:
     folder = run_folder(t.spark, "export")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +47,13 @@ class Table:
             merged = affected.unionByName(batch, allowMissingColumns=True)
         self._write(last_wins(merged, self.key, self.order))
 
+    def drop(self, spark: SparkSession, value: str) -> bool:
+        """Remove one value of the first partition column, an establishment: its folder goes, nothing else is touched."""
+        if not re.fullmatch(r"\w+", value):
+            raise ValueError(f"not a partition code: {value!r}")
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{self.partitions[0]}={value}")
+        return bool(folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True))
+
     def _write(self, rows: DataFrame) -> None:
         (rows.repartition(*self.partitions, F.pmod(F.xxhash64(*self.key), F.lit(_WRITERS)))
              .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
@@ -70,6 +79,10 @@ class ErrorLog:
         errors.write.mode("overwrite").parquet(f"{self.messages}/load_id={load_id}")
         files.select("source_file").distinct().write.mode("overwrite").parquet(f"{self.loads}/load_id={load_id}")
 
+    def forget(self, files: DataFrame, load_id: int) -> None:
+        """Leave no current message of ``files`` (source_file): a later load of them that has none."""
+        self.append(files.sparkSession.read.parquet(self.messages).drop("load_id").limit(0), files, load_id)
+
     def current(self, spark: SparkSession) -> DataFrame:
         latest = spark.read.parquet(self.loads).groupBy("source_file").agg(F.max("load_id").alias("load_id"))
         return spark.read.parquet(self.messages).join(latest, ["source_file", "load_id"], "left_semi").drop("load_id")
