@@ -126,7 +126,7 @@ def _(t: Tables) -> DataFrame:
 @query("e16_value_per_year", """
 select finess_epmsi, cast(year("day") as int) annee, cast(round(sum(amount), 2) as double) montant_br_pt from v_daily group by 1, 2""")
 def _(t: Tables) -> DataFrame:
-    return val.value_per_year(t.weekly_value).withColumn("montant_br_pt", cents("montant_br_pt"))
+    return val.value_per_year(t.whole_weekly_value).withColumn("montant_br_pt", cents("montant_br_pt"))
 
 
 @query("e16_value_per_year_and_unit", """
@@ -140,7 +140,7 @@ def _(t: Tables) -> DataFrame:
 @query("e17_value_in_period", """
 select p.finess_epmsi, p.iso_year, cast(round(sum(amount), 2) as double) montant_br_pt from v_daily d join v_periods p on p.finess_epmsi = d.finess_epmsi and d."day" between p."start" and p."end" group by 1, 2""")
 def _(t: Tables) -> DataFrame:
-    return val.value_in_period(t.weekly_value, t.periods).withColumn("montant_br_pt", cents("montant_br_pt"))
+    return val.value_in_period(t.whole_weekly_value, t.periods).withColumn("montant_br_pt", cents("montant_br_pt"))
 
 
 @query("e18_campaign_amount", """
@@ -234,7 +234,7 @@ with {_OPEN}, {_PRICE}, days_ as (select o.finess_epmsi, o.iso_year, count(disti
 select a.finess_epmsi, a.iso_year, coalesce(s, 0) nb_sejours, coalesce(j, 0) nb_journees, round(coalesce(j, 0) * coalesce(cast(v as double) / nullif(nb_journees, 0), 0), 2) montant
 from act_ a left join value_ using (finess_epmsi, iso_year) left join days_ using (finess_epmsi, iso_year)""")
 def _(t: Tables) -> DataFrame:
-    value = val.value_in_period(t.weekly_value, t.periods)
+    value = val.value_in_period(t.whole_weekly_value, t.periods)
     price = _activity(t).join(value, P, "left").select(*P, F.try_divide(F.col("montant_br_pt").cast("double"), F.col("nb_journees")).alias("pmjt"))
     return val.open_stay_estimate(t.valuation, t.weeks, t.periods, price).withColumn("montant", r("montant"))
 
@@ -245,7 +245,7 @@ select a.finess_epmsi, a.iso_year, cast(round(coalesce(v, 0), 2) as double) mont
   round(cast(coalesce(v, 0) as double) / nullif(nb_journees, 0), 4) pmjt, coalesce(montant_br_tot, 0.0) montant_br_tot, coalesce(montant_br_tot_sans_filtre, 0.0) montant_br_tot_sans_filtre, coalesce(montant_br_non_fact, 0.0) montant_br_non_fact
 from act_ a left join value_ using (finess_epmsi, iso_year) left join amounts_ using (finess_epmsi, iso_year)""")
 def _(t: Tables) -> DataFrame:
-    out = val.mean_prices(val.value_in_period(t.weekly_value, t.periods), _activity(t), val.comparable_amount(t.valuation, t.weeks, t.periods))
+    out = val.mean_prices(val.value_in_period(t.whole_weekly_value, t.periods), _activity(t), val.comparable_amount(t.valuation, t.weeks, t.periods))
     return out.select(*P, cents("montant_br_pt").alias("montant_br_pt"), *[r(c, 4).alias(c) for c in ("pmct", "pmst", "pmjt")],
                       *[F.col(c).cast("double").alias(c) for c in out.columns if c.startswith("montant_br_tot") or c == "montant_br_non_fact"])
 

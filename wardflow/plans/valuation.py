@@ -10,6 +10,7 @@ from wardflow.operators.allocation import part_of, unit_shares, value_of
 from wardflow.operators.ordered import join_groups
 from wardflow.operators.presence import STAY, entries_between, last_unit, last_week_of_year, week_profile
 from wardflow.operators.size import small
+from wardflow.session import run_folder
 
 PERIOD = ["finess_epmsi", "iso_year"]
 
@@ -110,10 +111,9 @@ def unvalued_stays(valuation: DataFrame, weeks: DataFrame, periods: DataFrame, o
 
 def clean_open_stays(valuation: DataFrame, weeks: DataFrame) -> DataFrame:
     """Stays active in a year, never billed and without a blocking flag: (stay, iso_year)."""
-    billed = valuation.where("montant_br_tot is not null").select(*STAY)
-    blocked = valuation.where(~official_amount_rows()).select(*STAY)
+    settled = valuation.where(F.col("montant_br_tot").isNotNull() | ~official_amount_rows()).select(*STAY)
     active = weeks.where("iso_year is not null").select(*STAY, "iso_year").distinct()
-    return active.join(billed, STAY, "left_anti").join(blocked, STAY, "left_anti")
+    return active.join(settled, STAY, "left_anti")
 
 
 def open_stay_estimate(valuation: DataFrame, weeks: DataFrame, periods: DataFrame, price_per_day: DataFrame) -> DataFrame:
@@ -122,7 +122,7 @@ def open_stay_estimate(valuation: DataFrame, weeks: DataFrame, periods: DataFram
     ``price_per_day`` is (finess_epmsi, iso_year, pmjt).
     """
     stays = clean_open_stays(valuation, weeks).join(small(periods.select(*PERIOD, "start", "end")), PERIOD)
-    profile = week_profile(weeks.join(stays.select(*STAY), STAY, "left_semi")).where("monday is not null").select(*STAY, "monday", "days")
+    profile = week_profile(weeks, by_unit=False).where("monday is not null").select(*STAY, "monday", "days")
     entries = entries_between(F.datediff("start", "monday"), F.datediff("end", "monday"))
     counted = (
         stays.join(profile, STAY).where("start <= date_add(monday, 6) and end >= monday")
@@ -151,13 +151,16 @@ def running_value(weekly: DataFrame, by: list[str] | None = None) -> DataFrame:
     """(finess_epmsi, by…, day, running, entries): the value and entries of all days up to a day, on every day from the
     first to the last.
 
-    The seven days of a week are summed side by side per establishment, with map-side combine; only those sums become
-    days. A series is as long as the calendar, whatever the number of stays.
+    The seven days of a week are summed side by side per establishment, with map-side combine; only those sums, which are
+    stored so that the stays are read once, become days. A series is as long as the calendar, whatever the number of stays.
     """
     keys = ["finess_epmsi", *(by or [])]
     per_week = weekly.groupBy(*keys, "monday").agg(
-        F.array(*[F.struct(F.sum(value_of(F.col("days")[i])).alias("value"), F.sum(F.col("days")[i]).alias("n")) for i in range(7)]).alias("values")
+        F.array(*[F.struct(F.sum(F.when(F.col("days")[i] != 0, value_of(F.col("days")[i]))).alias("value"), F.sum(F.col("days")[i]).alias("n")) for i in range(7)]).alias("values")
     )
+    path = run_folder(weekly.sparkSession, "running")
+    per_week.write.parquet(path)
+    per_week = weekly.sparkSession.read.schema(per_week.schema).parquet(path)
     ends = per_week.groupBy(*keys).agg(F.min("monday").alias("_first"), F.max("monday").alias("_last"))
     calendar = ends.select(*keys, F.explode(F.expr("sequence(_first, date_add(_last, 6))")).alias("day"))
     on_day = per_week.select(*keys, "monday", F.posexplode("values").alias("_pos", "v")).select(
