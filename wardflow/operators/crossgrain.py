@@ -12,37 +12,22 @@ def match_other_source(
 ) -> DataFrame:
     """One row of another source per base row: same year and week, else same year, else nothing.
 
-    A base row without a year takes the stay's first row. The candidates are reduced to the first
-    one per (stay, year, week), (stay, year) and (stay) before joining, so each of the three joins
-    has at most one match and no base row is multiplied. Result: base columns, the picked columns
-    (prefixed ``o_``) and ``matched``.
+    A base row without a year takes the stay's first row. The candidates are reduced to the first one per (stay, year,
+    week) and packed in order into one row per stay, at most one entry per week of the calendar; so one join serves the
+    three rules and no base row is multiplied. Result: base columns, the picked columns (prefixed ``o_``) and ``matched``.
     """
-    def first_per(level: list[str], name: str) -> DataFrame:
-        packed = F.struct(*[F.col(c) for c in picked])
-        known = other
-        for c in level[len(keys):]:
-            known = known.where(F.col(c).isNotNull())
-        return known.groupBy(*level).agg(F.min_by(packed, F.struct(*order)).alias(name))
-
-    by_week = first_per([*keys, other_year, other_week], "_w").withColumnsRenamed({other_year: "_wy", other_week: "_ww"})
-    by_year = first_per([*keys, other_year], "_y").withColumnRenamed(other_year, "_yy")
-    by_stay = first_per(keys, "_s")
-    b, w, y, s = base.alias("b"), by_week.alias("w"), by_year.alias("y"), by_stay.alias("s")
-
-    def same(side: str) -> Column:
-        test = F.lit(True)
-        for k in keys:
-            test = test & (F.col(f"b.{k}") == F.col(f"{side}.{k}"))
-        return test
-
-    year, week = F.col(f"b.{base_year}"), F.col(f"b.{base_week}")
-    joined = (
-        b.join(w, same("w") & (year == F.col("w._wy")) & (week == F.col("w._ww")), "left")
-        .join(y, same("y") & (year == F.col("y._yy")), "left")
-        .join(s, same("s"), "left")
+    packed, place = F.struct(*[F.col(c) for c in picked]), F.struct(*[F.col(c) for c in order])
+    first = other.groupBy(*keys, F.col(other_year).alias("_wy"), F.col(other_week).alias("_ww")).agg(
+        F.min(place).alias("place"), F.min_by(packed, place).alias("row")
+    )
+    per_stay = first.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("place", F.col("_wy").alias("y"), F.col("_ww").alias("w"), "row"))).alias("_c"))
+    year, week = F.col(base_year), F.col(base_week)
+    in_year = F.filter("_c", lambda c: c["y"] == year)
+    found = base.join(per_stay, keys, "left").withColumn("_y", F.when(F.col("_c").isNotNull(), in_year))
+    chosen = F.coalesce(
+        F.get(F.filter("_y", lambda c: c["w"] == week), F.lit(0))["row"], F.get("_y", F.lit(0))["row"], F.when(year.isNull(), F.get("_c", F.lit(0))["row"]),
     )
-    chosen = F.coalesce("_w", "_y", F.when(year.isNull(), F.col("_s")))
-    return joined.select("b.*", chosen.alias("_o")).select(
+    return found.select(*base.columns, chosen.alias("_o")).select(
         *base.columns, *[F.col(f"_o.{c}").alias(f"o_{c}") for c in picked], F.col("_o").isNotNull().alias("matched")
     )
 

@@ -18,6 +18,7 @@ from wardflow.functions.derive import EMPTY
 from wardflow.functions.mergeable import Calculated, Part
 from wardflow.operators.ordered import join_groups
 from wardflow.operators.quantiles import quantiles_of_counts, value_counts
+from wardflow.session import run_folder
 
 
 @dataclass(frozen=True)
@@ -62,16 +63,53 @@ def _group(df: DataFrame, sets: list[list[str]], rows: list[str], cols: list[str
     return df.groupingSets([s + also for s in sets], *dims, *also).agg(*aggs, _level(rows).alias("row_level"), _level(cols).alias("col_level"))
 
 
+def _kept(dims: list[str], own: list[str]) -> Column:
+    """``_level`` of one side in a given grouping set."""
+    return F.lit("none" if not dims or dims[0] not in own else "full" if dims[-1] in own else "first")
+
+
+def _per_value(df: DataFrame, sets: list[list[str]], rows: list[str], cols: list[str], inner: Column, outer: Column) -> DataFrame:
+    """``outer`` of ``inner`` per value ``_v``, in every grouping set.
+
+    The rows are dealt by value once; every set is then aggregated where the rows are, instead of shuffling a copy per set.
+    """
+    dealt, types = df.repartition("_v"), dict(df.dtypes)
+    found = []
+    for own in sets:
+        per_set = dealt.groupBy(*own, "_v").agg(inner)
+        shown = [F.col(d) if d in own else F.lit(None).cast(types[d]).alias(d) for d in rows + cols]
+        levels = [_kept(rows, own).alias("row_level"), _kept(cols, own).alias("col_level")]
+        found.append(per_set.select(*shown, *levels, per_set.columns[-1]).groupBy(*rows, *cols, "row_level", "col_level").agg(outer))
+    return reduce(DataFrame.unionByName, found)
+
+
+def _read_once(df: DataFrame, dims: list[str], parts: list[Part]) -> tuple[DataFrame, list[Part]]:
+    """The dimensions and the parts' values as stored rows, and the parts over them: what makes the rows (joins with other
+    sources, say) runs once, not once per part."""
+    columns, over = [], []
+    for i, p in enumerate(parts):
+        columns += [p.value.alias(f"_x{i}"), *([p.owner.alias(f"_o{i}")] if p.owner is not None else [])]
+        over.append(Part(p.kind, F.col(f"_x{i}"), None if p.owner is None else F.col(f"_o{i}")))
+    narrow = df.select(*dims, *columns)
+    if any(["void" in kind for _, kind in narrow.dtypes]):  # no file holds such a column
+        return df, parts
+    path = run_folder(df.sparkSession, "pivot")
+    narrow.write.parquet(path)
+    return df.sparkSession.read.schema(narrow.schema).parquet(path), over
+
+
 def merged_states(df: DataFrame, rows: list[str], cols: list[str], sets: list[list[str]], parts: list[Part]) -> DataFrame:
     """(dims, levels, p0, p1, …): the state of every part in every cell and total.
 
     Source rows are read into cells (additive parts) and into counts of values per cell (the others), both with map-side
     combine; only cells and counts meet the grouping sets. Medians come from the counts by range, so no group is in one
-    task. The results share their keys and are put together by one aggregate.
+    task. The results share their keys and are put together by one aggregate. Rows that several parts read are stored first.
     """
     dims = rows + cols
     keys = dims + ["row_level", "col_level"]
     found: list[DataFrame] = []
+    if any([p.kind not in mg.ADDITIVE for p in parts]):
+        df, parts = _read_once(df, dims, parts)
     additive = [(f"p{i}", p) for i, p in enumerate(parts) if p.kind in mg.ADDITIVE]
     cells = df.groupBy(*dims).agg(F.count(F.lit(1)).alias("_rows"), *[getattr(F, p.kind)(p.value).alias(name) for name, p in additive])
     merge = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
@@ -79,17 +117,16 @@ def merged_states(df: DataFrame, rows: list[str], cols: list[str], sets: list[li
     for i, p in enumerate(parts):
         if p.kind in mg.OF_OWNERS:
             owned = df.select(*dims, p.owner.alias("_v"), p.value.alias("_x")).where("_v is not null").groupBy(*dims, "_v").agg(F.max("_x").alias("_x"))
-            per_owner = _group(owned, sets, rows, cols, [F.max("_x").alias("_x")], ["_v"])
-            found.append(per_owner.groupBy(*keys).agg(F.sum("_x").alias(f"p{i}")))
-        if p.kind not in mg.OF_VALUES:
+            found.append(_per_value(owned, sets, rows, cols, F.max("_x").alias("_x"), F.sum("_x").alias(f"p{i}")))
+        if p.kind == "distinct":
+            found.append(_per_value(value_counts(df, dims, p.value), sets, rows, cols, F.sum("_c").alias("_c"), F.count(F.lit(1)).alias(f"p{i}")))
+        if p.kind not in ("median", "mode"):
             continue
         counts = _group(value_counts(df, dims, p.value), sets, rows, cols, [F.sum("_c").alias("_c")], ["_v"])
         if p.kind == "median":
             found.append(quantiles_of_counts(counts, keys, {f"p{i}": 0.5}).select(*keys, f"p{i}"))
-        elif p.kind == "mode":
-            found.append(counts.groupBy(*keys).agg(F.min(F.struct((-F.col("_c")).alias("less"), "_v"))["_v"].alias(f"p{i}")))
         else:
-            found.append(counts.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"p{i}")))
+            found.append(counts.groupBy(*keys).agg(F.min(F.struct((-F.col("_c")).alias("less"), "_v"))["_v"].alias(f"p{i}")))
     if len(found) == 1:
         return found[0]
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from wardflow.functions import calendar as cal
 from wardflow.functions import derive as d
 from wardflow.functions import mergeable as mg
 from wardflow.functions.mergeable import Calculated
-from wardflow.operators.allocation import presence_weighted
+from wardflow.operators.allocation import with_share
 from wardflow.operators.crossgrain import keep_if_any_match, match_other_source
 from wardflow.operators.hierarchy import with_prefix_label
 from wardflow.operators.pivot import PivotMeasure, hide_empty, pivot
@@ -198,10 +199,9 @@ def with_valuation(base: Source, valuation: DataFrame, amounts: list[str], weigh
     order = ["numero_rha", "campagne"]
     linked = match_other_source(base.rows, rows, ["finess_epmsi", "stay"], "iso_year", "week", "campagne", "htp", order, [*order, *amounts])
     owners = ["finess_epmsi", "stay", *[f"o_{c}" for c in order]]
-    billed, rest = linked.where("matched"), linked.where("not matched")
-    for a in amounts:
-        billed = presence_weighted(billed, owners, weight, f"o_{a}", ["iso_year", "week", "line_no"], f"jours_{a}")
-    both = billed.unionByName(rest, allowMissingColumns=True)
+    known = reduce(lambda a, b: a & b, [F.col(o).isNotNull() for o in owners])
+    shared = with_share(linked.where(~F.col("matched") | known), owners, weight, ["iso_year", "week", "line_no"], "_share")
+    both = shared.withColumns({f"jours_{a}": F.col(f"o_{a}") * F.col("_share") for a in amounts})
     owner = F.when(F.col("matched"), F.struct(*owners))
     measures = {f"valo_{a}": mg.once(F.col(f"o_{a}"), owner) for a in amounts} | {f"jours_{a}": mg.total_known(F.col(f"jours_{a}").cast("decimal(18,6)")) for a in amounts}
     return replace(base, rows=both).calculating(**measures)
