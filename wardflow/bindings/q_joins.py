@@ -105,7 +105,7 @@ def _(t: Tables) -> DataFrame:
     key = ["finess_epmsi", "annee"]
     parts = {
         "rhs": t.weeks.groupBy("finess_epmsi", F.col("iso_year").alias("annee")).agg(F.count(ALL).alias("nb_rhs")),
-        "das": t.das.join(t.weeks.select("rhs_id", "finess_epmsi", F.col("iso_year").alias("annee")), "rhs_id").groupBy(*key).agg(F.count(ALL).alias("nb_das")),
+        "das": t.das.groupBy("rhs_id").agg(F.count(ALL).alias("n")).join(t.weeks.select("rhs_id", "finess_epmsi", F.col("iso_year").alias("annee")), "rhs_id").groupBy(*key).agg(F.sum("n").alias("nb_das")),
         "valo": t.valuation.where(official_amount_rows()).groupBy("finess_epmsi", F.col("campagne").alias("annee")).agg(F.sum("montant_br_sej").cast("double").alias("montant")),
     }
     return cg.sources_side_by_side(parts, key)
