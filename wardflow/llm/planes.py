@@ -12,19 +12,18 @@ makes its chunk longer. An added token's literal in a text becomes that token's
 
 from __future__ import annotations
 
-import re
 import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardflow.llm.common import id_and_text, slices, table
-from wardflow.llm.pieces import PieceCache
 from wardflow.llm.registry import query
 from wardflow.session import run_folder
 
@@ -68,24 +67,33 @@ def unpack(n: int, frame_bytes: list[int], data: bytes, kind: str = "byte") -> n
     return out
 
 
-_TAILED = re.compile(r"( ?[^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")  # letters, then ASCII signs without the apostrophe
+_SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII signs but the apostrophe, which may begin a word of its own
+SLICE = 8_000_000  # bytes of text that are encoded together
 
 
 class LibraryEncoder:
-    """The tokenizers library over distinct pieces. A piece of letters is one word to the vocabulary's pattern and goes
-    to the library's model as it is; letters followed by signs are two such words. Of the others many go through one
-    call, and the bytes of the ids tell where one piece ends."""
+    """The tokenizers library over distinct pieces of text. ``encode`` cuts texts at spaces and numbers their distinct
+    pieces in Arrow, encodes each piece once and lays the ids out in the order of the texts, again in Arrow.
+
+    The byte-level word pattern always starts a new match at a space between two characters that are not white space, so
+    such a piece encodes on its own. Most pieces are lines of letters followed by signs: letters, signs and the line's
+    end are one match each, which goes to the library's model as it is and is kept from batch to batch, up to ``limit``.
+    Other pieces go many to a call, and the bytes of the ids tell where one ends. Texts with white space before a space,
+    or with a literal of an added token, go to the library whole.
+    """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, limit: int = 600_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.model = self.tokenizer.model
         self.width = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.tokenizer.get_vocab_size())], dtype=np.int64)
-        literals = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cache = PieceCache(self.pieces, self.text, literals=literals)
-        self.tails: dict[str, bytes] = {}
+        self.literals = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.spaced: dict[str, bytes] = {}  # word without its leading space: ids of the word with it
+        self.bare: dict[str, bytes] = {}  # words and signs without a leading space
         units = self.tokenizer.pre_tokenizer.pre_tokenize_str
-        self.direct = units(" one two,") == [("\u0120one", (0, 4)), ("\u0120two", (4, 8)), (",", (8, 9))] and self.tokenizer.normalizer is None
+        parts = ("one", 0, 3), ("\u0120two", 3, 7), (",.", 7, 9), ("\u010a", 9, 10), ("Six", 10, 13), ("\u0120--", 13, 16), ("\u010a", 16, 17), ("10", 17, 19)
+        self.direct = units("one two,.\nSix --\n10") == [(unit, (a, b)) for unit, a, b in parts] and self.tokenizer.normalizer is None
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes a byte-level vocabulary writes as themselves
         hidden = [b for b in range(256) if b not in shown]
         self.letters = dict(zip(shown, map(chr, shown), strict=True)) | {b: chr(256 + i) for i, b in enumerate(hidden)}
@@ -95,42 +103,54 @@ class LibraryEncoder:
 
     def word(self, word: str) -> bytes:
         """One match of the pattern."""
-        known = self.cache.spaced.get(word[1:]) if word[0] == " " else None
-        if known is not None:
-            return known
-        ids = [t.id for t in self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]
+        ids = [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def tail(self, signs: str) -> bytes:
-        if signs not in self.tails:
-            if len(self.tails) > 50_000:
-                self.tails.clear()
-            self.tails[signs] = self.word(signs)
-        return self.tails[signs]
+    def sign(self, signs: str) -> bytes:
+        ids = self.bare.get(signs)
+        if ids is None:
+            ids = self.bare[signs] = self.word(signs)
+        return ids
+
+    def line(self, line: str, known: dict[str, bytes], before: str) -> bytes | None:
+        """Letters or digits, then signs, with ``before`` in front; None if it is anything else."""
+        stem = line.rstrip(_SIGNS)
+        ids = known.get(stem or line)
+        if ids is None:
+            if not line or stem and not (stem.isalpha() or stem.isascii() and stem.isdigit()):
+                return None
+            ids = known[stem or line] = self.word(before + (stem or line))
+        return ids if not stem or len(stem) == len(line) else ids + self.sign(line[len(stem) :])
+
+    def piece(self, piece: str, known: dict[str, bytes], before: str) -> bytes | None:
+        """Lines without other white space, none of them empty; None if it is anything else."""
+        if not self.direct:
+            return None
+        if "\n" not in piece:
+            return self.line(piece, known, before)
+        first, *others = piece.split("\n")
+        lines = [self.line(first, known, before), *[self.line(x, self.bare, "") for x in others]]
+        return None if None in lines else self.sign("\n").join(lines)
 
     def pieces(self, pieces: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(pieces)
+        """ids of distinct pieces with a space before each."""
+        out = list(map(self.spaced.get, pieces))
         rest = []
-        for i, p in enumerate(pieces):
-            if self.direct and (p.isalpha() or p[:1] == " " and p[1:].isalpha()):
-                out[i] = self.word(p)
-            elif self.direct and (m := _TAILED.fullmatch(p)) and m[1].lstrip(" ").isalpha() and not self.cache.has_literal(p):
-                out[i] = self.word(m[1]) + self.tail(m[2])
-            else:
+        for i in [i for i, ids in enumerate(out) if ids is None]:
+            out[i] = self.piece(pieces[i], self.spaced, " ")
+            if out[i] is None:
                 rest.append(i)
-        for i, ids in zip(rest, self.together([pieces[i] for i in rest]), strict=True):
+        for i, ids in zip(rest, self.together([" " + pieces[i] for i in rest]), strict=True):
             out[i] = ids
         return out
 
     def together(self, pieces: list[str], run: int = 1024) -> list[bytes]:
+        """ids of pieces that begin with a space and end with something other than white space."""
         out: list[bytes] = []
         for at in range(0, len(pieces), run):
             some = pieces[at : at + run]
-            if not all([p[0] == " " and len(p) > 1 and not p[-1].isspace() for p in some]):
-                out += map(self.text, some)
-                continue
             joined = "".join(some)
-            if self.cache.has_literal(joined):  # one with a space in it may arise between two pieces
+            if any(x in joined for x in self.literals):  # one with a space in it may arise between two pieces
                 out += map(self.text, some)
                 continue
             raw = self.text(joined)
@@ -143,6 +163,54 @@ class LibraryEncoder:
             out += [raw[a:b] for a, b in zip([0, *cut[:-1]], cut, strict=True)]
         return out
 
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the texts, one text after the other; place of each text's first id, and the end)."""
+        if not len(texts):
+            return np.empty(0, dtype="<u4"), np.zeros(1, dtype=np.int64)
+        if len(self.spaced) + len(self.bare) > self.limit:
+            self.spaced.clear(), self.bare.clear()
+        split = pc.split_pattern(texts, " ")
+        coded = split.flatten().dictionary_encode()
+        bounds = split.offsets.to_numpy() - split.offsets[0].as_py()
+        first, last = bounds[:-1], bounds[1:] - 1
+        index, pieces = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_numpy(zero_copy_only=False)
+
+        empty, open_end = np.array([not p for p in pieces]), np.array([not p or p[-1].isspace() for p in pieces])
+        inner = open_end[index]
+        ends_open = inner[last] & (last > first)
+        inner[first] &= ~empty[index[first]]
+        inner[last] = False
+        whole = np.logical_or.reduceat(inner, first)
+        for literal in self.literals:
+            whole |= pc.match_substring(texts, literal).to_numpy(zero_copy_only=False)
+
+        ids = [b""] * len(pieces) + [b""]  # then what has no space before it, or ends its text with white space
+        index[np.repeat(whole, bounds[1:] - first)] = len(pieces)
+        for i in range(len(texts)):
+            start = index[first[i]]
+            index[first[i]] = len(ids)
+            if whole[i]:
+                ids.append(self.text(texts[i].as_py()))
+                continue
+            head = pieces[start]
+            known = self.piece(head, self.bare, "") if head else b""
+            ids.append(self.text(head) if known is None else known)
+            if ends_open[i]:
+                end = pieces[index[last[i]]]
+                index[last[i]] = len(ids)
+                ids.append(self.text(" " + end))
+
+        used = np.zeros(len(ids), dtype=bool)
+        used[index] = True
+        used = np.flatnonzero(used[: len(pieces)])
+        for i, known in zip(used.tolist(), self.pieces(pieces[used].tolist()), strict=True):
+            ids[i] = known
+        laid = pa.array(ids, pa.large_binary()).take(pa.array(index))
+        ends = np.frombuffer(laid.buffers()[1], dtype=np.int64)[laid.offset : laid.offset + len(laid) + 1]
+        data = laid.buffers()[2]
+        flat = np.frombuffer(data, dtype="<u4", count=ends[-1] // 4) if data is not None and ends[-1] else np.empty(0, dtype="<u4")
+        return flat, ends[bounds] // 4
+
 
 _ENCODERS: dict[str, LibraryEncoder] = {}  # of this worker process, by vocabulary file
 
@@ -157,11 +225,11 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, kind: st
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _ENCODERS.get(vocabulary) or _ENCODERS.setdefault(vocabulary, LibraryEncoder(vocabulary))
         part, number, first, held, names, sizes = TaskContext.get().partitionId(), 0, 0, [], [], []
-        end = np.array([end_id], dtype="<u4").tobytes()
+        end = np.array([end_id], dtype="<u4")
 
         def flush() -> pa.RecordBatch:
             nonlocal number, first
-            ids = np.frombuffer(b"".join(held), dtype="<u4")
+            ids = np.concatenate(held)
             lengths, data = pack(ids, kind)
             row = [part], [number], [first], [len(ids)], [kind], [lengths], [data], [names[:]], [sizes[:]]
             number, first = number + 1, first + len(ids)
@@ -172,11 +240,13 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, kind: st
 
         waiting = 0
         for batch in batches:
-            for some in slices(batch):
-                for doc_id, ids in zip(some.column(0).to_pylist(), encoder.cache.encode(some.column(1).to_pylist()), strict=True):
-                    held.append(ids + end)
+            for some in slices(batch, chars=SLICE):
+                ids, bounds = encoder.encode(some.column(1))
+                bounds = bounds.tolist()
+                for doc_id, begin, stop in zip(some.column(0).to_pylist(), bounds[:-1], bounds[1:], strict=True):
+                    held += ids[begin:stop], end
                     names.append(doc_id)
-                    sizes.append(len(ids) // 4 + 1)
+                    sizes.append(stop - begin + 1)
                     waiting += sizes[-1]
                     if waiting >= CHUNK:
                         yield flush()
