@@ -68,7 +68,7 @@ def unpack(n: int, frame_bytes: list[int], data: bytes, kind: str = "byte") -> n
 
 
 _SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII signs but the apostrophe, which may begin a word of its own
-SLICE = 8_000_000  # bytes of text that are encoded together
+SLICE = 16_000_000  # bytes of text that are encoded together
 
 
 class LibraryEncoder:
@@ -77,7 +77,7 @@ class LibraryEncoder:
 
     The byte-level word pattern always starts a new match at a space between two characters that are not white space, so
     such a piece encodes on its own. Most pieces are lines of letters followed by signs: letters, signs and the line's
-    end are one match each, which goes to the library's model as it is and is kept from batch to batch, up to ``limit``.
+    end are one match each, which goes to the library's model as it is and is kept from batch to batch until there are ``limit``.
     Other pieces go many to a call, and the bytes of the ids tell where one ends. Texts with white space before a space,
     or with a literal of an added token, go to the library whole.
     """
@@ -108,8 +108,12 @@ class LibraryEncoder:
 
     def sign(self, signs: str) -> bytes:
         ids = self.bare.get(signs)
-        if ids is None:
-            ids = self.bare[signs] = self.word(signs)
+        return self.keep(self.bare, signs, signs) if ids is None else ids
+
+    def keep(self, known: dict[str, bytes], key: str, word: str) -> bytes:
+        ids = self.word(word)
+        if len(known) < self.limit:
+            known[key] = ids
         return ids
 
     def line(self, line: str, known: dict[str, bytes], before: str) -> bytes | None:
@@ -119,7 +123,7 @@ class LibraryEncoder:
         if ids is None:
             if not line or stem and not (stem.isalpha() or stem.isascii() and stem.isdigit()):
                 return None
-            ids = known[stem or line] = self.word(before + (stem or line))
+            ids = self.keep(known, stem or line, before + (stem or line))
         return ids if not stem or len(stem) == len(line) else ids + self.sign(line[len(stem) :])
 
     def piece(self, piece: str, known: dict[str, bytes], before: str) -> bytes | None:
@@ -167,15 +171,18 @@ class LibraryEncoder:
         """(ids of the texts, one text after the other; place of each text's first id, and the end)."""
         if not len(texts):
             return np.empty(0, dtype="<u4"), np.zeros(1, dtype=np.int64)
-        if len(self.spaced) + len(self.bare) > self.limit:
-            self.spaced.clear(), self.bare.clear()
+        for known in (self.spaced, self.bare):
+            if len(known) >= self.limit:
+                known.clear()
         split = pc.split_pattern(texts, " ")
         coded = split.flatten().dictionary_encode()
         bounds = split.offsets.to_numpy() - split.offsets[0].as_py()
         first, last = bounds[:-1], bounds[1:] - 1
-        index, pieces = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_numpy(zero_copy_only=False)
+        index, pieces = coded.indices.to_numpy().copy(), coded.dictionary.to_numpy(zero_copy_only=False)
+        size, closed = pc.binary_length(coded.dictionary).to_numpy(), pc.binary_length(pc.utf8_rtrim_whitespace(coded.dictionary)).to_numpy()
+        empty, open_end = size == 0, (size == 0) | (closed < size)
+        del split, coded
 
-        empty, open_end = np.array([not p for p in pieces]), np.array([not p or p[-1].isspace() for p in pieces])
         inner = open_end[index]
         ends_open = inner[last] & (last > first)
         inner[first] &= ~empty[index[first]]
